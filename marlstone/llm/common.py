@@ -12,6 +12,18 @@ from ..session import discard, materialise
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Rows and bytes of an Arrow batch of whole texts, so that a Python worker holds little at once.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """Set the session's Arrow batches to a size fit for whole texts, and give the frame back."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def vocabulary_path(name: str) -> str:
     """A public tokenizer file, by the environment's folder or the installed package; never copied."""
     folder = os.environ.get("MARLSTONE_TOKENIZERS")

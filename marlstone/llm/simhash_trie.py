@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
-from .common import connected_components
+from .common import connected_components, text_batches
 
 #: Widths of the three blocks of a 64-bit fingerprint. Two differing bits leave one block untouched.
 BLOCKS = (22, 21, 21)
@@ -42,9 +42,8 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             fp = np.fromiter((shingle_fingerprint(x.as_py(), width, seed) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
-    )
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return text_batches(src).mapInArrow(run, "doc_id long, fp long")
 
 
 def trie_pairs(keys: np.ndarray, roots: list[tuple[int, int, int, int]] | np.ndarray, bits: int, budget: int):
