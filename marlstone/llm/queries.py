@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 from ..session import table
+from .packing import pack
+from .quality_rules import quality_rules
+from .sentencepiece_bpe import encoding_digests
 from .simhash_trie import simhash_components
 
 
+def op1_sentencepiece(spark, sf_dir):
+    return encoding_digests(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op4_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_trie(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op6_simhash_trie": op6_simhash_trie,
 }
 
