@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
+from . import line_suffix
 from .packing import pack
 from .quality_rules import quality_rules
 from .sentencepiece_bpe import encoding_digests
@@ -25,11 +26,19 @@ def op6_simhash_trie(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_suffix.dedup_lines(docs)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_simhash_trie": op6_simhash_trie,
+    "op7_line_dedup": op7_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": line_suffix.ORACLE_SQL,
+}
