@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..session import table
 from . import line_suffix
 from .packing import pack
+from .passage_chains import repeated_passages
 from .quality_rules import quality_rules
 from .sentencepiece_bpe import encoding_digests
 from .simhash_trie import simhash_components
@@ -31,12 +32,17 @@ def op7_line_dedup(spark, sf_dir):
     return line_suffix.dedup_lines(docs)
 
 
+def op10_passage_chains(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_simhash_trie": op6_simhash_trie,
     "op7_line_dedup": op7_line_dedup,
+    "op10_passage_chains": op10_passage_chains,
 }
 
 ORACLES: dict[str, str] = {
