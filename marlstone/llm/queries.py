@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..session import table
 from . import line_suffix
+from .mtree import top_products
 from .packing import pack
 from .passage_chains import repeated_passages
 from .quality_rules import quality_rules
@@ -15,6 +16,10 @@ def op1_sentencepiece(spark, sf_dir):
     return encoding_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_mtree_topk(spark, sf_dir):
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ def op10_passage_chains(spark, sf_dir):
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_mtree_topk": op2_mtree_topk,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_simhash_trie": op6_simhash_trie,
