@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import text_batches, vocabulary_path
 
 #: Units remembered by a worker, and the longest one remembered; both bound its memory.
-MEMO_UNITS, MEMO_CHARS = 300_000, 48
+MEMO_UNITS, MEMO_CHARS = 500_000, 48
+#: Units up to this length keep their agenda as a list that is scanned, longer ones as a heap.
+SHORT = 32
 _SPACE = "▁"
+_NEVER = float("-inf")
 
 
 class MergeCodec:
@@ -35,6 +38,7 @@ class MergeCodec:
         names = [sp.id_to_piece(i) for i in range(n)]
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i) for i in range(n)]
         self.scores = {p: (sp.get_score(i), i) for i, p in enumerate(names) if not special[i]}
+        self.pair_score = {p: s for p, (s, _) in self.scores.items()}.get
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(names) if sp.is_byte(i)}
         self.unknown, self.bos, self.eos = sp.unk_id(), sp.bos_id(), sp.eos_id()
         self.pieces = [None if s else p.replace(_SPACE, " ").encode() for p, s in zip(names, special)]
@@ -46,10 +50,34 @@ class MergeCodec:
         if len(self.byte_ids) != 256 or sp.decode(sp.encode(probe)) != probe or sp.decode(sp.encode(" a")) != " a":
             raise ValueError("only models with byte fallback and without normalisation are served")
         self.units = re.compile(f"[ {_SPACE}]*[^ {_SPACE}]+|[ {_SPACE}]+").findall
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.memo: dict[str, bytes] = {}
 
     def merge(self, symbols: str) -> list[int]:
         """ids of a unit: the best-scored adjacent pair is merged first, the leftmost among equals."""
+        sym = self._merge_short(symbols) if len(symbols) <= SHORT else self._merge_long(symbols)
+        scores, ids = self.scores, []
+        for s in sym:
+            if (got := scores.get(s)) is not None:
+                ids.append(got[1])
+            else:
+                ids.extend([self.byte_ids[b] for b in s.encode()])
+        return ids
+
+    def _merge_short(self, symbols: str) -> list[str]:
+        sym = list(symbols)
+        score = self.pair_score
+        agenda = [score(a + b, _NEVER) for a, b in zip(sym, symbols[1:])]
+        while agenda and (best := max(agenda)) is not _NEVER:
+            i = agenda.index(best)
+            sym[i] = pair = sym[i] + sym[i + 1]
+            del sym[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = score(sym[i - 1] + pair, _NEVER)
+            if i < len(agenda):
+                agenda[i] = score(pair + sym[i + 1], _NEVER)
+        return sym
+
+    def _merge_long(self, symbols: str) -> list[str]:
         sym: list[str | None] = list(symbols)
         n = len(sym)
         scores = self.scores
@@ -72,25 +100,19 @@ class MergeCodec:
                     heappush(agenda, (-got[0], i, k, new))
             if (h := prev[i]) >= 0 and (got := scores.get(new := sym[h] + pair)) is not None:
                 heappush(agenda, (-got[0], h, i, new))
-        ids = []
-        for s in sym:
-            if s is not None:
-                if (got := scores.get(s)) is not None:
-                    ids.append(got[1])
-                else:
-                    ids.extend(self.byte_ids[b] for b in s.encode())
-        return ids
+        return [s for s in sym if s is not None]
 
     def _new_units(self, units: list[str]) -> None:
-        """Encode units not yet known and hold them against the library, all in one call."""
+        """Encode units not yet known, hold them against the library (all in one call) and decode them again."""
         ids = [self.merge(u.replace(" ", _SPACE)) for u in units]
         # the library puts one space before what it is given; every unit of a text begins with one
         # (a lone space at a text's end can't be given that way; it is the piece of that name)
         want = self.library.encode([u[1:] for u in units], num_threads=1)
         bad = [u for u, i, w in zip(units, ids, want) if i != (w or [self.library.piece_to_id(_SPACE)])]
+        bad += [u for u, i in zip(units, ids) if self.raw(i) != u.replace(_SPACE, " ").encode()]
         if bad:
-            raise ValueError(f"agenda and library differ on {bad[:3]!r}")
-        self.memo.update((u, (array("I", i).tobytes(), self.raw(i))) for u, i in zip(units, ids))
+            raise ValueError(f"agenda, library and decoding differ on {bad[:3]!r}")
+        self.memo.update((u, array("I", i).tobytes()) for u, i in zip(units, ids))
 
     def raw(self, ids) -> bytes:
         pieces = self.pieces
@@ -98,22 +120,19 @@ class MergeCodec:
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers with begin and end ids, decoded UTF-8) of every text."""
-        out = []
-        edge = array("I", [self.bos]).tobytes(), array("I", [self.eos]).tobytes()
-        for text in texts:
-            units = self.units(" " + text) if text else []
-            memo = self.memo
-            new = {u for u in units if u not in memo}
-            if new:
-                if len(memo) + len(new) > MEMO_UNITS:
-                    memo.clear()
-                    new = set(units)
-                self._new_units(list(new))
-            got = [memo[u] for u in units]
-            out.append((edge[0] + b"".join([g[0] for g in got]) + edge[1], b"".join([g[1] for g in got])[1:]))
-            for u in new:
-                if len(u) > MEMO_CHARS:
-                    del memo[u]
+        bos, eos = array("I", [self.bos]).tobytes(), array("I", [self.eos]).tobytes()
+        found = [self.units(" " + t) if t else [] for t in texts]
+        new = set().union(*found).difference(self.memo)
+        if len(self.memo) + len(new) > MEMO_UNITS:
+            self.memo.clear()
+            new = set().union(*found)
+        self._new_units(list(new))
+        ids_of = self.memo.__getitem__
+        # every unit decodes to itself (checked when it was new), with its space marks as spaces
+        out = [(bos + b"".join(map(ids_of, u)) + eos, "".join(u).replace(_SPACE, " ")[1:].encode()) for u in found]
+        for u in new:
+            if len(u) > MEMO_CHARS:
+                del self.memo[u]
         return out
 
     def encode(self, text: str | None, bos: bool = True, eos: bool = True) -> list[int]:
