@@ -10,6 +10,7 @@ from .passage_chains import repeated_passages
 from .quality_rules import quality_rules
 from .sentencepiece_bpe import encoding_digests
 from .simhash_trie import simhash_components
+from .weak_labels import classify
 
 
 def op1_sentencepiece(spark, sf_dir):
@@ -28,6 +29,10 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_weak_labels(spark, sf_dir):
+    return classify(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_trie(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ QUERIES = {
     "op2_mtree_topk": op2_mtree_topk,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_weak_labels": op5_weak_labels,
     "op6_simhash_trie": op6_simhash_trie,
     "op7_line_dedup": op7_line_dedup,
     "op10_passage_chains": op10_passage_chains,
