@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..session import table
 from . import line_suffix
+from .chat_tools import link_tools
+from .licenses import document_files, scan
 from .mtree import top_products
 from .packing import pack
 from .passage_chains import repeated_passages
@@ -42,6 +46,16 @@ def op7_line_dedup(spark, sf_dir):
     return line_suffix.dedup_lines(docs)
 
 
+def op8_license_scan(spark, sf_dir):
+    """Documents as files source/lang/doc_id."""
+    found = scan(document_files(table(spark, sf_dir, "documents")))
+    return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "licence", "cosine", "origin", "licence_file")
+
+
+def op9_chat_tools(spark, sf_dir):
+    return link_tools(table(spark, sf_dir, "conversations"))
+
+
 def op10_passage_chains(spark, sf_dir):
     return repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -54,6 +68,8 @@ QUERIES = {
     "op5_weak_labels": op5_weak_labels,
     "op6_simhash_trie": op6_simhash_trie,
     "op7_line_dedup": op7_line_dedup,
+    "op8_license_scan": op8_license_scan,
+    "op9_chat_tools": op9_chat_tools,
     "op10_passage_chains": op10_passage_chains,
 }
 
