@@ -78,7 +78,7 @@ def cited_authorities(text: Column, style: str) -> Column:
     groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)) for i in range(pattern.count("(\\d"))]
     names = [f"g{i}" for i in range(len(groups))]
     zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, names)])
-    return F.array_sort(F.array_distinct(F.transform(zipped, lambda s: F.concat_ws("/", *[s.getField(str(i)) for i in range(len(groups))]))))
+    return F.array_sort(F.array_distinct(F.transform(zipped, lambda s: F.concat_ws("/", *[s.getField(n) for n in names]))))
 
 
 def natural_key(label: Column) -> Column:

@@ -7,6 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from ..functions.udfs import arrow_udf
+
 #: Fixed: English words that carry no signal (a shortened public list; a database's may differ).
 STOP_WORDS = (
     "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during "
@@ -109,7 +111,7 @@ def stem(word: str) -> str:
     return w.lower()
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def stem_word(words: pd.Series) -> pd.Series:
     return words.map({w: stem(w) for w in words.dropna().unique()})
 

@@ -1,4 +1,4 @@
 """All queries of the package: importing the query modules fills the registry."""
 
-from . import relational  # noqa: F401
+from . import relational, textual  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
