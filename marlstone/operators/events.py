@@ -43,13 +43,15 @@ def stage_state(events: DataFrame) -> DataFrame:
 
 
 def agent_tokens(events: DataFrame) -> DataFrame:
-    """Per run and agent: tokens summed over completions, the last cost, whether it has finished."""
+    """Per run and agent: tokens summed over completions since its last start, the last such cost, whether it has finished."""
     a = events.where("type in ('agent_started', 'agent_completed')")
-    done = F.col("type") == "agent_completed"
+    start = F.max(F.when(F.col("type") == "agent_started", F.col("seq"))).over(W.partitionBy("run_id", "agent"))
+    a = a.withColumn("since", F.coalesce(start, F.lit(0)))
+    done = (F.col("type") == "agent_completed") & (F.col("seq") > F.col("since"))
     return a.groupBy("run_id", "agent").agg(
         F.coalesce(F.sum(F.when(done, F.col("input_tokens"))), F.lit(0)).alias("input_tokens"),
         F.coalesce(F.sum(F.when(done, F.col("output_tokens"))), F.lit(0)).alias("output_tokens"),
-        F.max_by(F.when(done, F.col("cost_usd")), "seq").alias("cost_usd"),
+        F.max_by("cost_usd", F.when(done, F.col("seq"))).alias("cost_usd"),
         (F.max_by("type", "seq") == "agent_completed").alias("done"),
     )
 
