@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ..functions.citations import find_citations, resolve_act, statute_mentions, treatment_cues
 from ..functions.text import context_window
+from ..session import spread
 from .aggregates import alias_table
 from .joins import offset_to_paragraph
 
@@ -15,7 +16,7 @@ def mentions(documents: DataFrame) -> DataFrame:
 
     ``gap`` is the text between a citation and the one before it (null for the first).
     """
-    d = documents.where("text is not null").select("doc_id", "text", find_citations("text").alias("spans")).where(F.size("spans") > 0)
+    d = spread(documents.where("text is not null").select("doc_id", "text")).select("doc_id", "text", find_citations("text").alias("spans")).where(F.size("spans") > 0)
     d = d.withColumn("cues", treatment_cues("text", "spans"))
     zipped = F.transform("spans", lambda s, i: F.struct(i.alias("nth"), s.alias("s"), F.get("cues", i).alias("treatment"), F.when(i > 0, F.substring(F.col("text"), F.get("spans", i - 1)["end"] + 1, s["start"] - F.get("spans", i - 1)["end"])).alias("gap"), context_window(F.col("text"), s["start"], s["end"]).alias("context")))
     return d.select("doc_id", F.inline(zipped)).select("doc_id", "nth", "s.*", "gap", "treatment", "context")
@@ -80,7 +81,7 @@ def era_rule(mentions_: DataFrame, acts: DataFrame) -> DataFrame:
 
 def statute_edges(documents: DataFrame, acts: DataFrame) -> DataFrame:
     """One row for each section number that a document mentions: doc_id, start, end, section, act, act_id, raw."""
-    m = documents.where("text is not null").select("doc_id", "decided", F.inline(statute_mentions("text")))
+    m = spread(documents.where("text is not null").select("doc_id", "decided", "text")).select("doc_id", "decided", F.inline(statute_mentions("text")))
     return era_rule(resolve_act(m, acts, "act"), acts)
 
 

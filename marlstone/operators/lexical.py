@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions.udfs import arrow_udf
+from ..session import spread
 
 #: Fixed: English words that carry no signal (a shortened public list; a database's may differ).
 STOP_WORDS = (
@@ -123,7 +124,7 @@ def words_of(text: Column) -> Column:
 
 def token_rows(chunks: DataFrame, text: str = "text") -> DataFrame:
     """chunk_id, pos (from 1, stop words counted), word, without stop words."""
-    rows = chunks.select("chunk_id", F.posexplode(words_of(F.col(text))).alias("p", "word"))
+    rows = spread(chunks.select("chunk_id", text)).select("chunk_id", F.posexplode(words_of(F.col(text))).alias("p", "word"))
     return rows.where(~F.col("word").isin(*STOP_WORDS)).select("chunk_id", (F.col("p") + 1).alias("pos"), "word")
 
 

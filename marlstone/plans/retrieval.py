@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dense as D, evaluate as V, fusion as U, graph as G, lexical as L
 from ..operators.aggregates import lexeme_df as _lexeme_df
+from ..session import spread
 from .registry import query
 
 c = F.col
@@ -81,7 +82,7 @@ p AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(ran
 SELECT query_id, rank, chunk_id, score FROM (SELECT query_id, chunk_id, round(tf * 1.0 / (tf + 1), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(tf * 1.0 / (tf + 1), 6) DESC, chunk_id) AS rank FROM h) WHERE rank <= 20""")
 def search_phrase(t):
     w = L.words_of(c("text"))
-    words = _chunks(t).select("chunk_id", F.posexplode(w).alias("pos", "word"))
+    words = spread(_chunks(t)).select("chunk_id", F.posexplode(w).alias("pos", "word"))
     q = t.documents.where((c("doc_id") % 25 == 0) & (F.size(w) > 3)).select(c("doc_id").alias("query_id"), F.posexplode(F.slice(w, 3, 2)).alias("nth", "word"))
     return L.search_phrase(words, q, 20)
 

@@ -29,6 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small frame's rows out over all cores before work that is heavy for each row.
+
+    A file of one row group is one split however many cores there are. Inputs whose size already makes as many splits
+    as there are cores are left as they are, so what is moved is bounded by cores times the split size.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; without one (tests), a folder beside the warehouse."""
     given = spark.conf.get("spark.checkpoint.dir", None)
