@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import discard, materialise
+from ..session import discard, materialise, spread
 from .common import text_batches
 
 #: How a text holds calls and results besides being one JSON object itself.
@@ -151,7 +151,7 @@ def parts_of(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _PART.split(", ")])
 
     src = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return text_batches(src).mapInArrow(run, _PART)
+    return text_batches(spread(src)).mapInArrow(run, _PART)
 
 
 def call_levels(calls: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialise
+from ..session import materialise, spread
 from .common import SPACES
 
 #: Fixed texts: notices and headers of public licences, by SPDX name.
@@ -61,7 +61,7 @@ def inverse_frequencies(files: DataFrame) -> tuple[dict[str, float], float]:
     """
     n = files.where("text is not null").count()
     known = F.array_intersect(_split(F.col("text")), F.array(*[F.lit(t) for t in VOCABULARY]))
-    df = dict(files.select(F.explode(known).alias("term")).groupBy("term").count().collect())
+    df = dict(spread(files).select(F.explode(known).alias("term")).groupBy("term").count().collect())
     return {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}, math.log(1 + n) + 1
 
 
@@ -77,7 +77,7 @@ def template_weights(idf: dict[str, float]) -> list[tuple[int, str, float]]:
 
 def notices(files: DataFrame) -> DataFrame:
     """path, kind, place, part: lines, paragraphs and whole texts that hold an anchor."""
-    near = files.where(F.col("text").rlike(ANCHOR) & F.col("path").isNotNull())
+    near = spread(files).where(F.col("text").rlike(ANCHOR) & F.col("path").isNotNull())
     line = near.select("path", F.lit("line").alias("kind"), F.posexplode(F.split("text", "\n")).alias("place", "part"))
     block = near.select("path", F.lit("block").alias("kind"), F.posexplode(F.split("text", r"\n[ \t\r]*\n")).alias("place", "part"))
     whole = near.select("path", F.lit("whole").alias("kind"), F.lit(0).alias("place"), F.col("text").alias("part"))

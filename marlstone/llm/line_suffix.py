@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from ..session import discard, materialise
+from ..session import discard, materialise, spread
 from .common import SPACES
 
 #: A repeated run has at least so many lines (a power of two).
@@ -18,7 +18,7 @@ def _split(text):
 
 def line_positions(docs: DataFrame) -> DataFrame:
     """doc, pos, line_no, a, b for every line that has a word: its place among such lines and its 128-bit ID."""
-    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("copy"), F.posexplode(_split(F.col("text").cast("string"))).alias("line_no", "line"))
+    lines = spread(docs.where("doc_id is not null").select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("copy"), F.posexplode(_split(F.col("text").cast("string"))).alias("line_no", "line"))
     lines = lines.where(F.length(F.btrim("line", F.lit(SPACES))) > 0)
     return lines.select("doc", "copy", "line_no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from ..session import materialise
+from ..session import materialise, spread
 from .common import text_batches, vocabulary_path
 
 CAPACITY = 2048
@@ -75,7 +75,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
             )
 
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return text_batches(src).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return text_batches(spread(src)).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_two_fit(counts: np.ndarray) -> list[tuple[list[int], int]]:

@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from ..session import discard, materialise
+from ..session import discard, materialise, spread
 from .common import SPACES, text_batches
 
 #: Fixed by the contract of the base rules.
@@ -66,7 +66,7 @@ def document_stats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(rows[:, i]) for i in range(rows.shape[1]))], names=["doc_id", "lang", "source", *STAT_COLUMNS])
 
     src = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return text_batches(src).mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in STAT_COLUMNS))
+    return text_batches(spread(src)).mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in STAT_COLUMNS))
 
 
 def _features(stats: DataFrame) -> DataFrame:

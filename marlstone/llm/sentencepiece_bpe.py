@@ -11,6 +11,7 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import spread
 from .common import text_batches, vocabulary_path
 
 #: Units remembered by a worker, and the longest one remembered; both bound its memory.
@@ -167,7 +168,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([y.decode() for _, y in got], pa.string())], names=["doc_id", "ids", "decoded"])
 
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return text_batches(src).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return text_batches(spread(src)).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def encoding_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -184,4 +185,4 @@ def encoding_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             )
 
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return text_batches(src).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return text_batches(spread(src)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

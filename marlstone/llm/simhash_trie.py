@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialise
+from ..session import materialise, spread
 from .common import connected_components, text_batches
 
 #: Widths of the three blocks of a 64-bit fingerprint. Two differing bits leave one block untouched.
@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text_batches(src).mapInArrow(run, "doc_id long, fp long")
+    return text_batches(spread(src)).mapInArrow(run, "doc_id long, fp long")
 
 
 def trie_pairs(keys: np.ndarray, roots: list[tuple[int, int, int, int]] | np.ndarray, bits: int, budget: int):
