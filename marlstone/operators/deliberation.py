@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from .windows import hash_order
 
@@ -262,3 +265,69 @@ def analysis_refs(texts: DataFrame) -> DataFrame:
 
     r = texts.select("run_id", "place", F.posexplode(inline_refs(F.col("text"))).alias("i", "ref")).groupBy("run_id", "ref").agg(F.min(F.struct("place", "i")).alias("o"))
     return r.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "ref"))), lambda s: s.ref).alias("refs"))
+
+
+def normalise_refs(texts: DataFrame, arguments: DataFrame) -> DataFrame:
+    """Texts (run_id, place, text) with one [E-nnn] for each evidence that a bracket of record IDs stands for.
+
+    A claim or argument (``arguments``: run_id, argument_id, claim_id, evidence_id, nth) stands for what its citations
+    name, in their order. A bracket that holds anything else is left alone.
+    """
+    ids = arguments.select("run_id", F.explode(F.array("argument_id", "claim_id")).alias("item"), "evidence_id", "nth")
+    per = ids.groupBy("run_id", "item").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("nth", "evidence_id"))), lambda s: s.evidence_id)).alias("e"))
+    table = per.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("item", "e"))).alias("table"))
+
+    def rewrite(text: str, known: dict) -> str:
+        def expand(m):
+            out = []
+            for part in m[1].split(","):
+                t = re.fullmatch(r"\s*([ECA])\s*-?\s*(\d+)\s*", part, re.I)
+                if not t:
+                    return m[0]
+                item = f"{t[1].upper()}-{int(t[2]):03d}"
+                out += [item] if item[0] == "E" else list(known.get(item, []))
+            return " ".join(f"[{e}]" for e in dict.fromkeys(out))
+
+        return re.sub(r"\s+([.,;])", r"\1", re.sub(r"\[([^\[\]]+)\]", expand, text)).strip()
+
+    def run(text: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else rewrite(t, dict(k) if k is not None else {}) for t, k in zip(text, known)], dtype=object)
+
+    udf = F.pandas_udf(run, "string")
+    return texts.join(table, "run_id", "left").select("run_id", "place", udf("text", "table").alias("text"))
+
+
+def analysis_sections(evidence: DataFrame, refs: DataFrame) -> DataFrame:
+    """Statute sections that an analysis relies on: those of its references' evidence, once each."""
+    return refs.join(evidence.where("section_id is not null"), ["run_id", "evidence_id"]).select("run_id", "section_id").distinct()
+
+
+def research_stage(hits: DataFrame, confirmed: DataFrame, passthrough: bool, cap: int, most: int, least: int) -> DataFrame:
+    """Pools of issues; passed through, the best ``least`` hits of each alone."""
+    from .fusion import research_pool
+
+    if passthrough:
+        return hits.where(F.col("rank") <= least).select("issue_id", "chunk_id", F.col("rank").alias("place"))
+    return research_pool(hits, confirmed, cap, most, least)
+
+
+def precedent_stage(cited: DataFrame, cards: DataFrame) -> DataFrame:
+    """Per run: cards, and how many came from the fallback."""
+    c = precedent_cards(cited, cards)
+    return c.groupBy("run_id").agg(F.count("*").alias("cards"), F.count_if("fallback").alias("fallbacks"))
+
+
+def evidence_from_hits(hits: DataFrame, texts: DataFrame, quote_from: int, quote_size: int) -> DataFrame:
+    """A baseline's citations: each hit becomes numbered evidence, a claim and an exact quote of it.
+
+    ``hits`` has query_id, rank, chunk_id. Returns run_id, claim_id, evidence_id, claim_text, quote, text.
+    """
+    j = hits.join(texts, "chunk_id")
+    n = F.format_string("%03d", F.col("rank").cast("int"))
+    return j.select(F.col("query_id").alias("run_id"), F.concat(F.lit("C-"), n).alias("claim_id"), F.concat(F.lit("E-"), n).alias("evidence_id"), F.concat(F.lit("It is so: "), F.substring("text", 1, 40)).alias("claim_text"), F.substring("text", quote_from, quote_size).alias("quote"), "text")
+
+
+def held_analysis(checked: DataFrame) -> DataFrame:
+    """Per run: claims, those that verified or were weak, and the evidence IDs the answer may use."""
+    ok = F.col("status").isin("verified", "weak")
+    return checked.groupBy("run_id").agg(F.count("*").alias("claims"), F.count_if(ok).alias("held"), F.array_sort(F.collect_set(F.when(ok, F.col("evidence_id")))).alias("evidence"))
