@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDER = "marlstone-work"
+_OPENED: set[str] = set()
 
 
 def build_session(app: str = "marlstone", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -43,13 +44,23 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; without one (tests), a folder beside the warehouse."""
+    """A folder for this application in the cluster's spark.checkpoint.dir; without one (tests), beside the warehouse.
+
+    It is deleted when the driver's JVM ends.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         base = given
     else:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/" + _OWN_FOLDER
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if path not in _OPENED:
+        _OPENED.add(path)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return path
 
 
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
