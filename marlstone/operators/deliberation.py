@@ -248,9 +248,9 @@ def best_statute_text(texts: DataFrame) -> DataFrame:
 
 def screening(candidates: DataFrame, cap: int) -> DataFrame:
     """Every row examined until ``cap`` are selected: candidates in order, selected if reasoned and core."""
-    ok = (F.col("reasoned") & F.col("core")).cast("int")
-    c = candidates.withColumn("selected", ok == 1).withColumn("before", F.coalesce(F.sum(ok).over(W.partitionBy(F.lit(0)).orderBy("nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return c.where(F.col("before") < cap).drop("before")
+    c = candidates.withColumn("selected", F.col("reasoned") & F.col("core"))
+    end = c.where("selected").orderBy("nth").limit(cap).agg(F.count("*").alias("n"), F.max("nth").alias("end"))
+    return c.join(F.broadcast(end), (F.col("n") < cap) | (F.col("nth") <= F.col("end"))).drop("n", "end")
 
 
 def key_point_index_check(grades: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions.udfs import arrow_udf
-from ..session import spread
+from ..session import bounded, spread
 
 #: Fixed: English words that carry no signal (a shortened public list; a database's may differ).
 STOP_WORDS = (
@@ -196,12 +196,12 @@ def search_any(postings: DataFrame, terms: DataFrame, k: int, max_candidates: in
     w = W.partitionBy("query_id").orderBy("df", "lexeme").rowsBetween(W.unboundedPreceding, 0)
     q = W.partitionBy("query_id")
     t = terms.withColumn("rare", F.sum("df").over(w) <= max_candidates).withColumn("total", F.sum("idf").over(q)).withColumn("any_rare", F.bool_or("rare").over(q)).withColumn("n_terms", F.count("*").over(q))
-    hits = postings.join(F.broadcast(t), "lexeme").groupBy("query_id", "chunk_id").agg(
+    hits = postings.join(bounded(t), "lexeme").groupBy("query_id", "chunk_id").agg(
         F.sum(F.col("idf") / F.col("total")).alias("coverage"), F.sum("tf").alias("tf"), F.bool_or("rare").alias("has_rare"), F.max("any_rare").alias("any_rare"), F.count("*").alias("matched"), F.max("n_terms").alias("n_terms")
     )
     hits = hits.where(F.when(F.col("any_rare"), F.col("has_rare")).otherwise(F.col("matched") == F.col("n_terms")))
     if excluded is not None:
-        bad = postings.join(F.broadcast(excluded), "lexeme").select("query_id", "chunk_id").distinct()
+        bad = postings.join(bounded(excluded), "lexeme").select("query_id", "chunk_id").distinct()
         hits = hits.join(bad, ["query_id", "chunk_id"], "left_anti")
     score = F.round(F.col("coverage") + density_weight * F.col("tf") / (F.col("tf") + 1), 6)
     return _top(hits.withColumn("score", score), k)
@@ -210,8 +210,8 @@ def search_any(postings: DataFrame, terms: DataFrame, k: int, max_candidates: in
 def search_all(postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     """Chunks with every term, by density."""
     n = terms.groupBy("query_id").agg(F.count_distinct("lexeme").alias("n_terms"))
-    hits = postings.join(F.broadcast(terms.select("query_id", "lexeme").distinct()), "lexeme").groupBy("query_id", "chunk_id").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"))
-    hits = hits.join(F.broadcast(n), "query_id").where("matched = n_terms")
+    hits = postings.join(bounded(terms.select("query_id", "lexeme").distinct()), "lexeme").groupBy("query_id", "chunk_id").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"))
+    hits = hits.join(bounded(n), "query_id").where("matched = n_terms")
     return _top(hits.withColumn("score", F.round(F.col("tf") / (F.col("tf") + 1), 6)), k)
 
 
@@ -222,8 +222,8 @@ def search_phrase(tokens: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
     the phrase would begin: one join and one aggregate for phrases of any length.
     """
     n = phrases.groupBy("query_id").agg(F.count("*").alias("n_words"))
-    votes = tokens.join(F.broadcast(phrases), "word").groupBy("query_id", "chunk_id", (F.col("pos") - F.col("nth")).alias("at")).agg(F.count("*").alias("met"))
-    hits = votes.join(F.broadcast(n), "query_id").where("met = n_words").groupBy("query_id", "chunk_id").agg(F.count("*").alias("tf"))
+    votes = tokens.join(bounded(phrases), "word").groupBy("query_id", "chunk_id", (F.col("pos") - F.col("nth")).alias("at")).agg(F.count("*").alias("met"))
+    hits = votes.join(bounded(n), "query_id").where("met = n_words").groupBy("query_id", "chunk_id").agg(F.count("*").alias("tf"))
     return _top(hits.withColumn("score", F.round(F.col("tf") / (F.col("tf") + 1), 6)), k)
 
 

@@ -79,6 +79,17 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+def bounded(df: DataFrame, rows: int = 200_000, label: str = "bounded") -> DataFrame:
+    """A frame for the small side of a join: written down, counted, and marked for broadcast up to ``rows`` rows.
+
+    Beyond them it is joined by shuffle, like any other.
+    """
+    from pyspark.sql import functions as F
+
+    out = materialise(df, label)
+    return F.broadcast(out) if out.count() <= rows else out
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete the files of a frame that ``materialise`` made, once nothing reads them any more."""
     path = getattr(df, "marlstone_path", None)
