@@ -55,7 +55,7 @@ def test_cut():
 def test_ids_equal_the_tokenizers_library():
     lib = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
     own = K.ByteTokenizer()
-    texts = ["", " ", "a", "It's <|endoftext|> fine", "été\r\n\n  x\t", "😀👍🏽 漢字   ", "a" * 3000, " " * 5000 + "x", "'s'T'll  \x00 1234567 !!??"]
+    texts = ["\n" * 1_000_000 + "x", "", " ", "a", "It's <|endoftext|> fine", "été\r\n\n  x\t", "😀👍🏽 漢字   ", "a" * 3000, " " * 5000 + "x", "'s'T'll  \x00 1234567 !!??"]
     for t in texts:
         assert own(t) == lib.encode(t, add_special_tokens=False).ids
 
