@@ -91,16 +91,16 @@ def pending_citations(t):
 
 def _cited(t):
     """Citations of conversations: some unknown, some misquoted; the passage's length stands for what a judge says."""
-    base = t.conversations.where("length(text) > 60")
-    quote = F.when(c("conv_id") % 5 == 0, "@@@").otherwise(F.substring("text", 10, 12))
+    base = t.conversations
+    quote = F.when(c("conv_id") % 5 == 0, "@@@").otherwise(c("text"))
     cit = base.select(c("conv_id").alias("run_id"), c("turn").alias("claim_id"), F.concat_ws("/", "conv_id", "turn").alias("evidence_id"), quote.alias("quote"), F.concat(F.lit("claim "), c("turn").cast("string")).alias("claim_text"))
     ev = base.where("turn % 4 <> 3").select(c("conv_id").alias("run_id"), F.concat_ws("/", "conv_id", "turn").alias("evidence_id"), "text")
     return cit, ev
 
 
 @query(
-    """SELECT conv_id AS run_id, turn AS claim_id, CASE WHEN turn % 4 = 3 THEN 'existence' WHEN conv_id % 5 = 0 THEN 'quote' END AS failed, CASE WHEN turn % 4 = 3 OR conv_id % 5 = 0 THEN 'invalid' WHEN length(text) % 3 = 0 THEN 'verified' WHEN length(text) % 3 = 1 THEN 'weak' ELSE 'unsupported' END AS status
-    FROM conversations WHERE length(text) > 60"""
+    """SELECT conv_id AS run_id, turn AS claim_id, CASE WHEN turn % 4 = 3 THEN 'existence' WHEN conv_id % 5 = 0 OR trim(text) = '' THEN 'quote' END AS failed, CASE WHEN turn % 4 = 3 OR conv_id % 5 = 0 OR trim(text) = '' THEN 'invalid' WHEN length(text) % 3 = 0 THEN 'verified' WHEN length(text) % 3 = 1 THEN 'weak' ELSE 'unsupported' END AS status
+    FROM conversations"""
 )
 def verify(t):
     cit, ev = _cited(t)
@@ -232,9 +232,9 @@ def incremental_fold(t):
     return _folded(out.groupBy("run_id").agg(F.max_by(F.struct("status", "last_seq", "events", "view"), "last_seq").alias("v")).select("run_id", "v.*"))
 
 
-@query("SELECT run_id, seq, event_id FROM ev WHERE run_id % 5 = 0")
+@query("SELECT run_id, seq, event_id FROM ev")
 def live_tail(t):
-    e = t.ev.where("run_id % 5 = 0").select("run_id", c("seq").cast("long").alias("seq"), "event_id")
+    e = t.ev.select("run_id", c("seq").cast("long").alias("seq"), "event_id")
     s, base = _stream(t, "tail", e.unionByName(e.where("event_id % 2 = 0")).repartition(2))
     S.live_tail(s, f"{base}/checkpoint", lambda df, i: df.write.mode("append").parquet(f"{base}/out")).awaitTermination()
     return t._spark.read.schema("run_id long, seq long, event_id long").parquet(f"{base}/out")
@@ -408,11 +408,11 @@ def b1_drop_uncited(t):
     return B.drop_uncited(t.claims, t.cites).select("run_id", "claim_id")
 
 
-@query("SELECT conv_id AS run_id, turn AS claim_id, substr(text, 10, 12) AS quote FROM conversations WHERE length(text) > 60 AND turn % 4 <> 3")
+@query("SELECT conv_id AS run_id, turn AS claim_id, CASE WHEN conv_id % 5 = 0 AND trim(text) = '' THEN '@@@' ELSE text END AS quote FROM conversations")
 def b1_repair(t):
-    cit, ev = _cited(t)
-    good = t.conversations.where("length(text) > 60").select(c("conv_id").alias("run_id"), c("turn").alias("claim_id"), F.concat_ws("/", "conv_id", "turn").alias("evidence_id"), F.substring("text", 10, 12).alias("quote"))
-    return B.repair_quotes(cit, good, ev).where("claim_id % 4 <> 3").select("run_id", "claim_id", "quote")
+    cit, _ = _cited(t)
+    good = t.conversations.select(c("conv_id").alias("run_id"), c("turn").alias("claim_id"), F.concat_ws("/", "conv_id", "turn").alias("evidence_id"), c("text").alias("quote"))
+    return B.repair_quotes(cit, good, good.withColumnRenamed("quote", "text")).select("run_id", "claim_id", "quote")
 
 
 @query("SELECT run_id, claim_id || ' cites ' || evidence_id || ': quote' AS line FROM results WHERE status = 'invalid'")

@@ -355,9 +355,9 @@ def repeated_edge_lines(t):
     return A.repeated_edge_lines(lines)
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{2,}'))), ' ') AS words FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{2,}'))), ' ') AS words FROM documents")
 def vocabulary(t):
-    return t.documents.where("lang = 'en'").select("doc_id", F.array_join(A.vocabulary(F.col("text")), " ").alias("words"))
+    return t.documents.select("doc_id", F.array_join(A.vocabulary(F.col("text")), " ").alias("words"))
 
 
 @query("SELECT claim_id, CASE max(CASE status WHEN 'verified' THEN 3 WHEN 'weak' THEN 2 WHEN 'unsupported' THEN 1 ELSE 0 END) WHEN 3 THEN 'verified' WHEN 2 THEN 'weak' ELSE 'unsupported' END AS status FROM results GROUP BY claim_id")

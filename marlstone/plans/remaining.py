@@ -162,27 +162,27 @@ def prompt_hash(t):
 
 
 def _seg(t, text):
-    return T.segment(t.part.where("p_partkey % 10 = 0").select(c("p_partkey").alias("doc_id"), text.alias("text")))
+    return T.segment(t.part.select(c("p_partkey").alias("doc_id"), text.alias("text")))
 
 
-@query("SELECT p_partkey, CAST(3 AS BIGINT) AS dropped FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT p_partkey, CAST(3 AS BIGINT) AS dropped FROM part")
 def signature_blocks(t):
     page = F.concat(F.lit("Text of part "), c("p_partkey").cast("string"), F.lit(" that is kept.\nDigitally signed by\nA B\n17:03:43 IST"))
-    d = T.clean_document(t.part.where("p_partkey % 10 = 0").select("p_partkey", F.array(page).alias("pages"), F.lit("hc").alias("profile")))
+    d = T.clean_document(t.part.select("p_partkey", F.array(page).alias("pages"), F.lit("hc").alias("profile")))
     return d.select("p_partkey", c("clean.stats")["dropped_signature"].alias("dropped"))
 
 
-@query("SELECT p_partkey, 'The contract \"x\" was fixed by ' || p_name AS text FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT p_partkey, 'The contract \"x\" was fixed by ' || p_name AS text FROM part")
 def fix_line(t):
     page = F.concat(F.lit("The  con­tract “x” was fi xed by "), c("p_name"))
-    d = T.clean_document(t.part.where("p_partkey % 10 = 0").select("p_partkey", F.array(page).alias("pages"), F.lit("hc").alias("profile")))
+    d = T.clean_document(t.part.select("p_partkey", F.array(page).alias("pages"), F.lit("hc").alias("profile")))
     return d.select("p_partkey", c("clean.text").alias("text"))
 
 
-@query("SELECT CASE p_partkey % 4 WHEN 0 THEN 'blank' WHEN 1 THEN 'symbols' WHEN 2 THEN 'page_number' ELSE 'kept' END AS reason, count(*) AS n FROM part WHERE p_partkey % 10 < 8 GROUP BY 1")
+@query("SELECT CASE p_partkey % 4 WHEN 0 THEN 'blank' WHEN 1 THEN 'symbols' WHEN 2 THEN 'page_number' ELSE 'kept' END AS reason, count(*) AS n FROM part GROUP BY 1")
 def drop_reason(t):
     line = F.get(F.array(F.lit(" "), F.lit("--*--"), F.lit("Page 3 of 9"), F.lit("words of a line")), (c("p_partkey") % 4).cast("int"))
-    d = T.clean_document(t.part.where("p_partkey % 10 < 8").select("p_partkey", F.array(line).alias("pages"), F.lit("hc").alias("profile")))
+    d = T.clean_document(t.part.select("p_partkey", F.array(line).alias("pages"), F.lit("hc").alias("profile")))
     s = c("clean.stats")
     why = F.when(s["dropped_blank"] > 0, "blank").when(s["dropped_symbols"] > 0, "symbols").when(s["dropped_page_number"] > 0, "page_number").otherwise("kept")
     return d.groupBy(why.alias("reason")).agg(F.count("*").alias("n"))
@@ -201,26 +201,26 @@ def _number(s: pd.Series) -> pd.DataFrame:
 
 
 
-@query("SELECT p_partkey AS doc_id, CAST(9 AS BIGINT) AS members, CAST(1 AS BIGINT) AS parts FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT p_partkey AS doc_id, CAST(9 AS BIGINT) AS members, CAST(1 AS BIGINT) AS parts FROM part")
 def best_chain(t):
     text = F.concat(F.lit("JUDGMENT\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.concat(i.cast("string"), F.lit(". Words of part "), c("p_partkey").cast("string"), F.lit("."))), "\n"))
     return _seg(t, text).where("numbering = 'explicit'").groupBy("doc_id").agg(F.count("*").alias("members"), F.max("part").alias("parts"))
 
 
-@query("SELECT p_partkey AS doc_id, CAST(2 AS BIGINT) AS parts FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT p_partkey AS doc_id, CAST(2 AS BIGINT) AS parts FROM part")
 def find_chains(t):
     one = "\n".join(f"{i}. Words of the first opinion, number {i}." for i in range(1, 13))
     two = "\n".join(f"{i}. Words of the second opinion, number {i}." for i in range(1, 12))
     return _seg(t, F.concat(F.lit(f"JUDGMENT\n{one}\nRAO, J.\n{two}\n"), c("p_name"))).groupBy("doc_id").agg(F.max("part").alias("parts"))
 
 
-@query("SELECT p_partkey AS doc_id, 'p-1' AS no FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT p_partkey, 'p-2' FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT p_partkey AS doc_id, 'p-1' AS no FROM part UNION ALL SELECT p_partkey, 'p-2' FROM part")
 def infer_blocks(t):
     text = F.lit("This is a long line of the first paragraph that goes on\nand ends here.\nThis is a long line of the second paragraph that goes on\nand on to the end.")
     return _seg(t, text).select("doc_id", "no")
 
 
-@query("SELECT p_partkey AS doc_id, unnest(['front', 'headnote', 'front', 'body']) AS section FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT p_partkey AS doc_id, unnest(['front', 'headnote', 'front', 'body']) AS section FROM part")
 def front_headnote_split(t):
     body = "\n".join(f"{i}. Words of the opinion, number {i}, of some length." for i in range(1, 12))
     text = F.lit(f"A v. B\nHEADNOTE\nIt was held so.\nCIVIL APPELLATE JURISDICTION : Appeal\n{body}")
@@ -228,23 +228,23 @@ def front_headnote_split(t):
     return s.select("doc_id", "section")
 
 
-@query("SELECT p_partkey AS doc_id, 'body' AS section, 'The facts are these.' AS text FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT p_partkey AS doc_id, 'body' AS section, 'The facts are these.' AS text FROM part")
 def body_start(t):
     lines = ["A v. B", "The Judgment of the Court was delivered by", "The facts are these."] + ["More of the facts follows here in full."] * 3
     return _seg(t, F.lit("\n".join(lines))).where("section = 'body'").groupBy("doc_id", "section").agg(F.min_by("text", "seq").alias("text")).withColumn("text", F.substring_index("text", "\n", 1))
 
 
-@query("SELECT p_partkey AS doc_id, '4' AS no FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT p_partkey AS doc_id, '4' AS no FROM part")
 def contested_flag(t):
     lines = ["JUDGMENT"] + [f"{i}. Words of the opinion, number {i}, of some length." for i in range(1, 12)]
     lines.insert(5, "The clause quoted reads as under:\n4. Whether the seller must pay at all.")
     return _seg(t, F.lit("\n".join(lines))).where("contested").select("doc_id", "no")
 
 
-@query("SELECT p_partkey AS doc_id, CAST(1 AS BIGINT) AS chunks FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT p_partkey AS doc_id, CAST(1 AS BIGINT) AS chunks FROM part")
 def merge_tails(t):
     lines = ["JUDGMENT"] + [f"{i}. Words of it." for i in range(1, 12)]
-    d = t.part.where("p_partkey % 10 = 0").select(c("p_partkey").alias("doc_id"), F.lit("t").alias("title"), F.lit("\n".join(lines[1:])).alias("text"))
+    d = t.part.select(c("p_partkey").alias("doc_id"), F.lit("t").alias("title"), F.lit("\n".join(lines[1:])).alias("text"))
     return T.chunk_judgment(d).where("kind = 'paragraphs'").groupBy("doc_id").agg(F.count("*").alias("chunks"))
 
 
@@ -253,11 +253,11 @@ def sentences(t):
     return t.supplier.select("s_suppkey", F.size(E.sentences(F.concat(F.lit("Held "), "s_name", F.lit(". [E-1] Then it ended.")))).alias("sentences"))
 
 
-@query("SELECT doc_id FROM documents WHERE n_chars > 0")
+@query("SELECT doc_id FROM documents")
 def split_windows(t):
     """Windows of long texts hold at most their tokens, advance, and lose nothing but overlap: documents for which it is so."""
     ok = arrow_udf("boolean")(_windows_hold)
-    return t.documents.where("n_chars > 0").where(ok("text")).select("doc_id")
+    return t.documents.where(ok("text")).select("doc_id")
 
 
 def _windows_hold(s: pd.Series) -> pd.Series:
@@ -281,33 +281,33 @@ def _hard(s: pd.Series) -> pd.Series:
 
 def _section_texts(t):
     lines = F.array_join(F.transform(F.sequence(F.lit(1), c("p_size") + 1), lambda i: F.concat(F.lit("("), i.cast("string"), F.lit(") words"))), "\n")
-    return t.part.where("p_partkey % 10 = 0").select(F.lit("x").alias("act_id"), F.lit("Act X").alias("act"), c("p_partkey").cast("string").alias("section"), F.lit("T").alias("title"), lines.alias("text"))
+    return t.part.select(F.lit("x").alias("act_id"), F.lit("Act X").alias("act"), c("p_partkey").cast("string").alias("section"), F.lit("T").alias("title"), lines.alias("text"))
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS section, CASE WHEN (p_size + 1) * 4 <= 40 THEN 'section' ELSE 'section-lines' END AS kind, CASE WHEN (p_size + 1) * 4 <= 40 THEN 1 ELSE CAST(ceil((p_size + 1) / 8.0) AS BIGINT) END AS chunks FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS section, CASE WHEN (p_size + 1) * 4 <= 40 THEN 'section' ELSE 'section-lines' END AS kind, CASE WHEN (p_size + 1) * 4 <= 40 THEN 1 ELSE CAST(ceil((p_size + 1) / 8.0) AS BIGINT) END AS chunks FROM part")
 def chunk_statute_section(t):
     return T.chunk_statute_section(_section_texts(t), 40).groupBy("section", "kind").agg(F.count("*").alias("chunks"))
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS section, CAST((p_size + 1) * 4 AS BIGINT) AS tokens FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS section, CAST((p_size + 1) * 4 AS BIGINT) AS tokens FROM part")
 def line_windows(t):
     return T.chunk_statute_section(_section_texts(t), 40).groupBy("section").agg(F.sum("tokens").alias("tokens"))
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\n\\r\\x0b\\f]')) AS BIGINT) AS tokens FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\r\x0b\f]')) AS BIGINT) AS tokens FROM documents")
 def count_tokens(t):
     n = arrow_udf("int")(_tokens)
-    return t.documents.where(~c("text").rlike(r"[^\x00-\x7F]")).select("doc_id", n("text").alias("tokens"))
+    return t.documents.select("doc_id", n("text").alias("tokens"))
 
 
 def _tokens(s: pd.Series) -> pd.Series:
     return s.map(T.count_tokens)
 
 
-@query("SELECT p_partkey AS act_id, unnest(['1', '2']) AS section FROM part WHERE p_partkey % 20 = 0")
+@query("SELECT p_partkey AS act_id, unnest(['1', '2']) AS section FROM part")
 def arrangement(t):
     text = F.concat(F.lit("1. Short title\n2. Words\n\n1. Short title.- Part "), c("p_partkey").cast("string"), F.lit(".\n2. Words.- Two.\n"))
-    return T.split_act(t.part.where("p_partkey % 20 = 0").select(c("p_partkey").alias("act_id"), text.alias("text"))).select("act_id", "section")
+    return T.split_act(t.part.select(c("p_partkey").alias("act_id"), text.alias("text"))).select("act_id", "section")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Act 18 of 2018,Act 4 of 1930' ELSE '' END AS acts FROM part")
@@ -334,13 +334,13 @@ def _grouped(t):
     return G.direct_targets(G.parallel_groups(G.mentions(_judgments(t))), spans, neutral)
 
 
-@query("SELECT resolution, count(*) AS n FROM (SELECT unnest(['direct', 'alias', 'direct', 'alias', 'alias']) AS resolution FROM part WHERE p_partkey BETWEEN 1 AND 9999) GROUP BY 1")
+@query("SELECT resolution, count(*) AS n FROM (SELECT unnest(['direct', 'alias', 'direct', 'alias', 'alias']) AS resolution FROM part WHERE p_partkey < 100000) GROUP BY 1")
 def resolve_edges(t):
     g = _grouped(t)
     return G.resolve_edges(g, G.learn_aliases(g)).groupBy("resolution").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 3 * count(*) AS left_over FROM part WHERE p_partkey BETWEEN 1 AND 9999")
+@query("SELECT 3 * count(*) AS left_over FROM part WHERE p_partkey < 100000")
 def drop_self_citations(t):
     g = _grouped(t)
     return G.drop_self_citations(G.resolve_edges(g, G.learn_aliases(g))).agg(F.count("*").alias("left_over"))
@@ -394,10 +394,10 @@ def paired(t):
     """Differences of two experiments by metric: mean, interval and p-value."""
     from ..operators.joins import paired_items
 
-    m = t.scores.where("item < 12").groupBy("experiment", "metric", "item").agg(F.round(F.avg("value"), 6).alias("value"))
+    m = t.scores.groupBy("experiment", "metric", "item").agg(F.round(F.avg("value"), 6).alias("value"))
     d = paired_items(m.where("experiment = 'x'"), m.where("experiment = 'y'"), ["metric", "item"])
     ci = V.bootstrap_ci(d.select("metric", "item", c("difference").alias("value")), "metric", 200)
-    return ci.join(V.sign_flip_p(d, "metric").select("metric", "p_value"), "metric")
+    return ci.join(V.sign_flip_p(d, "metric", flips=2000).select("metric", "p_value"), "metric")
 
 
 @query("SELECT experiment, round(avg(value), 6) AS mean FROM scores GROUP BY 1")
@@ -405,9 +405,9 @@ def table(t):
     return V.macro_means(t.scores.select("experiment", "value"), ["experiment"]).select("experiment", c("value").alias("mean"))
 
 
-@query("SELECT metric, count(v) AS n, round(avg(v), 6) AS mean FROM (SELECT metric, item, avg(value) AS v FROM scores WHERE item < 15 GROUP BY 1, 2) GROUP BY 1")
+@query("SELECT metric, count(v) AS n, round(avg(v), 6) AS mean FROM (SELECT metric, item, avg(value) AS v FROM scores GROUP BY 1, 2) GROUP BY 1")
 def aggregate(t):
-    m = t.scores.where("item < 15").groupBy("metric", "item").agg(F.avg("value").alias("value"))
+    m = t.scores.groupBy("metric", "item").agg(F.avg("value").alias("value"))
     return V.aggregate(m, "metric", 100).select("metric", "n", "mean")
 
 

@@ -38,13 +38,13 @@ def tsvector_stemmed(t):
     return v.groupBy("lexeme").agg(F.count_distinct("chunk_id").alias("ndoc"))
 
 
-#: Queries of three words each: the words 3, 5 and 9 of every 25th document.
+#: Queries of three words each: the words 3, 5 and 9 of every 100th document.
 def _queries(t):
     w = L.words_of(c("text"))
-    return t.documents.where("doc_id % 25 = 0").select(c("doc_id").alias("query_id"), F.array_join(F.array(F.get(w, 2), F.get(w, 4), F.get(w, 8)), " ").alias("query"))
+    return t.documents.where("doc_id % 100 = 0").select(c("doc_id").alias("query_id"), F.array_join(F.array(F.get(w, 2), F.get(w, 4), F.get(w, 8)), " ").alias("query"))
 
 
-_Q = rf"(SELECT doc_id AS query_id, unnest(list_distinct([w[3], w[5], w[9]])) AS lexeme FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id % 25 = 0))"
+_Q = rf"(SELECT doc_id AS query_id, unnest(list_distinct([w[3], w[5], w[9]])) AS lexeme FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id % 100 = 0))"
 _TERMS = f"(SELECT q.query_id, q.lexeme, s.ndoc AS df, ln(1 + (n.n - s.ndoc + 0.5) / (s.ndoc + 0.5)) AS idf FROM {_Q} q JOIN (SELECT lexeme, count(*) AS ndoc FROM {_POST} GROUP BY 1) s ON q.lexeme = s.lexeme, (SELECT count(*) AS n FROM documents) n)"
 
 
@@ -77,13 +77,13 @@ def search_all(t):
     return L.search_all(post, _terms(t, post), 20)
 
 
-@query(rf"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents), q AS (SELECT doc_id AS query_id, w[3] AS a, w[4] AS b FROM d WHERE doc_id % 25 = 0 AND len(w) > 3),
+@query(rf"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents), q AS (SELECT doc_id AS query_id, w[3] AS a, w[4] AS b FROM d WHERE doc_id % 100 = 0 AND len(w) > 3),
 p AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)), h AS (SELECT query_id, doc_id AS chunk_id, count(*) AS tf FROM q JOIN p ON q.a = p.a AND q.b = p.b GROUP BY 1, 2)
 SELECT query_id, rank, chunk_id, score FROM (SELECT query_id, chunk_id, round(tf * 1.0 / (tf + 1), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(tf * 1.0 / (tf + 1), 6) DESC, chunk_id) AS rank FROM h) WHERE rank <= 20""")
 def search_phrase(t):
     w = L.words_of(c("text"))
     words = spread(_chunks(t)).select("chunk_id", F.posexplode(w).alias("pos", "word"))
-    q = t.documents.where((c("doc_id") % 25 == 0) & (F.size(w) > 3)).select(c("doc_id").alias("query_id"), F.posexplode(F.slice(w, 3, 2)).alias("nth", "word"))
+    q = t.documents.where((c("doc_id") % 100 == 0) & (F.size(w) > 3)).select(c("doc_id").alias("query_id"), F.posexplode(F.slice(w, 3, 2)).alias("nth", "word"))
     return L.search_phrase(words, q, 20)
 
 
@@ -108,10 +108,10 @@ def _vectors(t):
     return t.embeddings.select(c("vec_id").alias("chunk_id"), "embedding", c("label").alias("label"))
 
 
-@query(_near("a.vec_id % 50 = 0", "true"))
+@query(_near("a.vec_id % 100 = 0", "true"))
 def cosine_exact(t):
     v = _vectors(t)
-    return D.cosine_exact(v, v.where("chunk_id % 50 = 0").select(c("chunk_id").alias("query_id"), "embedding"), 10)
+    return D.cosine_exact(v, v.where("chunk_id % 100 = 0").select(c("chunk_id").alias("query_id"), "embedding"), 10)
 
 
 @query(_near("a.vec_id IN (1, 2, 3)", "a.vec_id <> b.vec_id"))
@@ -119,10 +119,10 @@ def nearest(t):
     return D.nearest(_vectors(t), [1, 2, 3], 10)
 
 
-@query(_near("a.vec_id % 100 = 7", "a.vec_id <> b.vec_id"))
+@query(_near("a.vec_id % 100 = 0", "a.vec_id <> b.vec_id"))
 def self_join_vectors(t):
     v = _vectors(t)
-    return D.cosine_exact(v, v.where("chunk_id % 100 = 7").select(c("chunk_id").alias("query_id"), "embedding"), 10, exclude_self=True)
+    return D.cosine_exact(v, v.where("chunk_id % 100 = 0").select(c("chunk_id").alias("query_id"), "embedding"), 10, exclude_self=True)
 
 
 @query("SELECT count(*) AS vectors FROM embeddings")
@@ -133,14 +133,14 @@ def dimension_check(t):
 @query()
 def ann_search(t):
     v = _vectors(t)
-    q = v.where("chunk_id % 50 = 0").select(c("chunk_id").alias("query_id"), "embedding")
+    q = v.where("chunk_id % 100 = 0").select(c("chunk_id").alias("query_id"), "embedding")
     return D.ann_search(v, q, 10, D.ivf_build(v, 16), 12)
 
 
 @query()
 def recall_at_k(t):
     v = _vectors(t)
-    q = v.where("chunk_id % 50 = 0").select(c("chunk_id").alias("query_id"), "embedding")
+    q = v.where("chunk_id % 100 = 0").select(c("chunk_id").alias("query_id"), "embedding")
     return D.recall_at_k(D.ann_search(v, q, 10, D.ivf_build(v, 16), 12), D.cosine_exact(v, q, 10))
 
 
@@ -250,7 +250,7 @@ _HYB = _ANY.replace("<= 300", "<= 10000").replace("rank <= 20", "rank <= 100")
 
 
 @query(
-    f"""WITH lex AS ({_HYB}), den AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0 AND a.vec_id IN (SELECT doc_id FROM documents)),
+    f"""WITH lex AS ({_HYB}), den AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id IN (SELECT doc_id FROM documents)),
     u AS (SELECT query_id, chunk_id, rank FROM lex UNION ALL SELECT query_id, chunk_id, rank FROM den WHERE rank <= 100), s AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, min(rank) AS best_rank FROM u GROUP BY 1, 2)
     SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, chunk_id) AS rank, chunk_id, score, best_rank FROM s) WHERE rank <= 10"""
 )
@@ -325,10 +325,10 @@ def cycles(t):
 
 def _graph(t):
     s = lambda x: c(x).cast("string")
-    issues = t.issues.where("run_id % 40 = 0").select("run_id", F.concat(F.lit("I-"), s("issue_id")).alias("issue_id"), F.lit("Which?").alias("question"))
-    pos = t.positions.where("run_id % 40 = 0").select("run_id", F.concat(F.lit("P-"), s("position_id")).alias("position_id"), F.concat(F.lit("I-"), s("issue_id")).alias("issue_id"), F.lit("Yes").alias("statement"))
-    claims = t.claims.where("run_id % 40 = 0").select("run_id", F.concat(F.lit("C-"), s("claim_id")).alias("claim_id"), F.concat(F.lit("P-"), s("position_id")).alias("position_id"), "status", F.lit("text").alias("text"))
-    cites = t.cites.where("run_id % 40 = 0").select("run_id", F.concat(F.lit("C-"), s("claim_id")).alias("claim_id"), F.concat(F.lit("E-"), s("evidence_id")).alias("evidence_id"), "verification")
+    issues = t.issues.select("run_id", F.concat(F.lit("I-"), s("issue_id")).alias("issue_id"), F.lit("Which?").alias("question"))
+    pos = t.positions.select("run_id", F.concat(F.lit("P-"), s("position_id")).alias("position_id"), F.concat(F.lit("I-"), s("issue_id")).alias("issue_id"), F.lit("Yes").alias("statement"))
+    claims = t.claims.select("run_id", F.concat(F.lit("C-"), s("claim_id")).alias("claim_id"), F.concat(F.lit("P-"), s("position_id")).alias("position_id"), "status", F.lit("text").alias("text"))
+    cites = t.cites.select("run_id", F.concat(F.lit("C-"), s("claim_id")).alias("claim_id"), F.concat(F.lit("E-"), s("evidence_id")).alias("evidence_id"), "verification")
     ev = cites.select("run_id", "evidence_id").distinct().select("run_id", "evidence_id", F.concat(F.lit("D-"), "evidence_id").alias("document_id"), F.lit(None).cast("string").alias("section_id"), F.lit("I-0").alias("issue_id"))
     args = claims.select("run_id", F.concat(F.lit("A-"), "claim_id").alias("argument_id"), "claim_id")
     obj = claims.where("status = 'falls'").select("run_id", F.concat(F.lit("O-"), "claim_id").alias("objection_id"), c("claim_id").alias("target_id"))
@@ -336,8 +336,8 @@ def _graph(t):
 
 
 @query(
-    """WITH k AS (SELECT * FROM claims WHERE run_id % 40 = 0), x AS (SELECT * FROM cites WHERE run_id % 40 = 0), e AS (SELECT DISTINCT run_id, evidence_id FROM x)
-    SELECT type, sum(n) AS n FROM (SELECT 'supports' AS type, 2 * count(*) AS n FROM k UNION ALL SELECT 'about_issue', count(*) FROM positions WHERE run_id % 40 = 0 UNION ALL SELECT 'about_issue', count(*) FROM e JOIN (SELECT DISTINCT run_id FROM issues WHERE issue_id = 0) i ON e.run_id = i.run_id
+    """WITH k AS (SELECT * FROM claims), x AS (SELECT * FROM cites), e AS (SELECT DISTINCT run_id, evidence_id FROM x)
+    SELECT type, sum(n) AS n FROM (SELECT 'supports' AS type, 2 * count(*) AS n FROM k UNION ALL SELECT 'about_issue', count(*) FROM positions UNION ALL SELECT 'about_issue', count(*) FROM e JOIN (SELECT DISTINCT run_id FROM issues WHERE issue_id = 0) i ON e.run_id = i.run_id
     UNION ALL SELECT 'quotes', count(*) FROM e UNION ALL SELECT 'cites', count(*) FROM (SELECT DISTINCT run_id, claim_id, evidence_id FROM x) UNION ALL SELECT 'targets', count(*) FROM k WHERE status = 'falls') GROUP BY type""".replace("sum(n) AS n", "CAST(sum(n) AS BIGINT) AS n")
 )
 def build_graph(t):
@@ -376,11 +376,11 @@ def evaluate(t):
     return V.macro_means(m.select("experiment", "v"), ["experiment"])
 
 
-@query("SELECT run_id, round(avg(CASE WHEN ok AND there THEN 1.0 ELSE 0 END), 6) AS citation_validity, round(avg(CASE WHEN there THEN 1.0 ELSE 0 END), 6) AS existence, round(avg(CASE WHEN there THEN CASE WHEN ok THEN 1.0 ELSE 0 END END), 6) AS quote_exact FROM (SELECT turn AS run_id, conv_id % 5 > 0 AS there, conv_id % 3 > 0 AS ok FROM conversations WHERE length(text) > 40) GROUP BY 1")
+@query("SELECT run_id, round(avg(CASE WHEN ok AND there THEN 1.0 ELSE 0 END), 6) AS citation_validity, round(avg(CASE WHEN there THEN 1.0 ELSE 0 END), 6) AS existence, round(avg(CASE WHEN there THEN CASE WHEN ok THEN 1.0 ELSE 0 END END), 6) AS quote_exact FROM (SELECT turn AS run_id, conv_id % 5 > 0 AS there, conv_id % 3 > 0 AND trim(text) <> '' AS ok FROM conversations) GROUP BY 1")
 def citation_validity(t):
-    base = t.conversations.where("length(text) > 40")
-    cit = base.select(c("turn").alias("run_id"), c("conv_id").alias("evidence_id"), F.when(c("conv_id") % 3 > 0, F.substring("text", 5, 15)).otherwise("@@@").alias("quote"))
-    return V.citation_validity(cit, base.where("conv_id % 5 > 0").select(c("turn").alias("run_id"), c("conv_id").alias("evidence_id"), "text"))
+    cit = t.conversations.select(c("turn").alias("run_id"), F.concat_ws("/", "conv_id", "turn").alias("evidence_id"), F.when(c("conv_id") % 3 > 0, c("text")).otherwise("@@@").alias("quote"))
+    ev = t.conversations.where("conv_id % 5 > 0").select(c("turn").alias("run_id"), F.concat_ws("/", "conv_id", "turn").alias("evidence_id"), "text")
+    return V.citation_validity(cit, ev)
 
 
 _LABELLED = "SELECT l_orderkey % 30 AS run_id, CASE l_linenumber WHEN 1 THEN 'supports' WHEN 2 THEN 'partially_supports' WHEN 3 THEN 'contradicts' WHEN 4 THEN 'does_not_support' END AS label, l_returnflag = 'A' AS gold FROM lineitem"
@@ -430,12 +430,12 @@ def cost_latency(t):
     return V.cost_latency(t.calls, totals, clock).withColumn("cost_usd", F.round("cost_usd", 2))
 
 
-_ITEMS = "SELECT experiment AS grp, item, round(avg(value), 6) AS value FROM scores WHERE item < 40 GROUP BY 1, 2"
+_ITEMS = "SELECT experiment AS grp, item, round(avg(value), 6) AS value FROM scores GROUP BY 1, 2"
 
 
 @query(
     f"""WITH v AS (SELECT grp, value, row_number() OVER (PARTITION BY grp ORDER BY item) - 1 AS i FROM ({_ITEMS}) WHERE value IS NOT NULL), n AS (SELECT grp, count(*) AS n, avg(value) AS mean FROM v GROUP BY 1),
-    d AS (SELECT grp, b, CAST('0x' || substr(md5('3:' || b || ':' || j), 1, 8) AS BIGINT) % n AS i FROM n, range(200) r(b), range(40) s(j) WHERE j < n), m AS (SELECT d.grp, b, avg(v.value) AS m FROM d JOIN v ON d.grp = v.grp AND d.i = v.i GROUP BY 1, 2), r AS (SELECT grp, m, row_number() OVER (PARTITION BY grp ORDER BY m, b) - 1 AS r FROM m)
+    d AS (SELECT grp, b, CAST('0x' || substr(md5('3:' || b || ':' || j), 1, 8) AS BIGINT) % n AS i FROM n, range(200) r(b), range(97) s(j) WHERE j < n), m AS (SELECT d.grp, b, avg(v.value) AS m FROM d JOIN v ON d.grp = v.grp AND d.i = v.i GROUP BY 1, 2), r AS (SELECT grp, m, row_number() OVER (PARTITION BY grp ORDER BY m, b) - 1 AS r FROM m)
     SELECT n.grp, n.n, round(n.mean, 6) AS mean, round(max(m) FILTER (r = 5), 6) AS low, round(max(m) FILTER (r = 194), 6) AS high FROM n JOIN r ON n.grp = r.grp GROUP BY 1, 2, 3"""
 )
 def bootstrap_ci(t):
@@ -443,14 +443,12 @@ def bootstrap_ci(t):
 
 
 @query(
-    """WITH d AS (SELECT o_orderstatus AS grp, (o_orderkey * 37 % 101) - 45.0 AS difference, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS i FROM orders QUALIFY i < 10), n AS (SELECT grp, count(*) AS n, abs(sum(difference)) AS seen FROM d GROUP BY 1),
-    s AS (SELECT d.grp, p, abs(sum(CASE WHEN (p >> i) & 1 = 1 THEN difference ELSE -difference END)) AS s FROM d, range(1024) r(p) GROUP BY 1, 2) SELECT n.grp, n.n, count(*) FILTER (s >= seen - 1e-12) / 1024.0 AS p_value FROM n JOIN s ON n.grp = s.grp GROUP BY 1, 2"""
+    """WITH d AS (SELECT o_custkey || '/' || year(o_orderdate) AS grp, (o_orderkey * 37 % 101) - 45.0 AS difference, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey) - 1 AS i FROM orders), n AS (SELECT grp, count(*) AS n, abs(sum(difference)) AS seen FROM d GROUP BY 1),
+    p AS (SELECT grp, n, seen, unnest(range(1 << n)) AS p FROM n), s AS (SELECT p.grp, p.p, abs(sum(CASE WHEN (p.p >> i) & 1 = 1 THEN difference ELSE -difference END)) AS s FROM p JOIN d ON p.grp = d.grp GROUP BY 1, 2) SELECT n.grp, n.n, count(*) FILTER (s >= seen - 1e-12) * 1.0 / (1 << n.n) AS p_value FROM n JOIN s ON n.grp = s.grp GROUP BY 1, 2"""
 )
 def sign_flip_p(t):
-    from pyspark.sql import Window as W
-
-    d = t.orders.withColumn("i", F.row_number().over(W.partitionBy("o_orderstatus").orderBy("o_orderkey"))).where("i <= 10")
-    return V.sign_flip_p(d.select(c("o_orderstatus").alias("grp"), c("o_orderkey").alias("item"), (c("o_orderkey") * 37 % 101 - 45.0).alias("difference")), "grp")
+    grp = F.concat_ws("/", "o_custkey", F.year("o_orderdate"))
+    return V.sign_flip_p(t.orders.select(grp.alias("grp"), c("o_orderkey").alias("item"), (c("o_orderkey") * 37 % 101 - 45.0).alias("difference")), "grp")
 
 
 @query("SELECT tp, fp, fn, round(tp * 1.0 / (tp + fp), 6) AS precision, round(tp * 1.0 / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM (SELECT count(*) FILTER (gold = 1 AND predicted = 1) AS tp, count(*) FILTER (gold <> 1 AND predicted = 1) AS fp, count(*) FILTER (gold = 1 AND predicted <> 1) AS fn FROM pairs)")

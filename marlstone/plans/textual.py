@@ -12,15 +12,18 @@ c = F.col
 _WS = r"regexp_replace({}, '\s+', ' ', 'g')"
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(translate('“' || substr(text, 1, 300) || '’  ', '‘’‚‛′“”„‟″«»', '''''''''''"""""""'), '[\s]+', ' ', 'g')) AS quote FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace(translate('“' || text || '’  ', '‘’‚‛′“”„‟″«»', '''''''''''"""""""'), '[\s]+', ' ', 'g')) AS quote FROM documents""")
 def normalise_quote(t):
-    return t.documents.select("doc_id", X.normalise_quote(F.concat(F.lit("“"), F.substring("text", 1, 300), F.lit("’  "))).alias("quote"))
+    return t.documents.select("doc_id", X.normalise_quote(F.concat(F.lit("“"), c("text"), F.lit("’  "))).alias("quote"))
 
 
-@query(r"""SELECT doc_id, contains(trim(regexp_replace(text, '[\s]+', ' ', 'g')), trim(regexp_replace(substr(text, 20, 30), '[\s]+', ' ', 'g'))) AND doc_id % 3 > 0 AS found FROM documents WHERE length(text) > 60 AND NOT regexp_matches(text, '[‘’‚‛′“”„‟″«»]')""")
+_STRAIGHT = "trim(regexp_replace(translate({}, '‘’‚‛′“”„‟″«»', '{}'), '[\s]+', ' ', 'g'))".format("{}", "''" * 5 + '"' * 7)
+
+
+@query(f"SELECT doc_id, doc_id % 3 > 0 AND {_STRAIGHT.format('substr(text, 20, 30)')} <> '' AND contains({_STRAIGHT.format('text')}, {_STRAIGHT.format('substr(text, 20, 30)')}) AS found FROM documents")
 def quote_in_text(t):
     q = F.when(c("doc_id") % 3 > 0, F.substring("text", 20, 30)).otherwise("@@ not there @@")
-    return t.documents.where((F.length("text") > 60) & ~c("text").rlike("[‘’‚‛′“”„‟″«»]")).select("doc_id", X.quote_in_text(q, c("text")).alias("found"))
+    return t.documents.select("doc_id", X.quote_in_text(q, c("text")).alias("found"))
 
 
 @query("SELECT p_partkey, 'under section ' || p_size || ', section ' || p_size || ' and article ' || p_size || ' ' || p_size || ' x' AS legal FROM part")
@@ -114,10 +117,10 @@ def split_title(t):
     return t.supplier.select("s_suppkey", number.alias("number"), a.alias("petitioner"), b.alias("respondent"))
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, 'VALMIKI J. ' || replace(n_name, '_', ' ') AS first, CAST(2 AS BIGINT) AS judges FROM nation WHERE n_nationkey > 9")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, 'VALMIKI J. ' || replace(n_name, '_', ' ') AS first, CAST(2 AS BIGINT) AS judges FROM nation")
 def split_judges(t):
     name = F.concat(F.lit("HON’BLE MR. JUSTICE VALMIKI J. "), F.replace(c("n_name"), F.lit("_"), F.lit(" ")), F.lit(", J., J.L.KAPUR and J. L. Kapur, JJ."))
-    return t.nation.where("n_nationkey > 9").select("n_nationkey", F.get(M.split_judges(name), 0).alias("first"), F.size(M.split_judges(name)).alias("judges"))
+    return t.nation.select("n_nationkey", F.get(M.split_judges(name), 0).alias("first"), F.size(M.split_judges(name)).alias("judges"))
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, 'A.P. SEN|L.M. SHARMA' AS bench FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT CAST(n_nationkey AS BIGINT), NULL FROM nation WHERE n_nationkey % 2 = 1")
@@ -154,11 +157,10 @@ def title_overlap(t):
     return t.part.select("p_partkey", F.round(X.title_overlap(c("p_name"), F.concat_ws(" ", "p_type", "p_name")), 6).alias("overlap"))
 
 
-@query("SELECT CAST(a.n_nationkey AS BIGINT) AS a, b.p_partkey AS b, a.n_nationkey % 2 = 0 AS same FROM nation a JOIN part b ON a.n_nationkey = b.p_partkey")
+@query("SELECT p_partkey, p_partkey % 2 = 0 AS same FROM part")
 def same_parties(t):
-    j = t.nation.join(t.part, c("n_nationkey") == c("p_partkey"))
-    other = F.when(c("n_nationkey") % 2 == 0, F.concat(c("p_name"), F.lit(" Ltd"))).otherwise("State of Union Ltd")
-    return j.select(c("n_nationkey").alias("a"), c("p_partkey").alias("b"), X.same_parties(F.concat(F.lit("The State versus "), c("p_name")), other).alias("same"))
+    other = F.when(c("p_partkey") % 2 == 0, F.concat(c("p_name"), F.lit(" Ltd"))).otherwise("State of Union Ltd")
+    return t.part.select("p_partkey", X.same_parties(F.concat(F.lit("The State versus "), c("p_name")), other).alias("same"))
 
 
 @query("SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS comparable FROM customer")
@@ -189,10 +191,10 @@ def pinpoint(t):
     return t.part.select("p_partkey", X.pinpoint(F.when(k == 0, n.cast("string")), F.when(k == 1, n), F.when(k == 1, n), F.when(k == 2, n), F.when(k == 2, n + 1), c("p_name")).alias("pinpoint"))
 
 
-@query("SELECT s_suppkey, 'E-007,E-' || CASE WHEN s_suppkey < 1000 THEN lpad(CAST(s_suppkey AS VARCHAR), 3, '0') ELSE CAST(s_suppkey AS VARCHAR) END AS refs FROM supplier WHERE s_suppkey <> 7")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey = 7 THEN 'E-007' ELSE 'E-007,E-' || CASE WHEN s_suppkey < 1000 THEN lpad(CAST(s_suppkey AS VARCHAR), 3, '0') ELSE CAST(s_suppkey AS VARCHAR) END END AS refs FROM supplier")
 def inline_refs(t):
     text = F.concat(F.lit("held [E-7] and [ e"), c("s_suppkey").cast("string"), F.lit("], again [E-007]"))
-    return t.supplier.where("s_suppkey <> 7").select("s_suppkey", F.array_join(X.inline_refs(text), ",").alias("refs"))
+    return t.supplier.select("s_suppkey", F.array_join(X.inline_refs(text), ",").alias("refs"))
 
 
 @query("SELECT s_suppkey, 'held and more' AS sentence FROM supplier")
@@ -201,10 +203,10 @@ def drop_ref(t):
     return t.supplier.select("s_suppkey", X.drop_ref(s, F.concat(F.lit("E-"), F.lpad(c("s_suppkey").cast("string"), 6, "0"))).alias("sentence"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(substr(text, greatest(n_chars // 2 - 160, 0) + 1, n_chars // 2 + 5 + 160 - greatest(n_chars // 2 - 160, 0)), '[\s]+', ' ', 'g')) AS context FROM documents WHERE n_chars > 400")
+@query(r"SELECT doc_id, trim(regexp_replace(substr(text, greatest(n_chars // 2 - 160, 0) + 1, n_chars // 2 + 5 + 160 - greatest(n_chars // 2 - 160, 0)), '[\s]+', ' ', 'g')) AS context FROM documents")
 def context_window(t):
     mid = F.floor(c("n_chars") / 2).cast("int")
-    return t.documents.where("n_chars > 400").select("doc_id", X.context_window(c("text"), mid, mid + 5).alias("context"))
+    return t.documents.select("doc_id", X.context_window(c("text"), mid, mid + 5).alias("context"))
 
 
 @query(r"SELECT doc_id, CASE WHEN length(s) <= 80 THEN s ELSE rtrim(substr(s, 1, 79)) || '…' END AS label FROM (SELECT doc_id, trim(regexp_replace(text, '[\s]+', ' ', 'g')) AS s FROM documents)")
@@ -212,10 +214,9 @@ def short_label(t):
     return t.documents.select("doc_id", X.short_label(c("text")).alias("label"))
 
 
-@query("SELECT doc_id, substr(text, CAST(greatest(0, least(99 + 5 - 50, length(text) - 100)) AS INTEGER) + 1, 100) AS cut FROM documents WHERE length(text) > 300 AND instr(text, substr(text, 100, 10)) = 100")
+@query("SELECT doc_id, CASE WHEN length(text) <= 100 THEN text WHEN instr(text, q) = 0 THEN substr(text, 1, 100) ELSE substr(text, CAST(greatest(0, least(instr(text, q) - 1 + length(q) // 2 - 50, length(text) - 100)) AS INTEGER) + 1, 100) END AS cut FROM (SELECT doc_id, text, substr(text, 100, 10) AS q FROM documents)")
 def passage_cut(t):
-    d = t.documents.where(F.expr("length(text) > 300 and instr(text, substr(text, 100, 10)) = 100"))
-    return d.select("doc_id", X.passage_cut(c("text"), F.expr("substr(text, 100, 10)"), 100).alias("cut"))
+    return t.documents.select("doc_id", X.passage_cut(c("text"), F.substring("text", 100, 10), 100).alias("cut"))
 
 
 @query(r"""SELECT doc_id, i AS nth, array_to_string(w[i * 300 + 1:i * 300 + 300], ' ') AS "window" FROM (SELECT doc_id, w, unnest(range(greatest(1, CAST(ceil(len(w) / 300.0) AS BIGINT)))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents))""")
@@ -307,34 +308,34 @@ def metadata_merge(t):
 def _judgments(t):
     k, n = c("p_partkey").cast("string"), (c("p_partkey") % 50 + 1).cast("string")
     text = F.concat(F.lit("[1990] 2 SCR "), k, F.lit(" : AIR 1990 SC "), k, F.lit(". We followed [1963] 1 SCR "), n, F.lit(" : AIR 1963 SC "), n, F.lit(" and AIR 1963 SC "), n, F.lit(" again; under Sections 73 and 74 of the Indian Contract Act, 1872 it fails."))
-    return t.part.where("p_partkey between 1 and 9999").select(F.concat(F.lit("SC-1990_2_"), k, F.lit("_"), k).alias("doc_id"), c("p_partkey"), text.alias("text"), F.to_date(F.lit("1990-01-01")).alias("decided"))
+    return t.part.where("p_partkey < 100000").select(F.concat(F.lit("SC-1990_2_"), k, F.lit("_"), k).alias("doc_id"), c("p_partkey"), text.alias("text"), F.to_date(F.lit("1990-01-01")).alias("decided"))
 
 
 def _index(t):
-    own = t.part.where("p_partkey between 1 and 9999").select(F.concat(F.lit("1990_2_"), c("p_partkey").cast("string"), F.lit("_"), c("p_partkey").cast("string")).alias("path"), F.lit(None).cast("string").alias("case_id"))
+    own = t.part.where("p_partkey < 100000").select(F.concat(F.lit("1990_2_"), c("p_partkey").cast("string"), F.lit("_"), c("p_partkey").cast("string")).alias("path"), F.lit(None).cast("string").alias("case_id"))
     old = t._spark.range(1, 51).select(F.concat(F.lit("1963_1_"), c("id").cast("string"), F.lit("_"), c("id").cast("string")).alias("path"), F.concat(F.lit("1963  INSC "), c("id").cast("string")).alias("case_id"))
     return own.unionByName(old)
 
 
-@query("SELECT p_partkey, CAST(unnest([0, 1, 2, 3, 4]) AS BIGINT) AS nth, CAST(unnest([1, 1, 2, 2, 3]) AS BIGINT) AS grp FROM part WHERE p_partkey BETWEEN 1 AND 9999")
+@query("SELECT p_partkey, CAST(unnest([0, 1, 2, 3, 4]) AS BIGINT) AS nth, CAST(unnest([1, 1, 2, 2, 3]) AS BIGINT) AS grp FROM part WHERE p_partkey < 100000")
 def parallel_groups(t):
     j = _judgments(t)
     return G.parallel_groups(G.mentions(j)).join(j.select("doc_id", "p_partkey"), "doc_id").select("p_partkey", "nth", "grp")
 
 
-@query("SELECT 'AIR 1963 SC ' || n AS alias, 'SC-1963_1_' || n || '_' || n AS target_ref, count(*) AS evidence FROM (SELECT p_partkey % 50 + 1 AS n FROM part WHERE p_partkey BETWEEN 1 AND 9999) GROUP BY n UNION ALL SELECT 'AIR 1990 SC ' || p_partkey, 'SC-1990_2_' || p_partkey || '_' || p_partkey, 1 FROM part WHERE p_partkey BETWEEN 1 AND 9999")
+@query("SELECT 'AIR 1963 SC ' || n AS alias, 'SC-1963_1_' || n || '_' || n AS target_ref, count(*) AS evidence FROM (SELECT p_partkey % 50 + 1 AS n FROM part WHERE p_partkey < 100000) GROUP BY n UNION ALL SELECT 'AIR 1990 SC ' || p_partkey, 'SC-1990_2_' || p_partkey || '_' || p_partkey, 1 FROM part WHERE p_partkey < 100000")
 def learn_aliases(t):
     spans, neutral = G.build_index(_index(t))
     return G.learn_aliases(G.direct_targets(G.parallel_groups(G.mentions(_judgments(t))), spans, neutral))
 
 
-@query("SELECT year, supp, volume, count(*) AS reports FROM (SELECT 1990 AS year, false AS supp, 2 AS volume FROM part WHERE p_partkey BETWEEN 1 AND 9999 UNION ALL SELECT 1963, false, 1 FROM range(50)) GROUP BY ALL".replace("1990 AS year", "CAST(1990 AS BIGINT) AS year").replace("2 AS volume", "CAST(2 AS BIGINT) AS volume"))
+@query("SELECT year, supp, volume, count(*) AS reports FROM (SELECT 1990 AS year, false AS supp, 2 AS volume FROM part WHERE p_partkey < 100000 UNION ALL SELECT 1963, false, 1 FROM range(50)) GROUP BY ALL".replace("1990 AS year", "CAST(1990 AS BIGINT) AS year").replace("2 AS volume", "CAST(2 AS BIGINT) AS volume"))
 def build_index(t):
     return G.build_index(_index(t))[0].groupBy("year", "supp", "volume").agg(F.count("*").alias("reports"))
 
 
 @query(
-    """SELECT 'SC-1990_2_' || p_partkey || '_' || p_partkey AS doc_id, x.kind, x.canonical, x.target_ref, x.resolution, x.treatment FROM (SELECT p_partkey, p_partkey % 50 + 1 AS n FROM part WHERE p_partkey BETWEEN 1 AND 9999), LATERAL (
+    """SELECT 'SC-1990_2_' || p_partkey || '_' || p_partkey AS doc_id, x.kind, x.canonical, x.target_ref, x.resolution, x.treatment FROM (SELECT p_partkey, p_partkey % 50 + 1 AS n FROM part WHERE p_partkey < 100000), LATERAL (
     SELECT 'case' AS kind, '[1963] 1 SCR ' || n AS canonical, 'SC-1963_1_' || n || '_' || n AS target_ref, 'direct' AS resolution, 'followed' AS treatment
     UNION ALL SELECT 'case', 'AIR 1963 SC ' || n, 'SC-1963_1_' || n || '_' || n, 'alias', 'followed' UNION ALL SELECT 'case', 'AIR 1963 SC ' || n, 'SC-1963_1_' || n || '_' || n, 'alias', 'followed'
     UNION ALL SELECT 'statute', 'contract_act:73', 'ACT-contract_act', 'act', NULL UNION ALL SELECT 'statute', 'contract_act:74', 'ACT-contract_act', 'act', NULL) x"""
@@ -422,7 +423,7 @@ def split_sentences(t):
 @query()
 def split_act(t):
     body = F.concat(F.lit("1. Short title\n2. Words\n3. Repealed\n\n1. Short title.- This is part "), c("p_partkey").cast("string"), F.lit(".\n2. Words.- (1) In this Act.\n(2) And so on.\n"))
-    return T.split_act(t.part.where("p_partkey % 20 = 0").select(c("p_partkey").alias("act_id"), body.alias("text"))).select("act_id", "section", "title", "char_start", "char_end", "repealed")
+    return T.split_act(t.part.select(c("p_partkey").alias("act_id"), body.alias("text"))).select("act_id", "section", "title", "char_start", "char_end", "repealed")
 
 
 @query("SELECT p_partkey, '(1),(2)' AS labels, 'Act 18 of 2018' AS amended, p_partkey % 2 = 0 AS repealed FROM part")
