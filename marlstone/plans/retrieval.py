@@ -398,7 +398,7 @@ def citation_faithfulness(t):
 def unsupported_claim_rate(t):
     refs = t.lineitem.where("l_linenumber <= 2").groupBy(c("l_orderkey").alias("place")).agg(F.collect_set("l_suppkey").alias("refs"))
     st = t.orders.select(c("o_custkey").alias("run_id"), c("o_orderkey").alias("place")).join(refs, "place", "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<bigint>")))
-    sup = t.orders.select(c("o_custkey").alias("run_id")).distinct().join(F.broadcast(t.supplier.where("s_suppkey % 4 = 0").select(c("s_suppkey").alias("evidence_id"), F.lit("weak").alias("status"))))
+    sup = st.select("run_id", F.explode("refs").alias("evidence_id")).where("evidence_id % 4 = 0").distinct().withColumn("status", F.lit("weak"))
     return V.unsupported_claim_rate(st, sup)
 
 
