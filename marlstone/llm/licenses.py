@@ -9,7 +9,6 @@ from collections import Counter
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise, spread
-from .common import SPACES
 
 #: Fixed texts: notices and headers of public licences, by SPDX name.
 TEMPLATES = (
