@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from marlstone.llm.common import SPACES
 from marlstone.llm.line_suffix import dedup_lines
+from marlstone.llm.near_duplicates import keep_one_per_near_class
 from marlstone.llm.packing import pack
 from marlstone.llm.passage_chains import cut_passages
 from marlstone.llm.quality_rules import keep_good
-from marlstone.llm.simhash_trie import keep_one_per_class
 from marlstone.session import materialise
 
 
@@ -32,7 +32,7 @@ def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one_per_class(docs)
+    return keep_one_per_near_class(docs)
 
 
 def passage_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
