@@ -17,6 +17,9 @@ from marlstone.llm.passage_chains import cut_passages
 from marlstone.llm.quality_rules import keep_good
 from marlstone.session import materialise
 
+#: Later copies of a single line go if it has so many words (as many as a passage) or is a whole text.
+LONG_LINE = 50
+
 
 def _after_cut(before: DataFrame, after: DataFrame) -> DataFrame:
     left = after.select(before.columns).withColumn("n_chars", F.length("text").cast(before.schema["n_chars"].dataType))
@@ -28,7 +31,7 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _after_cut(docs, dedup_lines(docs))
+    return _after_cut(docs, dedup_lines(docs, LONG_LINE))
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

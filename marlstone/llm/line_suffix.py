@@ -16,11 +16,13 @@ def _split(text):
     return F.split(text, NEWLINE, -1)
 
 
-def line_positions(docs: DataFrame) -> DataFrame:
-    """doc, pos, line_no, a, b for every line that has a word: its place among such lines and its 128-bit ID."""
+def line_positions(docs: DataFrame, long_words: int | None = None) -> DataFrame:
+    """doc, copy, line_no, a, b, long for every line that has a word: its 128-bit ID, and if it has ``long_words`` words."""
     lines = spread(docs.where("doc_id is not null").select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("copy"), F.posexplode(_split(F.col("text").cast("string"))).alias("line_no", "line"))
     lines = lines.where(F.length(F.btrim("line", F.lit(SPACES))) > 0)
-    return lines.select("doc", "copy", "line_no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+    words = F.size(F.split(F.btrim("line", F.lit(SPACES)), r"[ \t\n\x0b\f\r]+"))
+    long = F.lit(False) if long_words is None else words >= long_words
+    return lines.select("doc", "copy", "line_no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), long.alias("long"))
 
 
 def _ranked(classes: DataFrame, *keys: str) -> DataFrame:
@@ -28,25 +30,29 @@ def _ranked(classes: DataFrame, *keys: str) -> DataFrame:
     return materialise(classes.orderBy(*keys).withColumn("rank_new", F.monotonically_increasing_id()), "ranks")
 
 
-def suffix_levels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def suffix_levels(docs: DataFrame, long_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Prefix doubling over the line sequences of all documents.
 
     Level k ranks, in suffix order, the positions whose next 2^k lines also stand elsewhere; a rank is an
     interval of the suffix array with a longest common prefix of at least 2^k lines. Positions that are alone
     leave, since every longer prefix of theirs is alone too, and doubling ends when all have left. A document
-    is a sequence of its own, so no prefix runs over its end.
+    is a sequence of its own, so no prefix runs over its end. With ``long_words``, intervals of one line count too where
+    the line has so many words or is the only one of its document.
 
     Returns the positions of repeated lines (doc, copy, pos, line_no), and for each position that is not
     the first of some interval the longest such prefix (doc, copy, pos, lines).
     """
-    lines = line_positions(docs).distinct()
+    lines = line_positions(docs, long_words).distinct()
     place = F.row_number().over(W.partitionBy("doc", "copy").orderBy("line_no")) - 1
+    if long_words is not None:
+        lines = lines.withColumn("long", F.col("long") | (F.count("*").over(W.partitionBy("doc", "copy")) == 1))
     lines = materialise(lines.withColumn("pos", place), "lines")
     first = F.min(F.struct("doc", "copy", "pos")).alias("first")
     classes = _ranked(lines.groupBy("a", "b").agg(F.count("*").alias("n"), first).where("n > 1"), "a", "b")
-    base = materialise(lines.join(classes, ["a", "b"]).select("doc", "copy", "pos", "line_no", F.col("rank_new").alias("rank"), (F.struct("doc", "copy", "pos") > F.col("first")).alias("later")), "level")
+    base = materialise(lines.join(classes, ["a", "b"]).select("doc", "copy", "pos", "line_no", "long", F.col("rank_new").alias("rank"), (F.struct("doc", "copy", "pos") > F.col("first")).alias("later")), "level")
     discard(lines)
-    later, level, lines_at = [], base, 1
+    level, lines_at = base, 1
+    later = [] if long_words is None else [base.where("later and long").select("doc", "copy", "pos", F.lit(1).alias("lines"))]
     while True:
         if lines_at >= MIN_LINES:
             later.append(level.where("later").select("doc", "copy", "pos", F.lit(lines_at).alias("lines")))
@@ -67,22 +73,23 @@ def suffix_levels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return base, found.groupBy("doc", "copy", "pos").agg(F.max("lines").alias("lines"))
 
 
-def later_copies(docs: DataFrame) -> DataFrame:
+def later_copies(docs: DataFrame, long_words: int | None = None) -> DataFrame:
     """doc, copy and the sorted line numbers to delete.
 
     A run of n lines that stands earlier is covered by its two prefixes of the largest power of two within n,
     each of which stands earlier as well; so the union of the longest such prefixes is exactly the lines of
-    all maximal repeated runs of MIN_LINES or more, without their first copies.
+    all maximal repeated runs of MIN_LINES or more (and the single lines of ``suffix_levels``), without their first copies.
     """
-    base, found = suffix_levels(docs)
+    base, found = suffix_levels(docs, long_words)
     upto = W.partitionBy("doc", "copy").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     reach = F.max(F.col("pos") + F.col("lines")).over(upto)
     rows = base.select("doc", "copy", "pos", "line_no").join(found, ["doc", "copy", "pos"], "left").withColumn("reach", reach)
     return rows.where("reach > pos").groupBy("doc", "copy").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """Documents without the later copies of repeated line runs.
+def dedup_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
+    """Documents without the later copies of repeated line runs; with ``long_words``, also of single lines of so many
+    words and of lines that are the only one of their document.
 
     Returns the columns of ``docs`` with the new text (remaining lines joined again) and the columns
     lines_total and lines_deleted (lines with a word). Copies are earlier by doc_id, then (rows that share a
@@ -90,7 +97,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     without a word are no part of runs and stay. Null texts and rows without doc_id come back as they
     are, with counts of null and zero lines deleted; an empty table gives an empty result.
     """
-    gone = later_copies(docs).withColumnsRenamed({"doc": "cut_doc", "copy": "cut_copy", "gone": "cut_lines"})
+    gone = later_copies(docs, long_words).withColumnsRenamed({"doc": "cut_doc", "copy": "cut_copy", "gone": "cut_lines"})
     text = F.col("text").cast("string")
     here = docs.join(gone, (docs.doc_id.cast("long") == gone.cut_doc) & (F.xxhash64("text") == gone.cut_copy), "left")
     left = F.filter(_split(text), lambda _, i: ~F.array_contains(F.col("cut_lines"), i))

@@ -42,3 +42,18 @@ def test_edges(spark):
     assert got.columns == ["doc_id", "text", "pos", "lines_total", "lines_deleted"]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, None), (2, ""), (None, "a\nb"), (3, "a\nb"), (4, ""), (4, ""), (4, "c"), (5, "\n ")], key=repr)
     assert L.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_long_and_only_lines(spark):
+    """Repeated single lines go where they are long or a whole text, in the pipeline's stage; short ones among others stay."""
+    import corpus_pipeline
+
+    long, less = " ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(49))
+    texts = {1: f"a\n{long}\nb", 2: f"c\n{long}\nd", 3: less, 4: less, 5: f"e\n{less}\nf", 6: "a", 7: f"a\ng\n \t{long}", 8: f"{long}\n\nh\n{long}", 9: "only\n", 10: "\n only", 11: "only"}
+    rows = [(d, t, len(t)) for d, t in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+    want = dict(texts) | {2: "c\nd", 4: "", 6: "", 8: "\nh", 11: ""}
+    assert {r.doc_id: r.text for r in L.dedup_lines(df, 50).collect()} == want
+    assert {r.doc_id: r.text for r in L.dedup_lines(df).collect()} == texts
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, df, "").collect()} == {d: t for d, t in want.items() if t.strip()}
+    assert L.dedup_lines(df.limit(0), 50).count() == 0
