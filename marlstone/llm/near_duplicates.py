@@ -19,7 +19,8 @@ BITS = 1024
 #: Documents whose shingles are counted for the order, and from how many of them on a shingle comes late in it. The
 #: order only decides how many candidates there are, never which pairs are found.
 SAMPLE, COMMON = 20_000, 10
-#: While there are more candidate rows than so many for each token row, they are first thinned by stars.
+#: While there are more candidate rows than so many for each token row, they are first thinned by stars, as long as each
+#: star leaves at most half of them.
 DENSE = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -208,20 +209,20 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     shared = rows.select("tok").groupBy("tok").count().where("count > 1").select("tok")
     tokens = materialise(rows.join(shared, "tok").select("tok", "sid", "head", "n", F.col("place").cast("long").alias("place")), "tokens")
     discard(sketches)
-    size, links, star = tokens.count(), same, 0
+    size, links, star, before = tokens.count(), same, 0, float("inf")
     while True:
         part = materialise(connected_components(links, label="near"), "part")
         marked = materialise(tokens.join(part, tokens["head"] == part["node"], "left").select("tok", "sid", "n", "place", F.coalesce("component", "head").alias("comp")), "marked")
         groups = marked.groupBy("tok", "comp").count().groupBy("tok").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("inner"))
-        dense = (groups.agg(F.sum((F.col("m") * F.col("m") - F.col("inner")) / 2)).first()[0] or 0) > DENSE * size
-        thin = star if dense and star is not None else None
+        left = groups.agg(F.sum((F.col("m") * F.col("m") - F.col("inner")) / 2)).first()[0] or 0
+        thin = star if left > DENSE * size and 2 * left <= before else None
         pairs = marked.repartition("tok").mapInArrow(lambda x, k=thin: _candidates(x, k), "sa long, sb long").distinct()
         new = _verified(docs, pairs, heads)
         discard(marked)
         links = links.unionByName(new)
         if thin is None:
             break
-        star = star + 1 if new.limit(1).count() else None  # stars that link nothing give way to all pairs
+        star, before = star + 1, left
     discard(tokens)
     part = connected_components(links, label="near")
     every = same.select(F.col("dst").alias("doc")).distinct()
