@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import discard, materialise
@@ -24,6 +27,31 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Tables of complete groups from batches that are sorted by ``keys``; no more than a batch and one group is held."""
+    held: list[pa.RecordBatch] = []
+
+    def key(b, at):
+        return [b.column(k)[at] for k in keys]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        if len(cuts):
+            last = int(cuts[-1])
+            yield pa.Table.from_batches([*held, b.slice(0, last)])
+            held = [b.slice(last)]
+        elif held and key(held[-1], held[-1].num_rows - 1) != key(b, 0):
+            yield pa.Table.from_batches(held)
+            held = [b]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def vocabulary_path(name: str) -> str:
     """A public tokenizer file, by the environment's folder or the installed package; never copied."""
     folder = os.environ.get("MARLSTONE_TOKENIZERS")

@@ -1,4 +1,4 @@
-"""Near-duplicate documents by the exact Jaccard similarity of their word shingles: prefix filter, then verification."""
+"""Near-duplicate documents by exact Jaccard similarity of word shingles: SimHash tries, prefix stars, verification."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import bounded, discard, materialise, spread
-from .common import connected_components, text_batches
+from .common import connected_components, text_batches, whole_groups
+from .simhash_trie import majority_bits, near_links
 
 #: Words of a shingle, and the least similarity of a pair as a fraction (numerator, denominator).
 WIDTH, LEAST = 5, (4, 5)
@@ -19,9 +20,8 @@ BITS = 1024
 #: Documents whose shingles are counted for the order, and from how many of them on a shingle comes late in it. The
 #: order only decides how many candidates there are, never which pairs are found.
 SAMPLE, COMMON = 20_000, 10
-#: While there are more candidate rows than so many for each token row, they are first thinned by stars, as long as each
-#: star leaves at most half of them.
-DENSE = 2
+#: Rows of a block: a token's rows beyond it are compared by pairs of blocks.
+BLOCK_ROWS = 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,7 +88,7 @@ def _late(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(docs: DataFrame, late) -> DataFrame:
-    """doc, sid (which names its set), n, the set's bitmap and its prefix in order."""
+    """doc, sid (which names its set), n, the set's SimHash, its bitmap and its prefix in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,11 +97,11 @@ def _sketches(docs: DataFrame, late) -> DataFrame:
             ends = pa.array(np.cumsum([0] + [len(x) for x in first]), pa.int32())
             toks = pa.array(np.concatenate(first or [np.empty(0, np.uint64)]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_bitmap(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(ends, toks)],
-                names=["doc", "sid", "n", "bitmap", "toks"],
+                [b.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([majority_bits(s) for s in sets], pa.uint64()).cast(pa.int64(), safe=False), pa.array([parity_bitmap(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(ends, toks)],
+                names=["doc", "sid", "n", "fp", "bitmap", "toks"],
             )
 
-    return text_batches(spread(_texts(docs))).mapInArrow(run, "doc long, sid long, n long, bitmap binary, toks array<long>")
+    return text_batches(spread(_texts(docs))).mapInArrow(run, "doc long, sid long, n long, fp long, bitmap binary, toks array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -118,43 +118,83 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("hashes").alias("hashes"))
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], star: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets of different components that share a token: of one set with all others, or (no star) all.
+def _may_match(na, nb, rest):
+    """Whether sizes allow the similarity when at most ``rest`` elements are shared."""
+    p, q = LEAST
+    return (q * F.least(na, nb) >= p * F.greatest(na, nb)) & ((p + q) * rest >= p * (na + nb))
+
+
+def _stars(marked: DataFrame) -> DataFrame:
+    """Candidates sa, sb: for each token its hub with every set of another component.
+
+    The hub is the set with the smallest share of its elements before the token in the common order: of near copies the
+    one with the fewest elements of its own, which most others are nearest to.
+    """
+    hub = F.min(F.struct((F.col("place") / F.col("n")).alias("share"), "sid", "n", "place", "comp")).alias("hub")
+    pairs = marked.join(marked.groupBy("tok").agg(hub), "tok").where(F.col("comp") != F.col("hub.comp"))
+    # what two sets can still share from their first common token on bounds what they share at all
+    rest = F.least(F.col("n") - F.col("place"), F.col("hub.n") - F.col("hub.place"))
+    pairs = pairs.where(_may_match(F.col("n"), F.col("hub.n"), rest))
+    return pairs.select(F.least("sid", "hub.sid").alias("sa"), F.greatest("sid", "hub.sid").alias("sb")).distinct()
+
 
-    Sizes must allow the similarity. So must, without a star, the places of the token: what two sets can still share
-    from it on is bounded, and where it is their first common one the bound holds for the whole sets.
+def _dealt(marked: DataFrame) -> DataFrame:
+    """The rows of tokens that two components or more share, dealt into tasks of bounded size.
+
+    The rows of a token's largest component need no pairs among themselves. They make blocks, and so do all others; a
+    task is a block of others with itself, with another such block, or with a block of the largest component.
+    ``side`` parts the two blocks of a task (0 in a task of one block).
     """
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
-    col = {c: t.column(c).to_numpy() for c in ("tok", "sid", "comp", "n", "place")}
-    key = col["sid"].view(np.uint64) if star is None else (col["sid"].view(np.uint64) ^ np.uint64(star * 0x5851F42D4C957F2D % (1 << 64))) * _MIX
-    order = np.lexsort((key, col["tok"]))
-    tok, sid, comp, n, place = (col[c][order] for c in ("tok", "sid", "comp", "n", "place"))
-    cuts = np.flatnonzero(np.diff(tok)) + 1
+    per = marked.groupBy("tok", "comp").count().groupBy("tok").agg(F.max(F.struct("count", "comp")).alias("main"), F.sum("count").alias("m")).where("main.count < m")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK_ROWS))
+    per = per.select("tok", F.col("main.comp").alias("main"), "m", blocks(F.col("main.count")).alias("mains"), blocks(F.col("m") - F.col("main.count")).alias("others"))
+    rows = marked.join(per, "tok").withColumn("in_main", F.col("comp") == F.col("main"))
+    count = F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("sid"), count))
+    task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"), side.cast("long").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    zero, one, block = F.lit(0), F.lit(1), F.col("block")
+    tasks = (
+        F.when(F.col("m") <= BLOCK_ROWS, F.array(task("all", zero, zero, zero)))
+        .when(F.col("in_main"), F.transform(upto(F.col("others")), lambda i: task("main", i, block, one)))
+        .otherwise(
+            F.concat(
+                F.transform(upto(F.col("others")), lambda j: task("others", F.least(block, j), F.greatest(block, j), (block > j).cast("long"))),
+                F.transform(upto(F.col("mains")), lambda j: task("main", block, j, zero)),
+            )
+        )
+    )
+    out = rows.select("tok", "sid", "comp", "n", "place", F.explode(tasks).alias("t"))
+    return out.select(F.xxhash64("tok", "t.kind", "t.i", "t.j").alias("task"), "tok", "t.side", (F.col("t.i") != F.col("t.j")).alias("two") | (F.col("t.kind") == "main"), "sid", "comp", "n", "place").toDF("task", "tok", "side", "two", "sid", "comp", "n", "place")
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets of different components that share a token and whose sizes and places allow the similarity."""
     p, q = LEAST
-    out, held_rows = [], 0
+    out, found = [], 0
 
     def batch():
         pairs = np.unique(np.concatenate(out), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["sa", "sb"])
 
-    for s, e in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(tok)].tolist()):
-        for i in range(s, e - 1 if star is None else min(s + 1, e - 1)):
-            j = slice(i + 1, e)
-            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (comp[j] != comp[i]) & (q * low >= p * high)
-            if star is None:
+    for t in whole_groups(batches, "task", "tok"):
+        task, tok, side, two, sid, comp, n, place = (t.column(c).to_numpy() for c in ("task", "tok", "side", "two", "sid", "comp", "n", "place"))
+        cuts = np.flatnonzero((np.diff(task) != 0) | (np.diff(tok) != 0)) + 1
+        for s, e in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(task)].tolist()):
+            for i in range(s, e - 1):
+                j = slice(i + 1, e)
+                low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
                 rest = np.minimum(n[i] - place[i], n[j] - place[j])
-                ok &= (p + q) * rest >= p * (n[i] + n[j])
-            to = sid[j][ok]
-            if len(to):
-                out.append(np.stack([np.minimum(to, sid[i]), np.maximum(to, sid[i])], axis=1))
-                held_rows += len(to)
-                if held_rows > 100_000:
-                    yield batch()
-                    out, held_rows = [], 0
+                ok = (comp[j] != comp[i]) & (q * low >= p * high) & ((p + q) * rest >= p * (n[i] + n[j]))
+                if two[i]:
+                    ok &= side[j] != side[i]
+                to = sid[j][ok]
+                if len(to):
+                    out.append(np.stack([np.minimum(to, sid[i]), np.maximum(to, sid[i])], axis=1))
+                    found += len(to)
+                    if found > 100_000:
+                        yield batch()
+                        out, found = [], 0
     if out:
         yield batch()
 
@@ -192,39 +232,52 @@ def _verified(docs: DataFrame, pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return out
 
 
+def _marked(tokens: DataFrame, links: DataFrame) -> DataFrame:
+    """Token rows with the component of their set, for what is linked so far."""
+    part = materialise(connected_components(links, label="near"), "part")
+    rows = tokens.join(part, tokens["head"] == part["node"], "left").select("tok", "sid", "n", "place", F.coalesce("component", "head").alias("comp"))
+    out = materialise(rows, "marked")
+    discard(part)
+    return out
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc and component: every document's near-duplicate class by the smallest doc_id in it.
 
     Two documents are linked if the Jaccard similarity of their sets of WIDTH-word shingles is LEAST or more; a
-    class is what links connect. All links count: candidates are all pairs of sets that share an element of their
-    prefixes, less those that sizes, places or parity bitmaps (all bounds, no estimates) rule out and those already
-    in one class. Large groups are first thinned by stars from one member for each token, so that n near copies
-    make about n rows. Equal sets are one whatever their number.
+    class is what links connect. Candidates come in three steps, and each is verified set by set:
+
+    1. The binary-trie self-join of the sets' SimHash fingerprints (``simhash_trie``).
+    2. For each shingle that prefixes share, the star of its hub (``_stars``): n near copies make about n rows.
+    3. All pairs that share an element of their prefixes and are not in one class by then (``_dealt``).
+
+    The third step makes the result whole: sets of that similarity differ in about ten bits of 64, and no trie's error
+    budget is so wide and still selective. Sizes, places and parity bitmaps (all bounds, no estimates) rule candidates
+    out before sets are compared. Equal sets are one whatever their number. Wordless texts are one class; rows without
+    doc_id have none; rows that share a doc_id are one document, linked by any of their texts; other columns are
+    ignored; an empty table gives an empty result.
     """
     sketches = materialise(_sketches(docs, _late(docs)), "near")
-    heads = materialise(sketches.groupBy("sid").agg(F.min("doc").alias("head"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "heads")
+    heads = materialise(sketches.groupBy("sid").agg(F.min("doc").alias("head"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bitmap").alias("bitmap")), "heads")
     same = materialise(sketches.select("doc", "sid").distinct().join(heads.select("sid", "head"), "sid").select(F.col("head").alias("src"), F.col("doc").alias("dst")), "same")
     one = sketches.join(heads.select("sid", F.col("head").alias("doc")), ["sid", "doc"]).dropDuplicates(["sid"])
     rows = one.select("sid", F.col("doc").alias("head"), "n", F.posexplode("toks").alias("place", "tok"))
     shared = rows.select("tok").groupBy("tok").count().where("count > 1").select("tok")
     tokens = materialise(rows.join(shared, "tok").select("tok", "sid", "head", "n", F.col("place").cast("long").alias("place")), "tokens")
     discard(sketches)
-    size, links, star, before = tokens.count(), same, 0, float("inf")
-    while True:
-        part = materialise(connected_components(links, label="near"), "part")
-        marked = materialise(tokens.join(part, tokens["head"] == part["node"], "left").select("tok", "sid", "n", "place", F.coalesce("component", "head").alias("comp")), "marked")
-        groups = marked.groupBy("tok", "comp").count().groupBy("tok").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("inner"))
-        left = groups.agg(F.sum((F.col("m") * F.col("m") - F.col("inner")) / 2)).first()[0] or 0
-        thin = star if left > DENSE * size and 2 * left <= before else None
-        pairs = marked.repartition("tok").mapInArrow(lambda x, k=thin: _candidates(x, k), "sa long, sb long").distinct()
-        new = _verified(docs, pairs, heads)
-        discard(marked)
-        links = links.unionByName(new)
-        if thin is None:
-            break
-        star, before = star + 1, left
-    discard(tokens)
+    prints = materialise(heads.groupBy("fp").agg(F.min("sid").alias("doc")), "prints")
+    equal = heads.join(prints, "fp").where("sid <> doc").select("sid", "doc")
+    trie = near_links(prints).toDF("sid", "doc").unionByName(equal)
+    links = same.unionByName(_verified(docs, trie.select(F.least("sid", "doc").alias("sa"), F.greatest("sid", "doc").alias("sb")).distinct(), heads))
+    marked = _marked(tokens, links)
+    links = links.unionByName(_verified(docs, _stars(marked), heads))
+    discard(marked)
+    marked = _marked(tokens, links)
+    pairs = _dealt(marked).repartition("task").sortWithinPartitions("task", "tok").mapInArrow(_candidates, "sa long, sb long").distinct()
+    links = links.unionByName(_verified(docs, pairs, heads))
     part = connected_components(links, label="near")
+    for x in (marked, tokens, prints, heads):
+        discard(x)
     every = same.select(F.col("dst").alias("doc")).distinct()
     return every.join(part, every["doc"] == part["node"], "left").select("doc", F.coalesce("component", "doc").alias("component"))
 

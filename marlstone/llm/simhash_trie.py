@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise, spread
-from .common import connected_components, text_batches
+from .common import connected_components, text_batches, whole_groups
 
 #: Widths of the three blocks of a 64-bit fingerprint. Two differing bits leave one block untouched.
 BLOCKS = (22, 21, 21)
@@ -18,6 +18,15 @@ BLOCKS = (22, 21, 21)
 HOT_LEAVES = 2048
 
 
+def majority_bits(h: np.ndarray) -> int:
+    """The bits that over half of the unsigned 64-bit hashes have set (none for no hashes)."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 4096):
+        part = h[at : at + 4096].astype("<u8", copy=False)
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def shingle_fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of the word shingles of a text (null or wordless: 0)."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z fold, only ASCII spaces split
@@ -27,11 +36,7 @@ def shingle_fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int
         return xxhash.xxh64_intdigest(b" ".join(words), seed)
     parts = zip(*(words[i:] for i in range(width)))
     h = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in map(b" ".join, parts)), np.uint64, len(words) - width + 1)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 4096):
-        part = h[at : at + 4096].astype("<u8", copy=False)
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return majority_bits(h)
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -104,36 +109,30 @@ def _forest(n: int, pairs: np.ndarray) -> np.ndarray:
 
 
 def _join_tasks(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """Trie self-joins of all tasks in one partition; a star to its lowest document for every local component."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
-    col = {c: t.column(c).to_numpy() for c in ("task", "side", "rest", "doc")}
-    col["rest"] = col["rest"].astype(np.int64).view(np.uint64)
-    order = np.lexsort((col["rest"], col["side"], col["task"]))
-    task, side, rest, doc = (col[c][order] for c in ("task", "side", "rest", "doc"))
-    starts = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
-    ends = np.r_[starts[1:], len(task)]
-    many = ends - starts > 1
-    starts, ends = starts[many], ends[many]
-    out_a, out_b, at = [], [], 0
-    while at < len(starts):  # a bounded number of leaves at a time
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + 4 * HOT_LEAVES, side="right")))
-        s, e = starts[at:to], ends[at:to]
-        lo, hi = int(s[0]), int(e[-1])
-        crossed = np.concatenate([[0], np.cumsum(side[lo:hi])])
-        split = e - (crossed[e - lo] - crossed[s - lo])  # side 1 of a node-pair task
-        own = split == e
-        roots = np.stack([s, np.where(own, e, split), np.where(own, s, split), e], axis=1) - lo
-        roots = roots[(roots[:, 1] > roots[:, 0]) & (roots[:, 3] > roots[:, 2])]
-        pairs = trie_pairs(rest[lo:hi], roots, 64, budget)
-        label = _forest(hi - lo, pairs)
-        linked = np.flatnonzero(label != np.arange(hi - lo))
-        out_a.append(doc[lo:hi][linked])
-        out_b.append(doc[lo:hi][label[linked]])
-        at = to
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a or [np.empty(0, np.int64)])), pa.array(np.concatenate(out_b or [np.empty(0, np.int64)]))], names=["src", "dst"])
+    """Trie self-joins of tasks that come sorted; a star to its lowest document for every local component."""
+    for t in whole_groups(batches, "task"):
+        col = {c: t.column(c).to_numpy() for c in ("task", "side", "rest", "doc")}
+        col["rest"] = col["rest"].astype(np.int64).view(np.uint64)
+        order = np.lexsort((col["rest"], col["side"], col["task"]))
+        task, side, rest, doc = (col[c][order] for c in ("task", "side", "rest", "doc"))
+        starts = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
+        ends = np.r_[starts[1:], len(task)]
+        many = ends - starts > 1
+        starts, ends = starts[many], ends[many]
+        at = 0
+        while at < len(starts):  # a bounded number of leaves at a time
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + 4 * HOT_LEAVES, side="right")))
+            s, e = starts[at:to], ends[at:to]
+            lo, hi = int(s[0]), int(e[-1])
+            crossed = np.concatenate([[0], np.cumsum(side[lo:hi])])
+            split = e - (crossed[e - lo] - crossed[s - lo])  # side 1 of a node-pair task
+            own = split == e
+            roots = np.stack([s, np.where(own, e, split), np.where(own, s, split), e], axis=1) - lo
+            roots = roots[(roots[:, 1] > roots[:, 0]) & (roots[:, 3] > roots[:, 2])]
+            label = _forest(hi - lo, trie_pairs(rest[lo:hi], roots, 64, budget))
+            linked = np.flatnonzero(label != np.arange(hi - lo))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi][linked]), pa.array(doc[lo:hi][label[linked]])], names=["src", "dst"])
+            at = to
 
 
 def near_links(distinct: DataFrame, budget: int = 2) -> DataFrame:
@@ -177,7 +176,7 @@ def near_links(distinct: DataFrame, budget: int = 2) -> DataFrame:
     tasks = cold.unionByName(warm).select(
         (F.col("k.root") * 65536 + F.col("k.pair") + 1).alias("task"), F.col("side").cast("long"), F.col("bits").alias("rest"), "doc"
     )
-    return tasks.repartition("task").mapInArrow(lambda b: _join_tasks(b, budget), "src long, dst long")
+    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: _join_tasks(b, budget), "src long, dst long")
 
 
 def simhash_components(docs: DataFrame, width: int = 3, seed: int = 42, budget: int = 2) -> DataFrame:

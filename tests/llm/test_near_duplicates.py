@@ -41,9 +41,9 @@ def corpus():
     return docs
 
 
-@pytest.mark.parametrize("dense", [0, 2])
-def test_stage_equals_brute_force_on_edited_copies(spark, monkeypatch, dense):
-    monkeypatch.setattr(N, "DENSE", dense)
+@pytest.mark.parametrize("block", [2, 2048])
+def test_stage_equals_brute_force_on_edited_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK_ROWS", block)
     docs = corpus()
     want = brute(docs)
     assert 12 < len(set(want.values())) < 100
