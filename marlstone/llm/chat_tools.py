@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import discard, materialise, spread
-from .common import text_batches
+from .common import text_batches, whole_groups
 
 #: How a text holds calls and results besides being one JSON object itself.
 _BLOCK = re.compile(r"<(tool_call|tool_response)>(.*?)</\1>", re.S)
@@ -23,23 +23,73 @@ SCHEMAS: dict[str, dict] = {
     "fetch": {"type": "object", "properties": {"url": {"type": "string"}}, "required": ["url"]},
 }
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+#: JSON nested deeper is not parsed; its text stays a message.
+DEPTH = 200
+#: Calls of a conversation with at most so many needs are ordered in one pass, of larger ones level by level.
+PASS_NEEDS = 50_000
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def escaped(s: str) -> str:
+    """A string with lone surrogates, which UTF-8 cannot hold, written as their escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", s)
+
+
+def number(v: int | float) -> str:
+    """A number as ECMAScript writes it; an integer that no double equals keeps its digits."""
+    if isinstance(v, int):
+        if abs(v) <= 1 << 53:
+            return str(v)
+        try:
+            if int(float(v)) != v:
+                return str(v)
+        except OverflowError:
+            return str(v)
+        v = float(v)
+    if not math.isfinite(v):
+        raise ValueError("no JSON number")
+    if v == 0:
+        return "0"
+    digits, _, power = repr(abs(v)).partition("e")
+    whole, _, part = digits.partition(".")
+    point = len(whole) + int(power or 0)  # where the decimal point stands among all digits
+    plain = whole + part
+    digits = plain.lstrip("0")
+    point -= len(plain) - len(digits)
+    digits = digits.rstrip("0")
+    k, sign = len(digits), "-" if v < 0 else ""
+    if k <= point <= 21:
+        return sign + digits + "0" * (point - k)
+    if 0 < point <= 21:
+        return f"{sign}{digits[:point]}.{digits[point:]}"
+    if -6 < point <= 0:
+        return f"{sign}0.{'0' * -point}{digits}"
+    return f"{sign}{digits[0]}{'.' if k > 1 else ''}{digits[1:]}e{'+' if point > 0 else '-'}{abs(point - 1)}"
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces, UTF-8 unescaped; whole floats as integers; no NaN or infinity."""
+    """JSON after RFC 8785: keys by their UTF-16 code units, no spaces, ECMAScript numbers, UTF-8 unescaped.
 
-    def plain(v):
-        if isinstance(v, dict):
-            return {k: plain(x) for k, x in v.items()}
-        if isinstance(v, list):
-            return [plain(x) for x in v]
-        if isinstance(v, float):
-            if not math.isfinite(v):
-                raise ValueError("no JSON number")
-            return int(v) if v.is_integer() and abs(v) < 1 << 53 else v
-        return v
+    Two things that the RFC has no form for are given one: lone surrogates stay escapes, and integers beyond doubles
+    keep their digits. NaN and infinities raise ValueError.
+    """
+    if isinstance(value, dict):
+        keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in keys) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return number(value)
+    return escaped(json.dumps(value, ensure_ascii=False))
 
-    return json.dumps(plain(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+def depth(value) -> int:
+    """How deep arrays and objects nest, without recursion."""
+    deep, layer = 0, [value]
+    while layer:
+        deep += 1
+        layer = [x for v in layer if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+    return deep
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
@@ -55,12 +105,13 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
 
     def is_a(kind):
         if kind in ("integer", "number"):
-            return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+            return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
         return isinstance(value, _KINDS[kind])
 
     if kinds and not any(map(is_a, kinds)):
         return [f"{at}: not {'/'.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"] or "const" in schema and value != schema["const"]:
+    allowed = schema.get("enum", []) + ([schema["const"]] if "const" in schema else [])
+    if allowed and canonical(value) not in map(canonical, allowed):
         out.append(f"{at}: not an allowed value")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         if value < schema.get("minimum", -math.inf) or value > schema.get("maximum", math.inf):
@@ -87,7 +138,7 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
 def references(value) -> list[str]:
     if isinstance(value, dict):
         if set(value) == {REFERENCE}:
-            return [str(value[REFERENCE])]
+            return [_ident(value[REFERENCE])] if value[REFERENCE] is not None else []
         return [r for v in value.values() for r in references(v)]
     return [r for v in value for r in references(v)] if isinstance(value, list) else []
 
@@ -95,6 +146,8 @@ def references(value) -> list[str]:
 def _loads(text: str):
     try:
         value = json.loads(text)
+        if depth(value) > DEPTH:
+            return None
         canonical(value)
         return value
     except (ValueError, RecursionError):
@@ -104,7 +157,7 @@ def _loads(text: str):
 def parse_message(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[tuple]:
     """(kind, call_id, depends on, errors, canonical JSON) of the parts of one message, in order.
 
-    An assistant's calls are a JSON object with tool_calls or tool_call blocks; results are the whole text of role
+    Calls and results keep their other keys. Of keys that an object repeats the last counts. An assistant's calls are a JSON object with tool_calls or tool_call blocks; results are the whole text of role
     tool, a JSON object with tool_call_id, or tool_response blocks. What else the text says is a message part.
     """
     raw, calls, results = text, [], []
@@ -129,14 +182,22 @@ def parse_message(role: str | None, text: str | None, schemas: dict[str, dict])
         args = _loads(args) if isinstance(args, str) else args
         known = isinstance(name, str) and name in schemas
         wrong = violations(args, schemas[name]) if known else [f"$: no schema for {name}"]
-        ident = None if c.get("id") is None else str(c["id"])
-        parts.append(("call", ident, sorted(set(references(args))), wrong + ([] if ident else ["$: no id"]), canonical({"arguments": args, "id": ident, "name": name})))
+        ident = _ident(c.get("id"))
+        others = {k: v for x in (c, inner) for k, v in x.items() if k != "function" or inner is c}
+        wrong = [escaped(x) for x in wrong] + ([] if ident else ["$: no id"])
+        parts.append(("call", ident, sorted(set(references(args))), wrong, canonical(others | {"arguments": args, "id": ident, "name": name})))
     for r in results:
-        ident = str(r["tool_call_id"]) if isinstance(r, dict) and r.get("tool_call_id") is not None else None
-        parts.append(("result", ident, [], [] if ident else ["$: no id"], canonical({"content": r.get("content") if isinstance(r, dict) else r, "role": "tool", "tool_call_id": ident})))
+        ident = _ident(r.get("tool_call_id")) if isinstance(r, dict) else None
+        fields = r if isinstance(r, dict) else {"content": r}
+        parts.append(("result", ident, [], [] if ident else ["$: no id"], canonical({"content": None} | fields | {"role": "tool", "tool_call_id": ident})))
     return parts
 
 
+def _ident(value) -> str | None:
+    """An identifier as text, so that 7 and "7" are one."""
+    return None if value is None else escaped(value) if isinstance(value, str) else canonical(value)
+
+
 _PART = "conv_id long, turn long, part int, role string, kind string, call_id string, needs array<string>, errors array<string>, json string"
 
 
@@ -154,20 +215,67 @@ def parts_of(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return text_batches(spread(src)).mapInArrow(run, _PART)
 
 
+def levels_of(needs: dict[str, list[str]]) -> dict[str, int]:
+    """Levels of the calls of one conversation, given what each needs; calls on or behind a cycle have none."""
+    behind: dict[str, list[str]] = {}
+    waits = {c: len(n) for c, n in needs.items()}
+    for c, n in needs.items():
+        for x in n:
+            behind.setdefault(x, []).append(c)
+    level, ready = {}, [c for c, n in waits.items() if not n]
+    at = 0
+    while ready:
+        level |= dict.fromkeys(ready, at)
+        at += 1
+        done, ready = ready, []
+        for c in done:
+            for x in behind.get(c, ()):
+                waits[x] -= 1
+                if not waits[x]:
+                    ready.append(x)
+    return level
+
+
+def _levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in whole_groups(batches, "conv_id"):
+        graphs: dict[int, dict[str, set[str]]] = {}
+        for conv, call, need in zip(*(t.column(c).to_pylist() for c in ("conv_id", "call_id", "need"))):
+            graph = graphs.setdefault(conv, {})
+            graph.setdefault(need, set())
+            graph.setdefault(call, set()).add(need)
+        rows = [(conv, call, x) for conv, graph in graphs.items() for call, x in levels_of(graph).items()]
+        cols = list(zip(*rows)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int32()))], names=["conv_id", "call_id", "level"])
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level: 0 for calls that need no other, else one more than the deepest they need.
 
-    ``calls`` has conv_id, call_id, needs, each call once. Needs of unknown calls don't count. A round settles one
-    level by a join and an aggregate, whatever the size of a conversation; calls on or behind a cycle
-    are never settled and get level null.
+    ``calls`` has conv_id, call_id, needs, each call once. Needs of unknown calls don't count; calls on or behind a
+    cycle get level null. Conversations of up to PASS_NEEDS needs are each ordered in one pass; of larger ones, a
+    round settles one level by a join and an aggregate, so that none is gathered.
     """
     key = ["conv_id", "call_id"]
     edges = calls.select(*key, F.explode("needs").alias("need")).distinct()
     known = calls.select("conv_id", F.col("call_id").alias("need"))
-    edges = materialise(edges.join(known, ["conv_id", "need"]), "edges")
+    edges = materialise(edges.join(known, ["conv_id", "need"]).select(*key, "need"), "edges")
     if not edges.limit(1).count():
         return calls.select(*key, F.lit(0).alias("level"))
-    done = materialise(calls.select(*key).join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)), "levels")
+    large = materialise(edges.groupBy("conv_id").count().where(F.col("count") > PASS_NEEDS).select("conv_id"), "large")
+    small = edges.join(large, "conv_id", "left_anti").repartition("conv_id").sortWithinPartitions("conv_id")
+    done = small.mapInArrow(_levelled, "conv_id long, call_id string, level int")
+    tied = edges.select(*key).unionByName(edges.select("conv_id", F.col("need").alias("call_id"))).distinct()
+    free = calls.select(*key).join(tied, key, "left_anti").withColumn("level", F.lit(0))
+    if large.limit(1).count():
+        done = done.unionByName(_level_rounds(edges.join(large, "conv_id", "left_semi")))
+    return calls.select(*key).join(done.unionByName(free), key, "left")
+
+
+def _level_rounds(edges: DataFrame) -> DataFrame:
+    """Levels of the calls of large conversations, a level a round."""
+    key = ["conv_id", "call_id"]
+    needed = edges.select("conv_id", F.col("need").alias("call_id")).distinct()
+    done = materialise(needed.join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)), "levels")
     level = 0
     while True:
         level += 1
@@ -178,7 +286,7 @@ def call_levels(calls: DataFrame) -> DataFrame:
         discard(done)
         done = nxt
         if not grown:
-            return calls.select(*key).join(done, key, "left")
+            return done
 
 
 def link_tools(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:

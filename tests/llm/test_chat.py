@@ -52,3 +52,56 @@ def test_plain_conversations(spark):
     got = C.link_tools(conv).collect()
     want = sorted(C.canonical({"content": r.text, "role": r.role}) for r in conv.collect())
     assert sorted(r.json for r in got) == want and {r.kind for r in got} == {"message"}
+
+
+def test_numbers_and_strings_as_the_standard_writes_them():
+    """Samples of RFC 8785, appendix B, and what it leaves open."""
+    samples = {-0.0: "0", 5e-324: "5e-324", 1.7976931348623157e308: "1.7976931348623157e+308", 9007199254740992.0: "9007199254740992", 295147905179352830000.0: "295147905179352830000", 1e21: "1e+21", 10**21: "1e+21", 9.999999999999997e22: "9.999999999999997e+22", 1e-6: "0.000001", 1e-7: "1e-7", 333333333.3333332: "333333333.3333332", -1.5: "-1.5", 0.1: "0.1", 100.0: "100", 10**400 + 1: str(10**400 + 1), (1 << 60) + 1: str((1 << 60) + 1)}
+    assert {v: C.number(v) for v in samples} == samples
+    assert C.canonical({"\u20ac": 1, "\r": 4, "a": '\x1f\x7f\\"'}) == '{"\\r":4,"a":"\\u001f\x7f\\\\\\"","\u20ac":1}'
+    assert C.canonical({"\U0001f600": 2, "\ufb33": 3}) == '{"\U0001f600":2,"\ufb33":3}'
+    assert C.canonical("a\ud800b") == '"a\\ud800b"'
+    assert C.violations(10**400, {"type": "integer", "minimum": 1}) == [] and C.violations(True, {"enum": [1]}) == ["$: not an allowed value"]
+
+
+def test_odd_messages_do_not_stop_the_job(spark):
+    deep = "[" * 5000 + "]" * 5000
+    odd = [
+        '{"tool_calls": [{"id": "\\ud800", "name": "search", "arguments": {"query": "\\udfff", "\\ud801": 1}, "more": 1}]}',
+        '{"tool_calls": [{"id": 7, "type": "function", "function": {"name": "search", "arguments": {"query": "x", "limit": 1' + "0" * 400 + "}}}]}",
+        '{"tool_calls": [{"id": "d", "name": "search", "arguments": %s}]}' % deep,
+        '{"tool_calls": [{"id": "e", "name": "search", "arguments": {"query": "x", "limit": ' + "9" * 5000 + "}}]}",
+        '{"tool_calls": [null, 3, {"id": "f", "name": ["search"], "arguments": null}], "content": NaN}',
+    ]
+    df = spark.createDataFrame([(1, i, "assistant", t) for i, t in enumerate(odd)], "conv_id long, turn long, role string, text string")
+    got = {(r.turn, r.part): r for r in C.link_tools(df).collect()}
+    assert got[0, 0].call_id == "\\ud800" and '"more":1' in got[0, 0].json and got[0, 0].errors == ["$.\\ud801: unknown"]
+    assert got[1, 0].call_id == "7" and got[1, 0].errors == [] and '"type":"function"' in got[1, 0].json
+    assert {got[i, 0].kind for i in (2, 3, 4)} == {"message"}
+
+
+def test_levels_equal_brute_force(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    calls = []
+    for conv in range(30):
+        ids = [f"c{i}" for i in range(rng.randint(1, 14))]
+        for i, c in enumerate(ids):
+            pool = ids if conv % 3 == 0 else ids[:i]
+            calls.append((conv, c, rng.sample([*pool, "unknown"], min(len(pool), rng.randint(0, 2)))))
+
+    def brute(conv):
+        needs = {c: [x for x in n if x != "unknown"] for v, c, n in calls if v == conv}
+        level, grown = {}, True
+        while grown:
+            new = {c: 1 + max((level[x] for x in n), default=-1) for c, n in needs.items() if c not in level and all(x in level for x in n)}
+            level, grown = level | new, bool(new)
+        return {(conv, c): level.get(c) for c in needs}
+
+    want = {k: v for conv in range(30) for k, v in brute(conv).items()}
+    assert None in want.values() and max(x or 0 for x in want.values()) >= 3
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, needs array<string>").repartition(4)
+    for most in (0, 6, 50_000):
+        monkeypatch.setattr(C, "PASS_NEEDS", most)
+        assert {(r.conv_id, r.call_id): r.level for r in C.call_levels(df).collect()} == want
