@@ -32,12 +32,22 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Proprietary", "All rights reserved."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-#: A stretch of text is looked at if it has one of these; every template has one.
-ANCHOR = r"(?i)licen[cs]|spdx|permission is hereby|redistribut|public domain|rights reserved|free software"
 #: Names of licence files, whose licence holds for their directory and all below without a nearer one.
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)[^/]*$"
 THRESHOLD = 0.75
+#: Notices may be wrapped: runs of so many lines are looked at besides lines, paragraphs and whole texts.
+RUNS = (2, 3)
 _TERMS = "[^a-z0-9]+"
 
 
@@ -74,13 +84,40 @@ def template_weights(idf: dict[str, float]) -> list[tuple[int, str, float]]:
     return rows
 
 
-def notices(files: DataFrame) -> DataFrame:
-    """path, kind, place, part: lines, paragraphs and whole texts that hold an anchor."""
-    near = spread(files).where(F.col("text").rlike(ANCHOR) & F.col("path").isNotNull())
-    line = near.select("path", F.lit("line").alias("kind"), F.posexplode(F.split("text", "\n")).alias("place", "part"))
-    block = near.select("path", F.lit("block").alias("kind"), F.posexplode(F.split("text", r"\n[ \t\r]*\n")).alias("place", "part"))
-    whole = near.select("path", F.lit("whole").alias("kind"), F.lit(0).alias("place"), F.col("text").alias("part"))
-    return line.unionByName(block).unionByName(whole).where(F.col("part").rlike(ANCHOR))
+def needed_terms(weights: list[tuple[int, str, float]]) -> list[str]:
+    """Terms of which every stretch near enough to a template has one.
+
+    A cosine is at most the length of the template's weights on the terms that both have. So the lightest terms of a
+    template, as long as their weights together stay shorter than THRESHOLD, are not enough without one of the others.
+    """
+    need: set[str] = set()
+    by: dict[int, list[tuple[float, str]]] = {}
+    for i, term, w in weights:
+        by.setdefault(i, []).append((w, term))
+    for terms in by.values():
+        rest = 0.0
+        for w, term in sorted(terms):
+            rest += w * w
+            if rest >= (THRESHOLD - 1e-5) ** 2:
+                need.add(term)
+    return sorted(need)
+
+
+def notices(files: DataFrame, needed: list[str]) -> DataFrame:
+    """path, kind, place, part: lines, runs of lines, paragraphs and whole texts that have one of the needed terms."""
+    has = lambda c: F.col(c).rlike(r"(?i)(?<![a-z0-9])(?:" + "|".join(needed) + r")(?![a-z0-9])")
+    near = spread(files).where(has("text") & F.col("path").isNotNull())
+    lines = F.split("text", "\n")
+    parts = [("line", lines), ("block", F.split("text", r"\n[ \t\r]*\n")), ("whole", F.array("text"))]
+    for n in RUNS:
+        starts = F.sequence(F.lit(1), F.size(lines) - (n - 1))
+        runs = F.transform(starts, lambda i, n=n: F.array_join(F.slice(lines, i, n), "\n"))
+        parts.append((f"run{n}", F.when(F.size(lines) >= n, runs)))
+    found = [near.select("path", F.lit(kind).alias("kind"), F.posexplode(x).alias("place", "part")).where(has("part")) for kind, x in parts]
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def own_licences(files: DataFrame) -> DataFrame:
@@ -90,10 +127,11 @@ def own_licences(files: DataFrame) -> DataFrame:
     """
     spark = files.sparkSession
     idf, other = inverse_frequencies(files)
-    weights = F.broadcast(spark.createDataFrame(template_weights(idf), "template int, term string, tw double"))
+    rows = template_weights(idf)
+    weights = F.broadcast(spark.createDataFrame(rows, "template int, term string, tw double"))
     scale = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     key = ["path", "kind", "place"]
-    tf = notices(files).select(*key, F.explode(_split(F.col("part"))).alias("term")).groupBy(*key, "term").count()
+    tf = notices(files, needed_terms(rows)).select(*key, F.explode(_split(F.col("part"))).alias("term")).groupBy(*key, "term").count()
     tf = materialise(tf.join(scale, "term", "left").select(*key, "term", (F.col("count") * F.coalesce("idf", F.lit(other))).alias("w")), "terms")
     norm = tf.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = tf.join(weights, "term").groupBy(*key, "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
@@ -108,19 +146,20 @@ def _directory(path):
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def scan(files: DataFrame) -> DataFrame:
+def scan(files: DataFrame, whole_texts: bool = False) -> DataFrame:
     """Licence of every file: its own, or that of the nearest ancestor directory with a licence file.
 
     ``files`` has path (segments parted by slashes) and text. Returns path, licence, cosine, origin ("own",
-    "inherited" or null) and licence_file (where an inherited licence stands). A licence file has such a name, or
-    a whole text near to a template. Directories are joined, not files, so that a directory with most of the files
+    "inherited" or null) and licence_file (where an inherited licence stands). A licence file has such a name; with
+    ``whole_texts``, for files without telling names, it may also have a text that as a whole is near to a template. Directories are joined, not files, so that a directory with most of the files
     is one row. Rows that share a path have one licence, the best of their notices; null and empty texts have none
     of their own; rows without path have none; other columns are ignored; an empty table gives an
     empty result.
     """
     files = files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     own = materialise(own_licences(files), "own")
-    holders = own.where(F.col("whole") | F.col("path").rlike(LICENCE_FILE)).select(_directory("path").alias("holder"), F.struct("cosine", "licence", F.col("path").alias("licence_file")).alias("h"))
+    holds = F.col("path").rlike(LICENCE_FILE)
+    holders = own.where(F.col("whole") | holds if whole_texts else holds).select(_directory("path").alias("holder"), F.struct("cosine", "licence", F.col("path").alias("licence_file")).alias("h"))
     holders = holders.groupBy("holder").agg(F.max("h").alias("h"))
     dirs = files.where("path is not null").select(_directory("path").alias("dir")).distinct()
     parts = F.split("dir", "/")

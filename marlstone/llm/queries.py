@@ -47,8 +47,8 @@ def op7_line_dedup(spark, sf_dir):
 
 
 def op8_license_scan(spark, sf_dir):
-    """Documents as files source/lang/doc_id."""
-    found = scan(document_files(table(spark, sf_dir, "documents")))
+    """Documents as files source/lang/doc_id; such names tell nothing, so a document that is a notice as a whole is its directory's licence file."""
+    found = scan(document_files(table(spark, sf_dir, "documents")), whole_texts=True)
     return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "licence", "cosine", "origin", "licence_file")
 
 

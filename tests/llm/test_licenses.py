@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+import pytest
+
 from marlstone.llm import licenses as L
 
 FILES = [
@@ -13,12 +15,16 @@ FILES = [
     ("q/r/s.txt", "a license to thrill is not a notice"),
     ("q/t.txt", "x " * 50 + "\nReleased under the MIT License.\n" + "y " * 50),
     ("top.txt", ""),
+    ("w/1.txt", "before it\nDedicated to the public\ndomain under CC0 1.0 Universal.\nafter it"),
+    ("w/2.txt", "All rights  reserved."),
+    ("w/3.txt", "one two\nAll rights\nreserved.\nthree four five six"),
+    ("w/4.txt", "x\nThis work is licensed\nunder the GNU General\nPublic License, version 3.\n" + "z\n" * 60),
     ("a/x.txt", "nothing here"),
     (None, "Released under the MIT License."),
 ]
 
 
-def slow_scan(files):
+def slow_scan(files, whole_texts):
     texts = [t for _, t in files if t is not None]
     words = lambda t: [x for x in re.split("[^a-z0-9]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)) if x]
     df = Counter(x for t in texts for x in set(words(t)) & set(L.VOCABULARY))
@@ -31,12 +37,14 @@ def slow_scan(files):
 
     own = {}
     for p, t in files:
-        for s in ([t] + t.split("\n") + re.split(r"\n[ \t\r]*\n", t)) if t and p else []:
+        lines = (t or "").split("\n")
+        runs = ["\n".join(lines[i : i + k]) for k in (2, 3) for i in range(len(lines) - k + 1)]
+        for s in ([t] + lines + runs + re.split(r"\n[ \t\r]*\n", t)) if t and p else []:
             v = vec(s)
             for i, (name, x) in enumerate(L.TEMPLATES):
                 u = vec(x)
                 c = round(sum(v[k] * u[k] for k in v.keys() & u.keys()), 6)
-                if c >= L.THRESHOLD and re.search(L.ANCHOR, s):
+                if c >= L.THRESHOLD:
                     a = own.setdefault(p, [(0, 0, ""), False])
                     a[0] = max(a[0], (c, -i, name))
                     a[1] |= s is t
@@ -48,7 +56,7 @@ def slow_scan(files):
         out[p] = (None, None, None)
         d = p.rpartition("/")[0] if p else None
         while d is not None:
-            h = [(v[0][0], v[0][2], q) for q, v in own.items() if q.rpartition("/")[0] == d and (v[1] or re.search(L.LICENCE_FILE, q))]
+            h = [(v[0][0], v[0][2], q) for q, v in own.items() if q.rpartition("/")[0] == d and (whole_texts and v[1] or re.search(L.LICENCE_FILE, q))]
             if h:
                 out[p] = (max(h)[1], "inherited", max(h)[2])
                 break
@@ -56,14 +64,16 @@ def slow_scan(files):
     return out
 
 
-def test_equal_slow_form(spark):
+@pytest.mark.parametrize("whole", [False, True])
+def test_equal_slow_form(spark, whole):
     df = spark.createDataFrame([(p, t, "k") for p, t in FILES], "path string, text string, licence string").repartition(3)
-    rows = L.scan(df).collect()
+    rows = L.scan(df, whole).collect()
     assert len(rows) == len(FILES)
     got = {r.path: (r.licence, r.origin, r.licence_file) for r in rows}
-    assert got == slow_scan(FILES)
+    assert got == slow_scan(FILES, whole)
     assert got["a/b/c/z.txt"] == ("GPL-3.0", "inherited", "a/b/copying.md") and got["a/x.txt"][0] == "MIT" and got["q/t.txt"] == ("MIT", "own", None)
-    assert L.scan(df.limit(0)).count() == 0
+    assert [got[f"w/{i}.txt"][:2] for i in (1, 2, 3, 4)] == [("CC0-1.0", "own"), ("Proprietary", "own"), ("Proprietary", "own"), ("GPL-3.0", "own")]
+    assert L.scan(df.limit(0), whole).count() == 0
 
 
 def test_documents(spark):
