@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from functools import cache
+from math import log
 from operator import eq
 
 import numpy as np
@@ -18,7 +21,7 @@ from .quality_rules import base_stats
 #: Votes: 0 abstains, 1 says bad, 2 says good. Each labeller has a bound for either vote on one statistic.
 LABELLERS = ("symbols", "repeats", "lines", "length", "capitals", "variety", "endings", "marked")
 EM_STEPS = 200
-#: The scorer is fitted on at most so many documents, those with the least hash of doc_id, each with its posterior.
+#: The scorer is fitted on at most so many documents, those of the least hash of text (equal texts once), each with its posterior.
 TRAIN_DOCS = 20_000
 BUCKETS = 1 << 16
 EPOCHS, RATE, DECAY = 60, 0.5, 1e-6
@@ -31,6 +34,19 @@ KEEP_FROM = 0.5
 _MARKED = re.compile(r"[^\s#*$%&|<>]*[#*$%&|<>]\S*")
 
 
+@cache
+def _letters() -> np.ndarray:
+    """For each code point 1 if it is a letter, 2 more if it is upper case."""
+    every = map(chr, range(sys.maxunicode + 1))
+    return np.fromiter((c.isalpha() + 2 * c.isupper() for c in every), np.uint8, sys.maxunicode + 1)
+
+
+def letters_of(text: str) -> tuple[int, int]:
+    """Letters and upper-case characters of a whole text."""
+    kinds = np.bincount(_letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")], minlength=4)
+    return int(kinds[1] + kinds[3]), int(kinds[2] + kinds[3])
+
+
 def votes(text: str | None) -> int:
     """The votes of all labellers as digits of a number to base 3, the first labeller the lowest."""
     text = text or ""
@@ -38,8 +54,7 @@ def votes(text: str | None) -> int:
     if not n:
         return 1  # an empty text has its first labeller against it
     words = text.split()
-    letters = sum(map(str.isalpha, text)) if n < 50 else sum(map(str.isalpha, text[:: max(1, len(text) // 4000)]))
-    upper = sum(map(str.isupper, text)) if n < 50 else sum(map(str.isupper, text[:: max(1, len(text) // 4000)]))
+    letters, upper = letters_of(text)
     ended = sum(x.rstrip().endswith((".", "!", "?", ":", ";")) for x in text.split("\n"))
 
     def vote(x, bad, good):
@@ -53,7 +68,7 @@ def votes(text: str | None) -> int:
         vote(dup / lines, 0.6, 0.05) if lines >= 3 else 0,
         vote(abs(mean - 5.1), 1.6, 0.7) if n >= 20 else 0,
         vote(upper / max(letters, 1), 0.5, 0.15),
-        vote(len(set(words)) / n, 0.15, 0.4) if 50 <= n <= 3000 else 0,
+        vote(log(len(set(words))) / log(n), 0.7, 0.85) if n >= 50 else 0,
         vote(ended / lines, 0.1, 0.6),
         vote(len(_MARKED.findall(text)) / n if symbols else 0.0, 0.2, 0.03),
     )
@@ -90,9 +105,9 @@ _SHAPE = (re.compile(r"[^\W\d_]+"), re.compile(r"\d+"))
 
 
 def shape(word: str) -> str:
-    """A word's case and punctuation: letters become a, A or Aa, digits 0, other characters stay (16 at most)."""
+    """A word's case and punctuation: letters become a, A or Aa, digits 0, other characters stay."""
     s = _SHAPE[0].sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "Aa" if m[0][0].isupper() else "a", word)
-    return _SHAPE[1].sub("0", s)[:16]
+    return _SHAPE[1].sub("0", s)
 
 
 class Hasher:
@@ -150,7 +165,7 @@ def classify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     Returns doc_id, votes (number to base 3), posterior (probability of good from the labellers), score (of
     the linear model) and kept (score of KEEP_FROM or more). All documents vote and all votes are in the
     estimate, of which only the counts of the 3^8 possible patterns reach the driver; the linear model is fitted on
-    at most ``train_docs`` documents. Null and empty texts count as bad by the first labeller and have one constant
+    at most ``train_docs`` different texts. Null and empty texts count as bad by the first labeller and have one constant
     feature; repeated rows and null doc_ids are documents of their own; other columns are ignored; an
     empty table gives an empty result.
     """
@@ -174,7 +189,7 @@ def classify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
             got = [(hasher(t.as_py()), posterior[votes(t.as_py())]) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([s.astype(np.int32) for (s, _), _ in got], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for (_, v), _ in got], pa.list_(pa.float32())), pa.array([p for _, p in got], pa.float64())],
-                names=["doc_id", "slots", "vals", "soft"],
+                names=["h", "slots", "vals", "soft"],
             )
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,14 +198,14 @@ def classify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
             slots += [x.values.to_numpy() for x in b.column(1)]
             values += [x.values.to_numpy() for x in b.column(2)]
             soft += b.column(3).to_pylist()
-            key += [(p is None, p or 0) for p in b.column(0).to_pylist()]
-        order = sorted(range(len(key)), key=lambda i: (key[i], soft[i], len(slots[i])))  # whatever order the rows came in
+            key += b.column(0).to_pylist()
+        order = np.argsort(key)  # whatever order the rows came in
         w = fit_scorer([slots[i] for i in order], [values[i] for i in order], np.array([soft[i] for i in order]))
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
 
     share = min(1.0, 0.9 * train_docs / max(total, 1))
-    edge = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    chosen = text_batches(src.where(edge)).mapInArrow(sample, "doc_id long, slots array<int>, vals array<float>, soft double")
+    hashed = src.select(F.xxhash64("text").alias("h"), "text").where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    chosen = text_batches(hashed.dropDuplicates(["h"])).mapInArrow(sample, "h long, slots array<int>, vals array<float>, soft double")
     weights = chosen.limit(train_docs).repartition(1).mapInArrow(fit, "w binary").collect() if total else []
     w = spark.sparkContext.broadcast(np.frombuffer(weights[0][0]) if weights else np.zeros(BUCKETS + 1))
 

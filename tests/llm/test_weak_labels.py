@@ -53,3 +53,14 @@ def test_edges(spark):
     got = L.classify(df).collect()
     assert len(got) == len(rows) and all(not r.kept for r in got if r.doc_id in range(100, 110)) and all(r.kept for r in got if r.doc_id in range(40))
     assert L.classify(df.limit(0)).count() == 0
+
+
+def test_votes_read_whole_texts():
+    from marlstone.llm import weak_labels as M
+
+    capitals = lambda text: M.votes(text) // 81 % 3
+    for n in (60, 20_000):
+        assert capitals("aBaB " * n) == 0 and capitals("ABAB " * n) == 1 and capitals("aaaa " * n) == 2
+    assert M.letters_of("aB1 É\U00010400\ud800") == (4, 3)
+    assert M.shape("x" * 5 + "-" * 40) == "a" + "-" * 40
+    assert M.votes("word " * 100_000) // 3**5 % 3 == 1
