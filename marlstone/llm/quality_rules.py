@@ -17,18 +17,20 @@ from .common import SPACES, text_batches
 #: Fixed by the contract of the base rules.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: The transformed statistics, as thousandths, and the least standard deviation each is given: a feature
-#: that is constant in a group must not make every small departure an outlier.
+#: The transformed statistics, as thousandths, and the least standard deviation of each: where a group's own is
+#: smaller (a feature may be constant in it), this one stands in, so that no small departure makes an outlier.
 FEATURES = ("z_words", "z_length", "z_symbols", "z_dup", "z_repeat")
-FLOORS = (600.0, 300.0, 700.0, 1300.0, 1000.0)
-#: Groups with fewer eligible documents are pooled: sources of one language first, then all that is left.
+FLOORS = (600.0, 60.0, 700.0, 1300.0, 1000.0)
+#: Groups with fewer eligible documents are pooled: sources of one language first, then all that is left; if
+#: that is still fewer, it is judged by the estimate of all documents.
 MIN_GROUP = 50
 #: Share of a group that the minimum-covariance-determinant subset holds.
 SUBSET = 0.75
 #: Chi-square probability beyond which a document is an outlier.
 CONFIDENCE = 0.9999
-MAX_STEPS = 10
 P = len(FEATURES)
+#: Directions are whole numbers of this length, so that their sums are exact.
+SIGN = 10_000
 
 
 def base_stats(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -75,7 +77,7 @@ def _features(stats: DataFrame) -> DataFrame:
     return stats.withColumns(
         {
             "z_words": milli(F.log1p(c("n_words"))),
-            "z_length": milli(F.least(c("word_chars") / F.greatest(c("n_words"), F.lit(1)), F.lit(100.0))),
+            "z_length": milli(F.log1p(c("word_chars") / F.greatest(c("n_words"), F.lit(1)))),
             "z_symbols": milli(F.log1p(1000 * c("n_symbols") / F.greatest(c("word_chars"), F.lit(1)))),
             "z_dup": milli(F.log1p(100 * c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1)))),
             "z_repeat": milli(F.log1p(100 * c("n_repeat_words") / F.greatest(c("n_words"), F.lit(1)))),
@@ -110,7 +112,7 @@ def estimate(n: float, s1: np.ndarray, s2: np.ndarray, share: float) -> tuple[np
     m = s1 / n
     cov = s2 / n - np.outer(m, m)
     cov *= share / chi2_cdf(chi2_quantile(share, P), P + 2) if share < 1 else 1
-    cov += np.diag(np.square(FLOORS))
+    cov += np.diag(np.maximum(np.square(FLOORS) - np.diag(cov), 0))
     return m, np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
 
 
@@ -130,7 +132,7 @@ def bucket_of(d2: Column) -> Column:
     return F.floor(32 * F.log2(d2 + 1e-6)).cast("int")
 
 
-_PARAM = "grp string, m array<double>, p array<double>, logdet double"
+_PARAM = "grp string, start int, m array<double>, p array<double>, logdet double"
 
 
 def _solve(share: float):
@@ -143,62 +145,83 @@ def _solve(share: float):
                 for (i, j), v in zip(upper, r.s2):
                     s2[i, j] = s2[j, i] = float(v)
                 m, inv, det = estimate(float(r.n), np.array([float(v) for v in r.s1]), s2, share)
-                rows.append((r.grp, m.tolist(), inv.ravel().tolist(), det))
-            yield pd.DataFrame(rows, columns=["grp", "m", "p", "logdet"])
+                rows.append((r.grp, r.start, m.tolist(), inv.ravel().tolist(), det))
+            yield pd.DataFrame(rows, columns=["grp", "start", "m", "p", "logdet"])
 
     return run
 
 
-def _moments(prefix: str = "") -> list[Column]:
-    z = [F.col(c) for c in FEATURES]
+def _solve_signs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Start 2: the inverse of the sign covariance, in the units of the features, about the medians."""
+    for pdf in frames:
+        rows = []
+        for r in pdf.itertuples(index=False):
+            s2 = np.zeros((P, P))
+            s2[np.triu_indices(P)] = [float(v) for v in r.s2]
+            s2 = (s2 + np.triu(s2, 1).T) / max(r.n, 1) / SIGN**2 + np.eye(P) * 0.05
+            scale = np.array(r.scale)
+            rows.append((r.grp, 2, list(r.mid), (np.linalg.inv(s2) / np.outer(scale, scale)).ravel().tolist(), 1e308))
+        yield pd.DataFrame(rows, columns=["grp", "start", "m", "p", "logdet"])
+
+
+def _moments(z: list[Column]) -> list[Column]:
     s1 = [F.sum(x).alias(f"a{i}") for i, x in enumerate(z)]
     s2 = [F.sum(z[i] * z[j]).alias(f"b{i}_{j}") for i in range(P) for j in range(i, P)]
     return [F.count("*").alias("n"), *s1, *s2]
 
 
-def _packed(df: DataFrame) -> DataFrame:
+def _packed(df: DataFrame, *keys: str) -> DataFrame:
     s1 = F.array(*[f"a{i}" for i in range(P)])
     s2 = F.array(*[f"b{i}_{j}" for i in range(P) for j in range(i, P)])
-    return df.select("grp", "n", s1.alias("s1"), s2.alias("s2"))
+    return df.select(*keys, "n", s1.alias("s1"), s2.alias("s2"))
+
+
+def _starts(points: DataFrame, sizes: DataFrame, hint) -> DataFrame:
+    """Three deterministic starts of every group: medians and quartile ranges, all moments, signs about the medians."""
+    z = [F.col(c) for c in FEATURES]
+    first = sizes.select("grp", F.lit(0).alias("start"), F.col("mid").alias("m"), F.array(*[1 / (F.col("scale")[i] * F.col("scale")[i]) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]).alias("p"), F.lit(1e308).alias("logdet"))
+    whole = _packed(points.groupBy("grp").agg(*_moments(z)).withColumn("start", F.lit(1)), "grp", "start").mapInPandas(_solve(1.0), _PARAM)
+    unit = [(z[i] - F.col("mid")[i]) / F.col("scale")[i] for i in range(P)]
+    length = F.greatest(F.sqrt(sum((u * u for u in unit[1:]), unit[0] * unit[0])), F.lit(1e-9))
+    signs = points.join(hint(sizes), "grp").select("grp", *[F.round(SIGN * u / length).cast("long").alias(c) for u, c in zip(unit, FEATURES)])
+    signs = signs.groupBy("grp").agg(*_moments(z)).join(hint(sizes.select("grp", "mid", "scale")), "grp")
+    signs = _packed(signs, "grp", "mid", "scale").mapInPandas(_solve_signs, _PARAM)
+    return first.unionByName(whole.withColumn("logdet", F.lit(1e308))).unionByName(signs)
 
 
 def mcd(points: DataFrame) -> DataFrame:
     """Reweighted minimum-covariance-determinant estimate per group, over all points.
 
-    ``points`` has grp and the integer FEATURES. From medians and quartile ranges, concentration steps follow:
-    each takes the least distances that make up SUBSET of the group (rounded up to whole distance steps) and
-    re-estimates from them, until no log-determinant falls any more. One last step takes all points within the
-    97.5 % ellipsoid. Moments are sums of integers, so the result does not depend on partitioning.
+    ``points`` has grp and the integer FEATURES. From each of three starts, concentration steps follow: each takes the
+    least distances that make up SUBSET of the group (rounded up to whole distance steps) and re-estimates from them,
+    until its log-determinant falls no more; it falls in every other step and is bounded by FLOORS, so the steps end.
+    A group keeps its estimate of least determinant. One last step takes all points within the 97.5 % ellipsoid.
+    Moments are sums of integers, so the result does not depend on partitioning.
     """
     z = [F.col(c) for c in FEATURES]
     q = points.groupBy("grp").agg(F.count("*").alias("size"), *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in FEATURES])
-    sizes = materialise(q, "quartiles")
-    few = sizes.count() <= 20_000
-    hint = F.broadcast if few else (lambda d: d)
-
-    def start(c, floor):
-        s = F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(floor))
-        return 1 / (s * s)
-
-    diag = [start(c, f) for c, f in zip(FEATURES, FLOORS)]
-    cur = materialise(
-        sizes.select("grp", F.array(*[F.col(c)[1] for c in FEATURES]).alias("m"), F.array(*[diag[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P)]).alias("p"), F.lit(1e308).alias("logdet")),
-        "mcd",
-    )
-    need = sizes.select("grp", F.ceil(F.col("size") * SUBSET).alias("need"))
-    for _ in range(MAX_STEPS):
-        near = points.join(hint(cur), "grp").groupBy("grp", bucket_of(distance(z, F.col("m"), F.col("p"))).alias("bucket")).agg(*_moments())
-        order = W.partitionBy("grp").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-        near = near.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).join(hint(need), "grp").where("before < need")
-        sums = near.groupBy("grp").agg(*[F.sum(c).alias(c) for c in near.columns if c == "n" or c[0] in "ab" and c[1:2].isdigit()])
-        nxt = materialise(_packed(sums).mapInPandas(_solve(SUBSET), _PARAM), "mcd")
-        fell = nxt.join(hint(cur.select("grp", F.col("logdet").alias("was"))), "grp").where("logdet < was - 1e-9").limit(1).count()
+    scale = [F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(f)) for c, f in zip(FEATURES, FLOORS)]
+    sizes = materialise(q.select("grp", F.ceil(F.col("size") * SUBSET).alias("need"), F.array(*[F.col(c)[1] for c in FEATURES]).alias("mid"), F.array(*scale).alias("scale")), "quartiles")
+    hint = F.broadcast if sizes.count() <= 20_000 else (lambda d: d)
+    cur = materialise(_starts(points, sizes, hint).withColumn("fell", F.lit(True)), "mcd")
+    while cur.where("fell").limit(1).count():
+        near = points.join(hint(cur.where("fell").select("grp", "start", "m", "p")), "grp")
+        near = near.groupBy("grp", "start", bucket_of(distance(z, F.col("m"), F.col("p"))).alias("bucket")).agg(*_moments(z))
+        order = W.partitionBy("grp", "start").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+        near = near.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).join(hint(sizes.select("grp", "need")), "grp").where("before < need")
+        sums = near.groupBy("grp", "start").agg(*[F.sum(c).alias(c) for c in near.columns if c == "n" or c[0] in "ab" and c[1:2].isdigit()])
+        new = _packed(sums, "grp", "start").mapInPandas(_solve(SUBSET), _PARAM).toDF("grp", "start", "m2", "p2", "det2")
+        fell = F.coalesce(F.col("det2") < F.col("logdet") - 1e-9, F.lit(False))
+        pick = lambda a, b: F.when(fell, F.col(b)).otherwise(F.col(a)).alias(a)
+        nxt = materialise(cur.drop("fell").join(new, ["grp", "start"], "left").select("grp", "start", pick("m", "m2"), pick("p", "p2"), pick("logdet", "det2"), fell.alias("fell")), "mcd")
         discard(cur)
         cur = nxt
-        if not fell:
-            break
-    inside = points.join(hint(cur), "grp").where(distance(z, F.col("m"), F.col("p")) <= chi2_quantile(0.975, P)).groupBy("grp").agg(*_moments())
-    return materialise(_packed(inside).mapInPandas(_solve(0.975), _PARAM), "mcd")
+    best = cur.groupBy("grp").agg(F.min_by(F.struct("m", "p"), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
+    inside = points.join(hint(best), "grp").where(distance(z, F.col("m"), F.col("p")) <= chi2_quantile(0.975, P)).groupBy("grp").agg(*_moments(z))
+    out = materialise(_packed(inside.withColumn("start", F.lit(0)), "grp", "start").mapInPandas(_solve(0.975), _PARAM).drop("start"), "mcd")
+    for x in (cur, sizes):
+        discard(x)
+    return out
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -208,8 +231,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     distance2. A document fails the base rules under MIN_WORDS words or with over half its words in
     repeated 3-word windows; null and empty texts have zero words. The others are grouped by language and
     source (null is a value of its own), small groups pooled, and rejected when their transformed statistics lie
-    beyond the CONFIDENCE ellipsoid of the group's robust estimate; with fewer than MIN_GROUP documents in the
-    last pool there is no estimate: distance2 is null and they are kept. Repeated rows count each; other
+    beyond the CONFIDENCE ellipsoid of the group's robust estimate; where the last pool has fewer than MIN_GROUP
+    documents, its estimate is that of all documents. Repeated rows count each; other
     columns are ignored; an empty table gives an empty result.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -225,11 +248,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     )
     levels = materialise(levels, "levels")
     rest = levels.where("grp = 'all'").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    if rest < MIN_GROUP:
-        levels = levels.where("grp <> 'all'")
     hint = F.broadcast if levels.count() <= 20_000 else (lambda d: d)
     keyed = stats.withColumn("fine", F.concat(name("lang"), F.lit("\x1f"), name("source"))).join(hint(levels.select("fine", "grp")), "fine", "left")
-    points = materialise(keyed.where("not base_failed and grp is not null").select("grp", *FEATURES), "points")
+    judged = keyed.where("not base_failed").select("grp", *FEATURES)
+    if 0 < rest < MIN_GROUP:
+        judged = judged.where("grp <> 'all'").unionByName(judged.withColumn("grp", F.lit("all")))
+    points = materialise(judged, "points")
     fit = mcd(points)
     hint = F.broadcast if fit.count() <= 20_000 else (lambda d: d)
     out = keyed.join(hint(fit), "grp", "left")
