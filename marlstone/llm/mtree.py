@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ..session import materialise
 
 #: Entries of a page; vectors of a tree and queries of a task, about; and the multiple that makes a row a query.
 PAGE, BLOCK, QUERY_EVERY = 512, 8192, 20
-#: Largest component after scaling: inner products of up to 512 of them are exact in a double.
+#: At most so many vectors are pivots by which all vectors are dealt into trees, chosen far from one another among so many
+#: times their number, those of the least hash. Which they are decides how much is pruned, never what is found.
+PIVOTS, AMONG = 1024, 4
+#: Products of components up to this one are exact in doubles; larger ones are taken in whole numbers.
 LARGEST = 1 << 22
+#: What rounding may add to a distance, as a share of the lengths involved.
 SLACK = 1e-6
+_LONGEST = (1 << 63) - 1
 
 
 class MTree:
@@ -27,18 +34,38 @@ class MTree:
     distance from the pivot of the page; a leaf entry its vector and the same distance.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = PAGE):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = PAGE, rows: np.ndarray | None = None):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], vectors[order].astype(np.float64)
+        self.ids, self.rows = ids[order], (ids if rows is None else rows)[order]
+        self.v = vectors[order].astype(np.int64)
+        self.x = self.v.astype(np.float64)
+        self.wide = bool(len(ids)) and bool(np.abs(self.x).max(initial=0) > LARGEST)
         norm2 = np.einsum("ij,ij->i", self.x, self.x)
         self.m2 = float(norm2.max(initial=0))
         self.hat = np.hstack([self.x, np.sqrt(np.maximum(self.m2 - norm2, 0))[:, None]])
         self.page = page
         self.nodes: list[tuple] = []
-        root = np.arange(len(ids))
-        self.root = self._build(root, self.hat.mean(axis=0) if len(ids) else np.zeros(self.hat.shape[1]))
+        every = np.arange(len(ids))
+        self.pivot = self.hat.mean(axis=0) if len(ids) else np.zeros(self.hat.shape[1])
+        self.radius = float(self._far(every, self.pivot).max(initial=0))
+        self.root = self._build(every, self.pivot)
         self.hat = None  # pages have what a search needs
 
+    def __getstate__(self):
+        small = self.v if self.wide else self.v.astype(np.int32)
+        return self.__dict__ | {"x": None, "v": small}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.x = self.v.astype(np.float64)
+
+    def _scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact inner products; those that no long holds are the nearest that one does."""
+        if not self.wide and np.abs(q).max(initial=0) <= LARGEST:
+            return (self.x[rows] @ q.astype(np.float64)).astype(np.int64)
+        exact = (self.v[rows].astype(object) * q.astype(object)).sum(axis=1)
+        return np.array([max(-_LONGEST, min(_LONGEST, int(s))) for s in exact], np.int64)
+
     def _far(self, rows: np.ndarray, pivot: np.ndarray) -> np.ndarray:
         d = self.hat[rows] - pivot
         return np.sqrt(np.einsum("ij,ij->i", d, d))
@@ -76,67 +103,73 @@ class MTree:
         self.nodes.append((False, pivots, np.array(radii), np.sqrt(np.einsum("ij,ij->i", gap, gap)), children))
         return len(self.nodes) - 1
 
-    def search(self, q: np.ndarray, k: int, own: int | None = None) -> tuple[list[tuple[int, int]], int]:
-        """The k largest (score, id), ties to the smaller id, without the id ``own``; and the distances computed.
+    def search(self, q: np.ndarray, k: int, own: int | None = None, least: int | None = None) -> tuple[list[tuple[int, int]], int]:
+        """The k largest (score, id), ties to the smaller id, without the row ``own``; and the distances computed.
 
-        Nodes are opened by their least possible distance, until that exceeds the k-th best. Before a distance
-        is computed, |d(q, parent) - d(entry, parent)| - radius, from stored distances, may already rule it out.
+        Nodes are opened by their least possible distance, until that exceeds the k-th best, or that of score ``least``,
+        under which nothing is wanted. Before a distance is computed, |d(q, parent) - d(entry, parent)| - radius, from
+        stored distances, may already rule it out.
         """
-        q = q.astype(np.float64)
+        exact, q = q, q.astype(np.float64)
         total = float(q @ q) + self.m2
+        slack = SLACK * (1 + total**0.5)
         qhat = np.append(q, 0.0)
-        top_s, top_i = np.empty(0), np.empty(0, np.int64)
-        bound, computed = np.inf, 0
+        top_s, top_i, top_r = (np.empty(0, np.int64) for _ in range(3))
+        bound, computed = np.inf if least is None else max(total - 2.0 * least, 0.0) ** 0.5, 0
         heap: list[tuple[float, int, float]] = [(0.0, self.root, np.nan)]
         while heap:
             low, node, dq = heappop(heap)
-            if low > bound + SLACK:
+            if low > bound + slack:
                 break
             entry = self.nodes[node]
             if entry[0]:
                 rows = entry[1]
                 if bound < np.inf and dq == dq:
-                    rows = rows[np.abs(entry[2] - dq) <= bound + SLACK]
+                    rows = rows[np.abs(entry[2] - dq) <= bound + slack]
+                if own is not None:
+                    rows = rows[self.rows[rows] != own]
                 if not len(rows):
                     continue
                 computed += len(rows)
-                s, i = self.x[rows] @ q, self.ids[rows]
+                s = np.concatenate([top_s, self._scores(rows, exact)])
+                i, r = np.concatenate([top_i, self.ids[rows]]), np.concatenate([top_r, self.rows[rows]])
+                best = np.lexsort((r, i, -s))[:k]
+                top_s, top_i, top_r = s[best], i[best], r[best]
                 if len(top_s) == k:
-                    ok = s >= top_s[-1]
-                    s, i = s[ok], i[ok]
-                if own is not None:
-                    s, i = s[i != own], i[i != own]
-                if len(s):
-                    s, i = np.concatenate([top_s, s]), np.concatenate([top_i, i])
-                    best = np.lexsort((i, -s))[:k]
-                    top_s, top_i = s[best], i[best]
-                    if len(top_s) == k:
-                        bound = max(total - 2 * top_s[-1], 0.0) ** 0.5
+                    bound = min(bound, max(total - 2.0 * float(top_s[-1]), 0.0) ** 0.5)
             else:
                 _, pivots, radii, far, children = entry
                 may = np.arange(len(children))
                 if bound < np.inf and dq == dq:
-                    may = may[np.abs(far - dq) - radii <= bound + SLACK]
+                    may = may[np.abs(far - dq) - radii <= bound + slack]
                 if len(may):
                     gap = pivots[may] - qhat
                     computed += len(may)
                     d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-                    least = np.maximum(d - radii[may], 0.0)
-                    for c, lo, dd in zip(may.tolist(), least.tolist(), d.tolist()):
-                        if lo <= bound + SLACK:
+                    nearest = np.maximum(d - radii[may], 0.0)
+                    for c, lo, dd in zip(may.tolist(), nearest.tolist(), d.tolist()):
+                        if lo <= bound + slack:
                             heappush(heap, (lo, children[c], dd))
         return [(int(s), int(i)) for s, i in zip(top_s, top_i)], computed
 
 
+def score_bounds(q: np.ndarray, pivots: np.ndarray, radii: np.ndarray, m2: np.ndarray) -> np.ndarray:
+    """The largest product that each query (row) may have with any vector of each tree (column)."""
+    q = q.astype(np.float64)
+    q2, p2 = np.einsum("ij,ij->i", q, q)[:, None], np.einsum("ij,ij->i", pivots, pivots)[None, :]
+    d = np.sqrt(np.maximum(q2 + p2 - 2 * q @ pivots[:, :-1].T, 0))
+    total = q2 + m2[None, :]
+    gap = np.maximum(d - radii[None, :] - SLACK * (1 + np.sqrt(total + p2)), 0)
+    return (total - gap * gap) / 2 + SLACK * (1 + total)
+
+
 def scaled_vectors(table: DataFrame, scale: int = 64) -> DataFrame:
-    """vec_id, v (floor of scale times each component, as double in between) and dim of the usable rows."""
+    """vec_id, v (floor of scale times each component, as double in between), dim and h (a hash) of the usable rows."""
     x = F.col("embedding").cast("array<double>")
-    v = F.transform(x, lambda c: F.floor(c * scale))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    huge = F.exists(x, lambda c: F.abs(c * scale) > LARGEST)
     ok = table.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad)
-    checked = F.when(huge, F.raise_error(F.lit("a component is too large for exact inner products"))).otherwise(v)
-    return ok.select(F.col("vec_id").cast("long").alias("vec_id"), checked.cast("array<int>").alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    v = F.transform(x, lambda c: F.floor(c * scale).cast("long"))
+    return ok.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).withColumn("dim", F.size("v")).withColumn("h", F.xxhash64("v", "vec_id"))
 
 
 def _matrix(column) -> np.ndarray:
@@ -144,52 +177,138 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+def _apart(x: np.ndarray, n: int) -> np.ndarray:
+    """The first row and n - 1 more, each the farthest from those before it."""
+    at, far = [0], np.full(len(x), np.inf)
+    while len(at) < min(n, len(x)):
+        far = np.minimum(far, ((x - x[at[-1]]) ** 2).sum(axis=1))
+        at.append(int(far.argmax()))
+    return x[at]
+
+
+def _cells(pivots: dict[int, np.ndarray]):
+    """Deals vectors to the nearest pivot of their length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            for dim in np.unique(t.column("dim").to_numpy()).tolist():
+                part = t.filter(pa.compute.equal(t.column("dim"), dim)).combine_chunks()
+                x, p = _matrix(part.column("v")).astype(np.float64), pivots[dim]
+                cell = (np.einsum("ij,ij->i", p, p)[None, :] - 2 * x @ p.T).argmin(axis=1)
+                yield from part.append_column("cell", pa.array(cell, pa.int64())).to_batches()
+
+    return run
+
+
+_TREE = "dim int, cell long, block long, tree binary, pivot array<double>, radius double, m2 double, first long"
+
+
 def _plant(t: pa.Table) -> pa.Table:
-    tree = MTree(t.column("vec_id").to_numpy(), _matrix(t.column("v")))
-    tree.x = tree.x.astype(np.int32)
-    return pa.table({"dim": t.column("dim")[:1], "block": t.column("block")[:1], "tree": pa.array([pickle.dumps(tree, protocol=5)], pa.binary())})
+    tree = MTree(t.column("vec_id").to_numpy(), _matrix(t.column("v")), rows=t.column("row").to_numpy())
+    one = {c: t.column(c)[:1] for c in ("dim", "cell", "block")}
+    return pa.table(one | {"tree": pa.array([pickle.dumps(tree, protocol=5)], pa.binary()), "pivot": pa.array([tree.pivot.tolist()], pa.list_(pa.float64())), "radius": pa.array([tree.radius]), "m2": pa.array([tree.m2]), "first": pa.array([int(tree.rows.min())], pa.int64())})
+
+
+def _routed(home: bool):
+    """Trees to search: of every query the one with the best mean score, or all others that may hold a score of ``least``."""
+
+    def run(tops: pa.Table, queries: pa.Table) -> pa.Table:
+        names = ["query_row", "tree_no", "bound"]
+        if not tops.num_rows or not queries.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
+        q, pivots = _matrix(queries.column("q")), _matrix(tops.column("pivot"))
+        bounds = q.astype(np.float64) @ pivots[:, :-1].T if home else score_bounds(q, pivots, tops.column("radius").to_numpy(), tops.column("m2").to_numpy())
+        rows, trees = queries.column("query_row").to_numpy(), tops.column("tree_no").to_numpy()
+        if home:
+            i, j = np.arange(len(rows)), bounds.argmax(axis=1)
+        else:
+            least = np.array([-np.inf if x is None else float(x) for x in queries.column("least").to_pylist()])
+            i, j = np.nonzero((bounds >= least[:, None] - SLACK * np.abs(least)[:, None]) & (trees[None, :] != queries.column("home").to_numpy()[:, None]))
+        return pa.table([pa.array(rows[i]), pa.array(trees[j]), pa.array(bounds[i, j])], names)
+
+    return run
 
 
 def _searched(k: int):
     def run(trees: pa.Table, queries: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        for blob in trees.column("tree"):
+        out: tuple[list, ...] = ([], [], [], [])
+        for blob in trees.column("tree") if queries.num_rows else ():
             tree = pickle.loads(blob.as_py())
-            tree.x = tree.x.astype(np.float64)
-            if queries.num_rows:
-                for own, q in zip(queries.column("query_id").to_pylist(), _matrix(queries.column("q"))):
-                    got, _ = tree.search(q, k, own)
-                    out[0].extend([own] * len(got))
-                    out[1].extend(i for _, i in got)
-                    out[2].extend(s for s, _ in got)
-        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_id", "vec_id", "score"), out)})
+            for row, ident, least, q in zip(queries.column("query_row").to_pylist(), queries.column("query_id").to_pylist(), queries.column("least").to_pylist(), _matrix(queries.column("q"))):
+                got, _ = tree.search(q, k, row, least)
+                out[0].extend([row] * len(got))
+                out[1].extend([ident] * len(got))
+                out[2].extend(i for _, i in got)
+                out[3].extend(s for s, _ in got)
+        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_row", "query_id", "vec_id", "score"), out)})
 
     return run
 
 
+def _route(tops: DataFrame, queries: DataFrame, n_trees: int, parts: int, home: bool) -> DataFrame:
+    """Blocks of queries against blocks of tree roots."""
+    blocks = -(-n_trees // BLOCK) or 1
+    whole = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    a = tops.withColumn("tops", F.pmod(F.xxhash64("tree_no"), F.lit(blocks))).withColumn("part", whole(parts))
+    b = queries.withColumn("tops", whole(blocks))
+    key = ["dim", "tops", "part"]
+    return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(_routed(home), "query_row long, tree_no long, bound double")
+
+
+def _search(trees: DataFrame, queries: DataFrame, routed: DataFrame, k: int) -> DataFrame:
+    """Search the trees that queries are routed to: a task is a tree with a block of queries."""
+    asked = materialise(queries.join(routed.select("query_row", "tree_no"), "query_row").select("query_row", "query_id", "q", "least", "tree_no", "part"), "asked")
+    key = ["tree_no", "part"]
+    held = trees.select("tree_no", "tree").join(asked.select(F.col("tree_no").alias("to"), F.col("part").alias("to_part")).distinct(), F.col("tree_no") == F.col("to")).select("tree_no", "tree", F.col("to_part").alias("part"))
+    return held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_searched(k), "query_row long, query_id long, vec_id long, score long")
+
+
 def top_products(table: DataFrame, k: int = 20, every: int = QUERY_EVERY) -> DataFrame:
-    """The k largest integer inner products of every query with all other vectors.
+    """The k largest integer inner products of every query with all other rows.
 
     Vectors are scaled and floored. Queries are rows whose vec_id is divisible by ``every``. Returns query_id, rank
     (from 1), vec_id, score; ties go to the smaller vec_id; a query with fewer than k others gets all. Vectors that
-    are null or hold nulls or non-finite components, and rows without vec_id, take no part; rows that share a
-    vec_id count as one vector, the least; vectors are compared with those of their own length; other columns
-    are ignored; an empty table gives an empty result.
+    are null or hold nulls or non-finite components, and rows without vec_id, take no part; rows that share a vec_id are
+    rows of their own, each a query with the others among its candidates; vectors are compared with those of their own
+    length; products beyond a long are its least or greatest value; other columns are ignored; an empty table gives an
+    empty result.
 
-    Vectors are dealt into trees of about BLOCK, queries into blocks of about as many, and each pair of blocks is one
-    task, which returns its own k best; so no task grows with the table.
+    Vectors are dealt by the nearest of some pivots, and large cells cut by hash, into trees of about BLOCK. Each query
+    searches the tree of the best mean score; the score of its k-th best then rules out trees by their roots' covering
+    radii, and the rest are searched from that bound on. All tasks are blocks of bounded size.
     """
-    vectors = materialise(scaled_vectors(table).where("dim > 0"), "vectors")
-    n = vectors.count()
-    blocks, parts = -(-n // BLOCK) or 1, -(-n // (every * BLOCK)) or 1
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    part = F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(parts))
-    dealt = vectors.withColumn("block", block)
-    trees = materialise(dealt.groupBy("dim", "block").applyInArrow(_plant, "dim int, block long, tree binary"), "trees")
-    trees = trees.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    queries = vectors.where(F.col("vec_id") % every == 0).select("dim", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), part.alias("part"))
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    key = ["dim", "block", "part"]
-    found = trees.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(_searched(k), "query_id long, vec_id long, score long")
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    vectors = materialise(scaled_vectors(table).where("dim > 0").withColumn("row", F.monotonically_increasing_id()), "vectors")
+    sizes = {r[0]: r[1] for r in vectors.groupBy("dim").count().collect()}
+    n = sum(sizes.values())
+    if not n:
+        return vectors.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.col("vec_id").alias("score")).where("false")
+    wanted = {d: max(1, min(PIVOTS, -(-n // BLOCK)) * c // n) for d, c in sizes.items()}
+    chosen = vectors.withColumn("nth", F.row_number().over(W.partitionBy("dim").orderBy("h", "row"))).where(F.col("nth") <= AMONG * max(wanted.values()))
+    sample: dict[int, list] = {}
+    for r in chosen.orderBy("h", "row").select("dim", "v").collect():
+        sample.setdefault(r[0], []).append(r[1])
+    packed = {d: _apart(np.array(v, np.float64), wanted[d]) for d, v in sample.items()}
+    dealt = vectors.mapInArrow(_cells(packed), "vec_id long, v array<long>, dim int, h long, row long, cell long")
+    dealt = materialise(dealt, "cells")
+    count = dealt.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = dealt.join(F.broadcast(count), ["dim", "cell"]).withColumn("block", F.pmod("h", F.col("blocks")))
+    trees = materialise(dealt.groupBy("dim", "cell", "block").applyInArrow(_plant, _TREE).withColumnRenamed("first", "tree_no"), "trees")
+    tops = trees.select("tree_no", "dim", "pivot", "radius", "m2")
+    n_trees = trees.count()
+    parts = -(-n // (every * BLOCK)) or 1
+    none = F.lit(None).cast("long")
+    queries = materialise(
+        vectors.where(F.col("vec_id") % every == 0).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), "dim", F.col("v").alias("q"), F.pmod(F.xxhash64(F.lit(7), "row"), F.lit(parts)).alias("part"), none.alias("least"), none.alias("home")),
+        "queries",
+    )
+    home = _route(tops, queries, n_trees, parts, True).groupBy("query_row").agg(F.max_by("tree_no", F.struct("bound", "tree_no")).alias("tree_no"))
+    home = materialise(home, "home")
+    first = materialise(_search(trees, queries, home, k), "first")
+    bounds = first.groupBy("query_row").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    bounded = queries.drop("least", "home").join(home.withColumnRenamed("tree_no", "home"), "query_row").join(bounds, "query_row", "left")
+    bounded = materialise(bounded.select("query_row", "query_id", "dim", "q", "part", "least", "home"), "bounded")
+    others = materialise(_route(tops, bounded, n_trees, parts, False), "others")
+    found = first.unionByName(_search(trees, bounded, others, k))
+    best = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

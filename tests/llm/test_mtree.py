@@ -33,14 +33,34 @@ def test_query(spark, monkeypatch):
     rows += [(400 + i, rows[5][1], 1) for i in range(30)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(3)
     monkeypatch.setattr(M, "BLOCK", 50)
+    rows += [(1, [0.9] * 12, 1), (1, [0.5] * 12, 1), (500, [3e5] * 12, 1), (501, [-1e300] * 12, 1), (502, [70000.5] * 12, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").repartition(3)
     got = {}
     for r in M.top_products(df).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    good = {i: [math.floor(64 * float(np.float32(v))) for v in e] for i, e, _ in rows if i is not None and e and all(v is not None and math.isfinite(v) for v in e)}
+    long = (1 << 63) - 1
+    whole = lambda v: max(-long - 1, min(long, math.floor(64 * v)))
+    good = [(i, [whole(v) for v in e]) for i, e, _ in rows if i is not None and e and all(v is not None and math.isfinite(v) for v in e)]
     want = {}
-    for q in good:
+    for at, (q, x) in enumerate(good):
         if q % 20 == 0:
-            c = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:20]
-            want[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(c)]
-    assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in want.items() if v}
+            c = sorted((-max(-long, min(long, sum(a * b for a, b in zip(x, v)))), i) for j, (i, v) in enumerate(good) if j != at and len(v) == len(x))[:20]
+            want.setdefault(q, []).extend((n + 1, i, -s) for n, (s, i) in enumerate(c))
+    assert len(want[20]) == 40 and {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items() if v}
     assert M.top_products(df.limit(0)).count() == 0
+
+
+def test_whole_trees_are_left_out(spark, monkeypatch):
+    """On clustered vectors the first tree's bound rules out most others, and results are those of brute force."""
+    rng = np.random.default_rng(8)
+    turns = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    x = np.repeat(turns, 60, axis=0) * 3 + rng.normal(0, 0.02, (960, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(M, "BLOCK", 60)
+    kept, real = {}, M.materialise
+    monkeypatch.setattr(M, "materialise", lambda d, label="step": kept.setdefault(label, real(d, label)) if label in ("others", "trees") else real(d, label))
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in M.top_products(df).collect()}
+    v = np.floor(64 * x).astype(int)
+    for q in range(0, 960, 20):
+        assert [(-s, i) for i, s in (got[q, n] for n in range(1, 21))] == brute(np.arange(960), v, v[q], 20, q)
+    assert kept["others"].count() < 0.3 * 48 * kept["trees"].count()
