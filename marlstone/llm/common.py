@@ -19,6 +19,14 @@ SPACES = " \t\n\x0b\x0c\r"
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_batches(df: DataFrame) -> DataFrame:
     """Set the session's Arrow batches to a size fit for whole texts, and give the frame back."""
     conf = df.sparkSession.conf

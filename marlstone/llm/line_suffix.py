@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ..session import discard, materialise, spread
-from .common import SPACES
+from .common import SPACES, fresh
 
-#: A repeated run has at least so many lines (a power of two).
-MIN_LINES = 2
+#: A repeated run has at least so many lines. A single line counts as one if it has LONG_LINE words, as many as a
+#: repeated passage, or is the only line of its document.
+MIN_LINES, LONG_LINE = 2, 50
 NEWLINE = "\n"
 
 
@@ -30,86 +31,116 @@ def _ranked(classes: DataFrame, *keys: str) -> DataFrame:
     return materialise(classes.orderBy(*keys).withColumn("rank_new", F.monotonically_increasing_id()), "ranks")
 
 
-def suffix_levels(docs: DataFrame, long_words: int | None = None) -> tuple[DataFrame, DataFrame]:
+def suffix_levels(docs: DataFrame, long_words: int | None = None, min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
     """Prefix doubling over the line sequences of all documents.
 
-    Level k ranks, in suffix order, the positions whose next 2^k lines also stand elsewhere; a rank is an
-    interval of the suffix array with a longest common prefix of at least 2^k lines. Positions that are alone
-    leave, since every longer prefix of theirs is alone too, and doubling ends when all have left. A document
-    is a sequence of its own, so no prefix runs over its end. With ``long_words``, intervals of one line count too where
-    the line has so many words or is the only one of its document.
+    A level ranks, in suffix order, the positions whose next n lines also stand elsewhere; a rank is an interval of the
+    suffix array with a longest common prefix of at least n lines. n doubles from 1; min_lines is a level too, made of two
+    overlapping windows of the level before, and doubles on from there. Positions that are alone leave, since every longer
+    prefix of theirs is alone too, and doubling ends when all have left. A document is a sequence of its own, so no
+    prefix runs over its end. With ``long_words``, intervals of one line count too where the line has so many words
+    or is the only one of its document.
 
-    Returns the positions of repeated lines (doc, copy, pos, line_no), and for each position that is not
-    the first of some interval the longest such prefix (doc, copy, pos, lines).
+    Returns the positions of repeated lines (doc, copy, pos, line_no), and for each position that is not the first of
+    some interval the longest such prefix and where its first copy starts (doc, copy, pos, lines, first).
     """
     lines = line_positions(docs, long_words).distinct()
     place = F.row_number().over(W.partitionBy("doc", "copy").orderBy("line_no")) - 1
     if long_words is not None:
         lines = lines.withColumn("long", F.col("long") | (F.count("*").over(W.partitionBy("doc", "copy")) == 1))
     lines = materialise(lines.withColumn("pos", place), "lines")
-    first = F.min(F.struct("doc", "copy", "pos")).alias("first")
+    here = F.struct("doc", "copy", "pos")
+    first = F.min(here).alias("first")
     classes = _ranked(lines.groupBy("a", "b").agg(F.count("*").alias("n"), first).where("n > 1"), "a", "b")
-    base = materialise(lines.join(classes, ["a", "b"]).select("doc", "copy", "pos", "line_no", "long", F.col("rank_new").alias("rank"), (F.struct("doc", "copy", "pos") > F.col("first")).alias("later")), "level")
+    base = materialise(lines.join(classes, ["a", "b"]).select("doc", "copy", "pos", "line_no", "long", F.col("rank_new").alias("rank"), "first"), "level")
     discard(lines)
-    level, lines_at = base, 1
-    later = [] if long_words is None else [base.where("later and long").select("doc", "copy", "pos", F.lit(1).alias("lines"))]
+    later = lambda level, n: level.where(here > F.col("first")).select("doc", "copy", "pos", F.lit(n).alias("lines"), "first")
+    found = [] if long_words is None else [later(base.where("long"), 1)]
+    level, n = base, 1
     while True:
-        if lines_at >= MIN_LINES:
-            later.append(level.where("later").select("doc", "copy", "pos", F.lit(lines_at).alias("lines")))
-        ahead = W.partitionBy("doc", "copy").orderBy("pos").rangeBetween(lines_at, lines_at)
+        step = min(n, min_lines - n) if n < min_lines else n
+        ahead = W.partitionBy("doc", "copy").orderBy("pos").rangeBetween(step, step)
         pairs = materialise(level.withColumn("next", F.max("rank").over(ahead)).where("next is not null").select("doc", "copy", "pos", "rank", "next"), "pairs")
         classes = _ranked(pairs.groupBy("rank", "next").agg(F.count("*").alias("n"), first).where("n > 1"), "rank", "next")
         if not classes.limit(1).count():
             break
-        level = materialise(pairs.join(classes, ["rank", "next"]).select("doc", "copy", "pos", F.col("rank_new").alias("rank"), (F.struct("doc", "copy", "pos") > F.col("first")).alias("later")), "level")
+        level = materialise(pairs.join(classes, ["rank", "next"]).select("doc", "copy", "pos", F.col("rank_new").alias("rank"), "first"), "level")
         discard(pairs)
         discard(classes)
-        lines_at *= 2
-    if not later:
-        return base, base.where("false").select("doc", "copy", "pos", F.lit(0).alias("lines"))
-    found = later[0]
-    for x in later[1:]:
-        found = found.unionByName(x)
-    return base, found.groupBy("doc", "copy", "pos").agg(F.max("lines").alias("lines"))
-
-
-def later_copies(docs: DataFrame, long_words: int | None = None) -> DataFrame:
-    """doc, copy and the sorted line numbers to delete.
-
-    A run of n lines that stands earlier is covered by its two prefixes of the largest power of two within n,
-    each of which stands earlier as well; so the union of the longest such prefixes is exactly the lines of
-    all maximal repeated runs of MIN_LINES or more (and the single lines of ``suffix_levels``), without their first copies.
+        n += step
+        if n >= min_lines:
+            found.append(later(level, n))
+    if not found:
+        return base, later(base.where("false"), 0)
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return base, every.groupBy("doc", "copy", "pos").agg(F.max_by("first", "lines").alias("first"), F.max("lines").alias("lines"))
+
+
+def repeated_runs(docs: DataFrame, long_words: int | None = None, min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
+    """Positions of repeated lines, and the repeated runs: doc, copy, start and end (positions, end exclusive), source_doc,
+    source_copy, source_start.
+
+    Neighbouring positions whose first copies are neighbours too lie on one diagonal: they make one run, which ends where
+    the longest of their prefixes end. Each place in a run of n lines starts an interval of its own as long as min_lines
+    lines are left, so a run comes out with all its lines. Runs within a longer one of their document are left out.
     """
-    base, found = suffix_levels(docs, long_words)
-    upto = W.partitionBy("doc", "copy").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    reach = F.max(F.col("pos") + F.col("lines")).over(upto)
-    rows = base.select("doc", "copy", "pos", "line_no").join(found, ["doc", "copy", "pos"], "left").withColumn("reach", reach)
-    return rows.where("reach > pos").groupBy("doc", "copy").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
+    base, found = suffix_levels(docs, long_words, min_lines)
+    order = W.partitionBy("doc", "copy").orderBy("pos")
+    source = F.struct(F.col("first.doc"), F.col("first.copy"), (F.col("first.pos") - F.col("pos")).alias("shift"), (F.col("lines") < min_lines).alias("single"))
+    rows = found.withColumn("source", source)
+    new = F.coalesce((F.lag("source").over(order) != F.col("source")) | (F.lag("pos").over(order) < F.col("pos") - 1), F.lit(True))
+    rows = rows.withColumn("run", F.sum(new.cast("int")).over(order))
+    runs = rows.groupBy("doc", "copy", "run").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("lines")).alias("end"), F.min("source").alias("source"))
+    before = W.partitionBy("doc", "copy").orderBy("start", F.desc("end"), "run").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn("reach", F.max("end").over(before)).where("reach is null or reach < end")
+    return base, runs.select("doc", "copy", "start", "end", F.col("source.doc").alias("source_doc"), F.col("source.copy").alias("source_copy"), (F.col("start") + F.col("source.shift")).alias("source_start"))
+
+
+def later_copies(docs: DataFrame, long_words: int | None = None, min_lines: int = MIN_LINES) -> DataFrame:
+    """doc, copy, gone (lines to delete: sorted spans of line numbers, with their lengths) and deleted (their number)."""
+    base, runs = repeated_runs(docs, long_words, min_lines)
+    order = W.partitionBy("doc", "copy").orderBy("pos", "kind").rowsBetween(W.unboundedPreceding, 0)
+    none = F.lit(None).cast("int")
+    marks = base.select("doc", "copy", "pos", F.lit(1).alias("kind"), "line_no", none.alias("end"))
+    marks = marks.unionByName(runs.select("doc", "copy", F.col("start").alias("pos"), F.lit(0).alias("kind"), none.alias("line_no"), "end"))
+    gone = marks.withColumn("reach", F.max("end").over(order)).where("kind = 1 and reach > pos")
+    at = F.row_number().over(W.partitionBy("doc", "copy").orderBy("line_no"))
+    spans = gone.withColumn("island", F.col("line_no") - at).groupBy("doc", "copy", "island").agg(F.min("line_no").alias("start"), F.count("*").cast("int").alias("n"))
+    return spans.groupBy("doc", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("gone"), F.sum("n").alias("deleted"))
+
+
+def dedup_lines(docs: DataFrame, long_words: int | None = LONG_LINE, min_lines: int = MIN_LINES) -> DataFrame:
     """Documents without the later copies of repeated line runs; with ``long_words``, also of single lines of so many
     words and of lines that are the only one of their document.
 
     Returns the columns of ``docs`` with the new text (remaining lines joined again) and the columns
-    lines_total and lines_deleted (lines with a word). Copies are earlier by doc_id, then (rows that share a
-    doc_id) by a hash of their text, then by line; identical rows count once and are cut alike. Lines
-    without a word are no part of runs and stay. Null texts and rows without doc_id come back as they
+    lines_total and lines_deleted (lines with a word), which take the place of any of these names. Copies are earlier by
+    doc_id, then (rows that share a doc_id) by a hash of their text, then by line; identical rows count once and are cut
+    alike. Lines without a word are no part of runs and stay. Null texts and rows without doc_id come back as they
     are, with counts of null and zero lines deleted; an empty table gives an empty result.
     """
-    gone = later_copies(docs, long_words).withColumnsRenamed({"doc": "cut_doc", "copy": "cut_copy", "gone": "cut_lines"})
+    if min_lines < 2:
+        raise ValueError("a run has two lines at least")
+    doc, copy, gone, deleted = (fresh(docs, c) for c in ("doc", "copy", "gone", "deleted"))
+    cuts = later_copies(docs, long_words, min_lines).withColumnsRenamed({"doc": doc, "copy": copy, "gone": gone, "deleted": deleted})
     text = F.col("text").cast("string")
-    here = docs.join(gone, (docs.doc_id.cast("long") == gone.cut_doc) & (F.xxhash64("text") == gone.cut_copy), "left")
-    left = F.filter(_split(text), lambda _, i: ~F.array_contains(F.col("cut_lines"), i))
-    wordy = F.size(F.filter(_split(text), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)).cast("long")
+    here = docs.join(cuts, (docs["doc_id"].cast("long") == F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(copy)), "left")
+    lines, spans = _split(text), F.col(gone)
+    ends = lambda s: s["start"] + s["n"]
+    upto = F.transform(spans, lambda s, i: F.slice(lines, F.when(i > 0, ends(F.get(spans, i - 1))).otherwise(0) + 1, s["start"] - F.when(i > 0, ends(F.get(spans, i - 1))).otherwise(0)))
+    last = ends(F.element_at(spans, -1))
+    left = F.concat(F.flatten(upto), F.slice(lines, last + 1, F.greatest(F.size(lines) - last, F.lit(0))))
+    wordy = F.size(F.filter(lines, lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)).cast("long")
     return here.select(
-        *[(F.when(F.col("cut_lines").isNull(), F.col("text")).otherwise(F.array_join(left, NEWLINE)).alias(c) if c == "text" else docs[c]) for c in docs.columns if c not in ("lines_total", "lines_deleted")],
+        *[(F.when(spans.isNull(), F.col("text")).otherwise(F.array_join(left, NEWLINE)).alias(c) if c == "text" else docs[c]) for c in docs.columns if c not in ("lines_total", "lines_deleted")],
         F.when(text.isNotNull() & F.col("doc_id").isNotNull(), wordy).alias("lines_total"),
-        F.coalesce(F.size("cut_lines"), F.lit(0)).cast("long").alias("lines_deleted"),
+        F.coalesce(F.col(deleted), F.lit(0)).cast("long").alias("lines_deleted"),
     )
 
 
-#: The same result in SQL: runs of two lines that stand earlier, each with both its lines deleted.
+#: The same result in SQL: runs of two lines that stand earlier, each with both its lines deleted, and the single lines.
 ORACLE_SQL = r"""
 WITH raw AS (
     SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents
@@ -117,7 +148,8 @@ WITH raw AS (
     SELECT doc_id, i - 1 AS line_no, parts[i] AS line
     FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM raw)
 ), wordy AS (
-    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos, count(*) OVER (PARTITION BY doc_id) AS n_lines,
+        len(regexp_split_to_array(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '[ \t\n\x0b\f\r]+')) AS n_words
     FROM lines WHERE length(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0
 ), runs AS (
     SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next_line FROM wordy
@@ -126,8 +158,13 @@ WITH raw AS (
         SELECT doc_id, pos, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, pos) AS nth
         FROM runs WHERE next_line IS NOT NULL)
     WHERE nth > 1
+), single AS (
+    SELECT doc_id, line_no FROM (
+        SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth FROM wordy)
+    WHERE nth > 1 AND (n_words >= 50 OR n_lines = 1)
 ), gone AS (
-    SELECT DISTINCT w.doc_id, w.line_no FROM wordy w JOIN later l ON w.doc_id = l.doc_id AND w.pos IN (l.pos, l.pos + 1)
+    SELECT w.doc_id, w.line_no FROM wordy w JOIN later l ON w.doc_id = l.doc_id AND w.pos IN (l.pos, l.pos + 1)
+    UNION SELECT doc_id, line_no FROM single
 ), kept AS (
     SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS text
     FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP BY l.doc_id
