@@ -120,6 +120,14 @@ def notices(files: DataFrame, needed: list[str]) -> DataFrame:
     return out
 
 
+def squared_counts(terms):
+    """The sum over an array's different terms of their squared counts."""
+    zero = F.lit(0).cast("long")
+    step = lambda a, t: F.when(a["term"] == t, a["nth"] + 1).otherwise(zero)
+    start = F.struct(F.lit("").alias("term"), zero.alias("nth"), zero.alias("sum"))
+    return F.aggregate(F.array_sort(terms), start, lambda a, t: F.struct(t.alias("term"), step(a, t).alias("nth"), (a["sum"] + 2 * step(a, t) + 1).alias("sum")), lambda a: a["sum"])
+
+
 def own_licences(files: DataFrame) -> DataFrame:
     """path, licence, cosine, whole: the best template of any notice of a file, if its cosine is THRESHOLD or more.
 
@@ -131,9 +139,13 @@ def own_licences(files: DataFrame) -> DataFrame:
     weights = F.broadcast(spark.createDataFrame(rows, "template int, term string, tw double"))
     scale = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     key = ["path", "kind", "place"]
-    tf = notices(files, needed_terms(rows)).select(*key, F.explode(_split(F.col("part"))).alias("term")).groupBy(*key, "term").count()
-    tf = materialise(tf.join(scale, "term", "left").select(*key, "term", (F.col("count") * F.coalesce("idf", F.lit(other))).alias("w")), "terms")
-    norm = tf.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    parts = notices(files, needed_terms(rows)).select(*key, _split(F.col("part")).alias("terms"))
+    # terms of no template are all of one weight, so of them only the sum of squared counts is wanted
+    counted = parts.select(*key, "terms", squared_counts(F.col("terms")).alias("squares"))  # before terms are rows
+    known = counted.select(*key, "squares", F.explode("terms").alias("term")).join(scale, "term")
+    tf = materialise(known.groupBy(*key, "squares", "term", "idf").count().withColumn("w", F.col("count") * F.col("idf")), "terms")
+    others = F.first("squares") - F.sum(F.col("count") * F.col("count"))
+    norm = tf.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + other * other * others).alias("norm"))
     dots = tf.join(weights, "term").groupBy(*key, "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
     near = dots.join(norm, key).withColumn("cosine", cosine).where(F.col("cosine") >= THRESHOLD)
