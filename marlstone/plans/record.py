@@ -227,8 +227,7 @@ def _stream(t, name, df):
 @query(_FOLD)
 def incremental_fold(t):
     s, base = _stream(t, "fold", _logs(t).repartition(1))
-    name = "fold_" + base[-8:]
-    out = S.drain(S.fold_stream(s), name, "update", f"{base}/checkpoint")
+    out = S.drain(S.fold_stream(s), "update", f"{base}/checkpoint")
     return _folded(out.groupBy("run_id").agg(F.max_by(F.struct("status", "last_seq", "events", "view"), "last_seq").alias("v")).select("run_id", "v.*"))
 
 
@@ -244,14 +243,14 @@ def live_tail(t):
 def windowed_counts(t):
     e = t.events.select(c("ts").cast("timestamp").cast("string").alias("ts"), c("event_type").alias("type"), "value")
     s, base = _stream(t, "windows", e.repartition(1))
-    return S.drain(S.windowed_counts(s, "1 day"), "windows_" + base[-8:], "append", f"{base}/checkpoint").select(c("start").cast("string").alias("start"), "type", "n", F.round("total", 4).alias("total"))
+    return S.drain(S.windowed_counts(s, "1 day"), "append", f"{base}/checkpoint").select(c("start").cast("string").alias("start"), "type", "n", F.round("total", 4).alias("total"))
 
 
 @query()
 def sessions(t):
     e = t.events.select(c("ts").cast("timestamp").cast("string").alias("ts"), c("user_id").alias("run_id"))
     s, base = _stream(t, "sessions", e.repartition(1))
-    return S.drain(S.sessions(s), "sessions_" + base[-8:], "append", f"{base}/checkpoint").select("run_id", c("start").cast("string").alias("start"), c("end").cast("string").alias("end"), "n")
+    return S.drain(S.sessions(s), "append", f"{base}/checkpoint").select("run_id", c("start").cast("string").alias("start"), c("end").cast("string").alias("end"), "n")
 
 
 # ---- deliberation ----

@@ -334,13 +334,13 @@ def _grouped(t):
     return G.direct_targets(G.parallel_groups(G.mentions(_judgments(t))), spans, neutral)
 
 
-@query("SELECT resolution, count(*) AS n FROM (SELECT unnest(['direct', 'alias', 'direct', 'alias', 'alias']) AS resolution FROM part WHERE p_partkey < 100000) GROUP BY 1")
+@query("SELECT resolution, count(*) AS n FROM (SELECT unnest(['direct', 'alias', 'direct', 'alias', 'alias']) AS resolution FROM part) GROUP BY 1")
 def resolve_edges(t):
     g = _grouped(t)
     return G.resolve_edges(g, G.learn_aliases(g)).groupBy("resolution").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 3 * count(*) AS left_over FROM part WHERE p_partkey < 100000")
+@query("SELECT 3 * count(*) AS left_over FROM part")
 def drop_self_citations(t):
     g = _grouped(t)
     return G.drop_self_citations(G.resolve_edges(g, G.learn_aliases(g))).agg(F.count("*").alias("left_over"))
@@ -348,7 +348,8 @@ def drop_self_citations(t):
 
 @query("SELECT DISTINCT target_ref FROM edges WHERE source_doc_id % 10 = 0 AND target_ref % 10 <> 0")
 def one_hop_expansion(t):
-    core = t._spark.range(0, 200_000, 10).select(c("id").alias("doc_id"))
+    ids = t.edges.select(c("source_doc_id").alias("doc_id")).unionByName(t.edges.select(c("target_ref").alias("doc_id")))
+    core = ids.where("doc_id % 10 = 0").distinct()
     return A.cited_by_count(t.edges, core, 1).select("target_ref")
 
 

@@ -12,12 +12,12 @@ c = F.col
 _WS = r"regexp_replace({}, '\s+', ' ', 'g')"
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(translate('“' || text || '’  ', '‘’‚‛′“”„‟″«»', '''''''''''"""""""'), '[\s]+', ' ', 'g')) AS quote FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace(translate('“' || text || '’  ', '‘’‚‛′“”„‟″«»', '''''''''''"""""""'), '[\\s]+', ' ', 'g')) AS quote FROM documents""")
 def normalise_quote(t):
     return t.documents.select("doc_id", X.normalise_quote(F.concat(F.lit("“"), c("text"), F.lit("’  "))).alias("quote"))
 
 
-_STRAIGHT = "trim(regexp_replace(translate({}, '‘’‚‛′“”„‟″«»', '{}'), '[\s]+', ' ', 'g'))".format("{}", "''" * 5 + '"' * 7)
+_STRAIGHT = r"trim(regexp_replace(translate({}, '‘’‚‛′“”„‟″«»', '{}'), '[\s]+', ' ', 'g'))".format("{}", "''" * 5 + '"' * 7)
 
 
 @query(f"SELECT doc_id, doc_id % 3 > 0 AND {_STRAIGHT.format('substr(text, 20, 30)')} <> '' AND contains({_STRAIGHT.format('text')}, {_STRAIGHT.format('substr(text, 20, 30)')}) AS found FROM documents")
@@ -68,10 +68,10 @@ def normalise_citation(t):
     return t.part.where("p_size between 1 and 99").select("p_partkey", C.normalise_citation(F.concat(F.lit("(1984] "), c("p_size").cast("string"), F.lit(" sec 112."))).alias("canonical"))
 
 
-@query("SELECT p_partkey, CAST(nth AS BIGINT) AS nth, canonical FROM (SELECT p_partkey, 0 AS nth, '[1963] ' || p_size || ' SCR 22' AS canonical FROM part WHERE p_size BETWEEN 1 AND 99 UNION ALL SELECT p_partkey, 1, 'AIR 1965 SC ' || p_partkey FROM part WHERE p_size BETWEEN 1 AND 99 AND p_partkey < 100000)")
+@query("SELECT p_partkey, CAST(nth AS BIGINT) AS nth, canonical FROM (SELECT p_partkey, 0 AS nth, '[1963] ' || p_size || ' SCR 22' AS canonical FROM part WHERE p_size BETWEEN 1 AND 99 UNION ALL SELECT p_partkey, 1, 'AIR 1965 SC ' || (p_partkey % 99999 + 1) FROM part WHERE p_size BETWEEN 1 AND 99)")
 def find_citations(t):
-    text = F.concat(F.lit("as held in [1963) "), c("p_size").cast("string"), F.lit(" S.C.R. 22 and A.I.R. 1965 S.C. "), c("p_partkey").cast("string"), F.lit(", we agree"))
-    f = t.part.where("p_size between 1 and 99 and p_partkey < 100000").select("p_partkey", F.posexplode(C.find_citations(text)).alias("nth", "s"))
+    text = F.concat(F.lit("as held in [1963) "), c("p_size").cast("string"), F.lit(" S.C.R. 22 and A.I.R. 1965 S.C. "), (c("p_partkey") % 99999 + 1).cast("string"), F.lit(", we agree"))
+    f = t.part.where("p_size between 1 and 99").select("p_partkey", F.posexplode(C.find_citations(text)).alias("nth", "s"))
     return f.select("p_partkey", "nth", "s.canonical")
 
 
@@ -253,7 +253,8 @@ def path_year(t):
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN round((o_custkey * 2.5 + o_orderkey * 10.0) / 1e6, 6) END AS cost FROM orders")
 def cost_usd(t):
-    return t.orders.select("o_orderkey", F.round(A.cost_usd(c("o_custkey"), c("o_orderkey"), F.when(c("o_orderkey") % 3 > 0, 2.5), F.lit(10.0)), 6).alias("cost"))
+    cost = A.cost_usd(c("o_custkey"), c("o_orderkey"), F.when(c("o_orderkey") % 3 > 0, 2.5), F.lit(10.0))
+    return t.orders.select("o_orderkey", (F.round(cost * 1e6) / 1e6).alias("cost"))  # whole millionths, by the binary value
 
 
 @query("SELECT l_orderkey, l_linenumber + 0 AS line, CASE WHEN l_linenumber <> 3 THEN round(l_quantity / (l_linenumber - 3), 6) END AS ratio FROM (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity FROM lineitem)")
@@ -304,38 +305,52 @@ def metadata_merge(t):
 
 # ---- citation graph ----
 
+#: A part's place in the reports: year, volume and page of one series, year of another with the same page. Pages have at
+#: most five digits and volumes two, so the key is divided among them; places are unique up to nine million parts.
+_PLACED = "(SELECT p_partkey, 1990 + p_partkey // 8100000 AS y, p_partkey // 90000 % 90 + 2 AS v, p_partkey % 90000 + 1 AS p, 1990 + p_partkey // 90000 % 100 AS a, p_partkey % 50 + 1 AS n FROM part)"
+_REF = "y || '_' || v || '_' || p || '_' || p"
+
+
+def _placed(t):
+    key = c("p_partkey")
+    lot = F.floor(key / 90000)
+    text = lambda x: x.cast("long").cast("string")
+    page = text(key % 90000 + 1)
+    y, v = text(1990 + F.floor(key / 8100000)), text(lot % 90 + 2)
+    return t.part.select(key, y.alias("y"), v.alias("v"), page.alias("p"), text(1990 + lot % 100).alias("a"), text(key % 50 + 1).alias("n"), F.concat_ws("_", y, v, page, page).alias("path"))
+
+
 #: A judgment for every part: two parallel citations (a path of the index and an alias of it) and its own.
 def _judgments(t):
-    k, n = c("p_partkey").cast("string"), (c("p_partkey") % 50 + 1).cast("string")
-    text = F.concat(F.lit("[1990] 2 SCR "), k, F.lit(" : AIR 1990 SC "), k, F.lit(". We followed [1963] 1 SCR "), n, F.lit(" : AIR 1963 SC "), n, F.lit(" and AIR 1963 SC "), n, F.lit(" again; under Sections 73 and 74 of the Indian Contract Act, 1872 it fails."))
-    return t.part.where("p_partkey < 100000").select(F.concat(F.lit("SC-1990_2_"), k, F.lit("_"), k).alias("doc_id"), c("p_partkey"), text.alias("text"), F.to_date(F.lit("1990-01-01")).alias("decided"))
+    text = F.concat(F.lit("["), c("y"), F.lit("] "), c("v"), F.lit(" SCR "), c("p"), F.lit(" : AIR "), c("a"), F.lit(" SC "), c("p"), F.lit(". We followed [1963] 1 SCR "), c("n"), F.lit(" : AIR 1963 SC "), c("n"), F.lit(" and AIR 1963 SC "), c("n"), F.lit(" again; under Sections 73 and 74 of the Indian Contract Act, 1872 it fails."))
+    return _placed(t).select(F.concat(F.lit("SC-"), c("path")).alias("doc_id"), c("p_partkey"), text.alias("text"), F.to_date(F.lit("1990-01-01")).alias("decided"))
 
 
 def _index(t):
-    own = t.part.where("p_partkey < 100000").select(F.concat(F.lit("1990_2_"), c("p_partkey").cast("string"), F.lit("_"), c("p_partkey").cast("string")).alias("path"), F.lit(None).cast("string").alias("case_id"))
+    own = _placed(t).select("path", F.lit(None).cast("string").alias("case_id"))
     old = t._spark.range(1, 51).select(F.concat(F.lit("1963_1_"), c("id").cast("string"), F.lit("_"), c("id").cast("string")).alias("path"), F.concat(F.lit("1963  INSC "), c("id").cast("string")).alias("case_id"))
     return own.unionByName(old)
 
 
-@query("SELECT p_partkey, CAST(unnest([0, 1, 2, 3, 4]) AS BIGINT) AS nth, CAST(unnest([1, 1, 2, 2, 3]) AS BIGINT) AS grp FROM part WHERE p_partkey < 100000")
+@query("SELECT p_partkey, CAST(unnest([0, 1, 2, 3, 4]) AS BIGINT) AS nth, CAST(unnest([1, 1, 2, 2, 3]) AS BIGINT) AS grp FROM part")
 def parallel_groups(t):
     j = _judgments(t)
     return G.parallel_groups(G.mentions(j)).join(j.select("doc_id", "p_partkey"), "doc_id").select("p_partkey", "nth", "grp")
 
 
-@query("SELECT 'AIR 1963 SC ' || n AS alias, 'SC-1963_1_' || n || '_' || n AS target_ref, count(*) AS evidence FROM (SELECT p_partkey % 50 + 1 AS n FROM part WHERE p_partkey < 100000) GROUP BY n UNION ALL SELECT 'AIR 1990 SC ' || p_partkey, 'SC-1990_2_' || p_partkey || '_' || p_partkey, 1 FROM part WHERE p_partkey < 100000")
+@query(f"SELECT 'AIR 1963 SC ' || n AS alias, 'SC-1963_1_' || n || '_' || n AS target_ref, count(*) AS evidence FROM {_PLACED} GROUP BY n UNION ALL SELECT 'AIR ' || a || ' SC ' || p, 'SC-' || {_REF}, 1 FROM {_PLACED}")
 def learn_aliases(t):
     spans, neutral = G.build_index(_index(t))
     return G.learn_aliases(G.direct_targets(G.parallel_groups(G.mentions(_judgments(t))), spans, neutral))
 
 
-@query("SELECT year, supp, volume, count(*) AS reports FROM (SELECT 1990 AS year, false AS supp, 2 AS volume FROM part WHERE p_partkey < 100000 UNION ALL SELECT 1963, false, 1 FROM range(50)) GROUP BY ALL".replace("1990 AS year", "CAST(1990 AS BIGINT) AS year").replace("2 AS volume", "CAST(2 AS BIGINT) AS volume"))
+@query(f"SELECT year, supp, volume, count(*) AS reports FROM (SELECT y AS year, false AS supp, v AS volume FROM {_PLACED} UNION ALL SELECT 1963, false, 1 FROM range(50)) GROUP BY ALL")
 def build_index(t):
     return G.build_index(_index(t))[0].groupBy("year", "supp", "volume").agg(F.count("*").alias("reports"))
 
 
 @query(
-    """SELECT 'SC-1990_2_' || p_partkey || '_' || p_partkey AS doc_id, x.kind, x.canonical, x.target_ref, x.resolution, x.treatment FROM (SELECT p_partkey, p_partkey % 50 + 1 AS n FROM part WHERE p_partkey < 100000), LATERAL (
+    f"""SELECT 'SC-' || {_REF} AS doc_id, x.kind, x.canonical, x.target_ref, x.resolution, x.treatment FROM {_PLACED}, LATERAL (
     SELECT 'case' AS kind, '[1963] 1 SCR ' || n AS canonical, 'SC-1963_1_' || n || '_' || n AS target_ref, 'direct' AS resolution, 'followed' AS treatment
     UNION ALL SELECT 'case', 'AIR 1963 SC ' || n, 'SC-1963_1_' || n || '_' || n, 'alias', 'followed' UNION ALL SELECT 'case', 'AIR 1963 SC ' || n, 'SC-1963_1_' || n || '_' || n, 'alias', 'followed'
     UNION ALL SELECT 'statute', 'contract_act:73', 'ACT-contract_act', 'act', NULL UNION ALL SELECT 'statute', 'contract_act:74', 'ACT-contract_act', 'act', NULL) x"""

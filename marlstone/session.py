@@ -51,6 +51,8 @@ def shared_folder(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         base = given
+    elif not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     else:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/" + _OWN_FOLDER
     path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"

@@ -173,11 +173,18 @@ def stream_of(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA, kind
     return spark.readStream.schema(schema).format(kind).option("maxFilesPerTrigger", files_per_batch).load(folder)
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there now and return what it emitted."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what is there now and return what it emitted, written beside the checkpoint batch by batch.
+
+    A batch that runs again after a failure overwrites its own folder.
+    """
+    out = f"{checkpoint}-out"
+    write = lambda df, i: df.write.mode("overwrite").parquet(f"{out}/{i}")
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
 
 
 def live_tail(stream: DataFrame, checkpoint: str, sink) -> "object":

@@ -24,7 +24,7 @@ def con():
 def plain(v):
     if isinstance(v, (decimal.Decimal, float)):
         v = float(v)
-        return "nan" if math.isnan(v) else round(v, 5)
+        return "nan" if math.isnan(v) else float(f"{v:.10g}")
     if isinstance(v, int) and not isinstance(v, bool):
         return float(v)
     if isinstance(v, (datetime.date, datetime.datetime)):

@@ -145,7 +145,7 @@ def test_fold_stream_equals_batch(spark, tmp_path):
     for i, part in enumerate((rows[:3] + rows[7:9], rows[3:7] + rows[9:])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     s = S.stream_of(spark, str(tmp_path / "in"), schema)
-    out = S.drain(S.fold_stream(s), "fold_test", "update", str(tmp_path / "cp")).collect()
+    out = S.drain(S.fold_stream(s), "update", str(tmp_path / "cp")).collect()
     last = {}
     for r in out:
         if r.error is None and (r.run_id not in last or r.last_seq > last[r.run_id].last_seq):
@@ -159,7 +159,7 @@ def test_dedupe_stream(spark, tmp_path):
     rows = [("r", 1, "2024-01-01 00:00:00"), ("r", 1, "2024-01-01 00:01:00"), ("r", 2, "2024-01-01 00:02:00")]
     spark.createDataFrame(rows, "run_id string, seq long, ts string").coalesce(1).write.json(str(tmp_path / "in"))
     s = S.stream_of(spark, str(tmp_path / "in"), "run_id string, seq long, ts string")
-    assert S.drain(S.dedupe_stream(s), "dedupe_test", "append", str(tmp_path / "cp")).count() == 2
+    assert S.drain(S.dedupe_stream(s), "append", str(tmp_path / "cp")).count() == 2
 
 
 def test_evidence_graph_checks(spark):
