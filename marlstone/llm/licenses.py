@@ -84,21 +84,22 @@ def template_weights(idf: dict[str, float]) -> list[tuple[int, str, float]]:
     return rows
 
 
-def needed_terms(weights: list[tuple[int, str, float]]) -> list[str]:
+def needed_terms(weights: list[tuple[int, str, float]], idf: dict[str, float]) -> list[str]:
     """Terms of which every stretch near enough to a template has one.
 
-    A cosine is at most the length of the template's weights on the terms that both have. So the lightest terms of a
-    template, as long as their weights together stay shorter than THRESHOLD, are not enough without one of the others.
+    A cosine is at most the length of the template's weights on the terms that both have. So a template's most common
+    terms, as long as their weights together stay shorter than THRESHOLD, are not enough without one of the others.
     """
     need: set[str] = set()
-    by: dict[int, list[tuple[float, str]]] = {}
+    by: dict[int, list[tuple[float, str, float]]] = {}
     for i, term, w in weights:
-        by.setdefault(i, []).append((w, term))
+        by.setdefault(i, []).append((idf[term], term, w))
     for terms in by.values():
         rest = 0.0
-        for w, term in sorted(terms):
-            rest += w * w
-            if rest >= (THRESHOLD - 1e-5) ** 2:
+        for _, term, w in sorted(terms):
+            if rest + w * w < (THRESHOLD - 1e-5) ** 2:
+                rest += w * w
+            else:
                 need.add(term)
     return sorted(need)
 
@@ -139,7 +140,7 @@ def own_licences(files: DataFrame) -> DataFrame:
     weights = F.broadcast(spark.createDataFrame(rows, "template int, term string, tw double"))
     scale = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     key = ["path", "kind", "place"]
-    parts = notices(files, needed_terms(rows)).select(*key, _split(F.col("part")).alias("terms"))
+    parts = notices(files, needed_terms(rows, idf)).select(*key, _split(F.col("part")).alias("terms"))
     # terms of no template are all of one weight, so of them only the sum of squared counts is wanted
     counted = parts.select(*key, "terms", squared_counts(F.col("terms")).alias("squares"))  # before terms are rows
     known = counted.select(*key, "squares", F.explode("terms").alias("term")).join(scale, "term")
