@@ -21,6 +21,9 @@ FILES = [
     ("w/4.txt", "x\nThis work is licensed\nunder the GNU General\nPublic License, version 3.\n" + "z\n" * 60),
     ("a/x.txt", "nothing here"),
     (None, "Released under the MIT License."),
+    ("z/1.txt", "some words\nReleased under the MIT License.\nmore"),
+    ("z/1.txt", "some words\nReleased under the MIT License.\nmore"),
+    ("z/1.txt", "Released under nothing at all, and so on"),
 ]
 
 
