@@ -8,7 +8,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import bounded, materialise, spread
+from ..session import materialise, spread
 
 #: Fixed texts: notices and headers of public licences, by SPDX name.
 TEMPLATES = (
@@ -105,10 +105,11 @@ def needed_terms(weights: list[tuple[int, str, float]], idf: dict[str, float]) -
 
 
 def notices(files: DataFrame, needed: list[str]) -> DataFrame:
-    """path, copy (a hash of the text), kind, place, part: lines, runs of lines, paragraphs and whole texts that have one of the needed terms."""
+    """path, copy (the row, since paths may repeat), kind, place, part: lines, runs of lines, paragraphs and whole texts that have one of the needed terms."""
     has = lambda c: F.col(c).rlike(r"(?i)(?<![a-z0-9])(?:" + "|".join(needed) + r")(?![a-z0-9])")
-    near = spread(files).where(has("text") & F.col("path").isNotNull()).withColumn("copy", F.xxhash64("text")).dropDuplicates(["path", "copy"])
-    lines = F.split("text", "\n")
+    near = spread(files).where(has("text") & F.col("path").isNotNull()).withColumn("copy", F.monotonically_increasing_id())
+    near = near.withColumn("lines", F.split("text", "\n"))  # a column, so that it is not split again for every run
+    lines = F.col("lines")
     parts = [("line", lines), ("block", F.split("text", r"\n[ \t\r]*\n")), ("whole", F.array("text"))]
     for n in RUNS:
         starts = F.sequence(F.lit(1), F.size(lines) - (n - 1))
@@ -140,18 +141,11 @@ def own_licences(files: DataFrame) -> DataFrame:
     weights = F.broadcast(spark.createDataFrame(rows, "template int, term string, tw double"))
     scale = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     key = ["path", "copy", "kind", "place"]
-    needed = needed_terms(rows, idf)
-    parts = notices(files, needed).select(*key, _split(F.col("part")).alias("terms"))
-    sized = parts.select(*key, "terms", F.size(F.array_distinct("terms")).alias("distinct"))  # before terms are rows
-    known = sized.select(*key, "distinct", F.explode("terms").alias("term")).join(scale, "term")
-    tf = materialise(known.groupBy(*key, "distinct", "term", "idf").count().withColumn("w", F.col("count") * F.col("idf")), "terms")
-    # terms of no template are all of one weight, and their squared counts sum to their number at least
-    room = other * other * (F.first("distinct") - F.count("*")) * THRESHOLD**2 / (1 - THRESHOLD**2)
-    may = tf.groupBy(*key).agg((F.sum(F.col("w") * F.col("w")) >= room * (1 - 1e-5)).alias("may")).where("may").select(*key)
-    may = bounded(may, label="may")
-    again = files.join(may.select("path").distinct(), "path", "left_semi")
-    squares = notices(again, needed).join(may, key).select(*key, squared_counts(_split(F.col("part"))).alias("squares")).groupBy(*key).agg(F.max("squares").alias("squares"))
-    tf = materialise(tf.join(squares, key), "near_terms")
+    parts = notices(files, needed_terms(rows, idf)).select(*key, _split(F.col("part")).alias("terms"))
+    # terms of no template are all of one weight, so of them only the sum of squared counts is wanted
+    counted = parts.select(*key, "terms", squared_counts(F.col("terms")).alias("squares"))  # before terms are rows
+    known = counted.select(*key, "squares", F.explode("terms").alias("term")).join(scale, "term")
+    tf = materialise(known.groupBy(*key, "squares", "term", "idf").count().withColumn("w", F.col("count") * F.col("idf")), "terms")
     others = F.first("squares") - F.sum(F.col("count") * F.col("count"))
     norm = tf.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + other * other * others).alias("norm"))
     dots = tf.join(weights, "term").groupBy(*key, "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
