@@ -6,7 +6,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise, spread
 
@@ -58,9 +58,15 @@ def terms_of(text: str) -> list[str]:
 VOCABULARY = sorted({t for _, text in TEMPLATES for t in terms_of(text)})
 
 
+#: Fixed: the two characters beyond ASCII whose lower case has an ASCII letter.
+_FOLDING = ("\u0130", "\u212a")
+
+
 def _split(text):
-    """Lower-case terms; only A-Z fold, so that both sides of a comparison agree."""
-    return F.filter(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), _TERMS), lambda t: t != "")
+    """Lower-case terms and empty strings; of the folded letters only A-Z count, so that both sides of a comparison agree."""
+    for c in _FOLDING:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.split(F.lower(text), _TERMS)
 
 
 def inverse_frequencies(files: DataFrame) -> tuple[dict[str, float], float]:
@@ -69,7 +75,7 @@ def inverse_frequencies(files: DataFrame) -> tuple[dict[str, float], float]:
     The vocabulary is that of the templates, so the counts that reach the driver do not grow with the files.
     """
     n = files.where("text is not null").count()
-    known = F.array_intersect(_split(F.col("text")), F.array(*[F.lit(t) for t in VOCABULARY]))
+    known = F.array_intersect(_split(F.col("text")), F.array(*[F.lit(t) for t in VOCABULARY]))  # no empty ones
     df = dict(spread(files).select(F.explode(known).alias("term")).groupBy("term").count().collect())
     return {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}, math.log(1 + n) + 1
 
@@ -104,54 +110,63 @@ def needed_terms(weights: list[tuple[int, str, float]], idf: dict[str, float]) -
     return sorted(need)
 
 
-def notices(files: DataFrame, needed: list[str]) -> DataFrame:
-    """path, copy (the row, since paths may repeat), kind, place, part: lines, runs of lines, paragraphs and whole texts that have one of the needed terms."""
-    has = lambda c: F.col(c).rlike(r"(?i)(?<![a-z0-9])(?:" + "|".join(needed) + r")(?![a-z0-9])")
-    near = spread(files).where(has("text") & F.col("path").isNotNull()).withColumn("copy", F.monotonically_increasing_id())
-    near = near.withColumn("lines", F.split("text", "\n"))  # a column, so that it is not split again for every run
-    lines = F.col("lines")
-    parts = [("line", lines), ("block", F.split("text", r"\n[ \t\r]*\n")), ("whole", F.array("text"))]
-    for n in RUNS:
-        starts = F.sequence(F.lit(1), F.size(lines) - (n - 1))
-        runs = F.transform(starts, lambda i, n=n: F.array_join(F.slice(lines, i, n), "\n"))
-        parts.append((f"run{n}", F.when(F.size(lines) >= n, runs)))
-    found = [near.select("path", "copy", F.lit(kind).alias("kind"), F.posexplode(x).alias("place", "part")).where(has("part")) for kind, x in parts]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-def squared_counts(terms):
-    """The sum over an array's different terms of their squared counts."""
-    zero = F.lit(0).cast("long")
-    step = lambda a, t: F.when(a["term"] == t, a["nth"] + 1).otherwise(zero)
-    start = F.struct(F.lit("").alias("term"), zero.alias("nth"), zero.alias("sum"))
-    return F.aggregate(F.array_sort(terms), start, lambda a, t: F.struct(t.alias("term"), step(a, t).alias("nth"), (a["sum"] + 2 * step(a, t) + 1).alias("sum")), lambda a: a["sum"])
+def lines_near(files: DataFrame, needed: list[str]) -> DataFrame:
+    """copy (a row, since paths may repeat), path, place, block (its paragraph), line: lines of texts that have one of the needed terms."""
+    near = spread(files).where(F.col("path").isNotNull() & F.arrays_overlap(_split(F.col("text")), F.array(*[F.lit(t) for t in needed])))
+    near = near.withColumn("copy", F.monotonically_increasing_id())  # before lines are rows
+    near = near.select("copy", "path", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    blank = (F.translate("line", " \t\r", "") == "").cast("int")
+    return near.withColumn("block", F.sum(blank).over(Window.partitionBy("copy").orderBy("place")).cast("int"))
+
+
+def stretches():
+    """A line's stretches: itself, the runs that it lies in, its paragraph and the whole text.
+
+    Runs over either end of a text are shorter runs or lines, so they add nothing.
+    """
+    at = lambda kind, place: F.struct(F.lit(kind).alias("kind"), place.cast("int").alias("place"))
+    runs = [at(f"run{n}", F.col("place") - back) for n in RUNS for back in range(n)]
+    return F.array(at("line", F.col("place")), *runs, at("block", F.col("block")), at("whole", F.lit(0)))
 
 
 def own_licences(files: DataFrame) -> DataFrame:
     """path, licence, cosine, whole: the best template of any notice of a file, if its cosine is THRESHOLD or more.
 
-    ``whole`` says that the file's text as a whole is that near to some template. Ties go to the earlier template.
+    Lines, runs of lines, paragraphs and whole texts are looked at. Terms are counted once for each line and summed
+    over its stretches. Terms of no template are all of one weight, so of them only the sum of squared counts is
+    wanted. It is at least their number, which bounds a stretch's norm from below; stretches whose cosine could
+    still reach THRESHOLD get the sum itself. ``whole`` says that the file's text as a whole is that near to some
+    template. Ties go to the earlier template.
     """
     spark = files.sparkSession
     idf, other = inverse_frequencies(files)
     rows = template_weights(idf)
+    needed = needed_terms(rows, idf)
     weights = F.broadcast(spark.createDataFrame(rows, "template int, term string, tw double"))
-    scale = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    key = ["path", "copy", "kind", "place"]
-    parts = notices(files, needed_terms(rows, idf)).select(*key, _split(F.col("part")).alias("terms"))
-    # terms of no template are all of one weight, so of them only the sum of squared counts is wanted
-    counted = parts.select(*key, "terms", squared_counts(F.col("terms")).alias("squares"))  # before terms are rows
-    known = counted.select(*key, "squares", F.explode("terms").alias("term")).join(scale, "term")
-    tf = materialise(known.groupBy(*key, "squares", "term", "idf").count().withColumn("w", F.col("count") * F.col("idf")), "terms")
-    others = F.first("squares") - F.sum(F.col("count") * F.col("count"))
-    norm = tf.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + other * other * others).alias("norm"))
-    dots = tf.join(weights, "term").groupBy(*key, "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    cosine = F.round(F.col("dot") / F.col("norm"), 6)
-    near = dots.join(norm, key).withColumn("cosine", cosine).where(F.col("cosine") >= THRESHOLD)
-    best = near.groupBy("path").agg(F.max(F.struct("cosine", (-F.col("template")).alias("t"))).alias("b"), F.max(F.col("kind") == "whole").alias("whole"))
+    scale = F.broadcast(spark.createDataFrame([(t, x, t in set(needed)) for t, x in sorted(idf.items())], "term string, idf double, need boolean"))
+    key = ["copy", "kind", "place"]
+    least = (THRESHOLD - 1e-5) ** 2
+    lines = materialise(lines_near(files, needed), "lines")
+    tokens = lines.select("copy", "place", "block", F.explode(_split(F.col("line"))).alias("term")).where("term <> ''")
+    by_line = tokens.join(scale, "term", "left").groupBy("copy", "place", "block", F.when(F.col("idf").isNotNull(), F.col("term")).alias("term"), "idf", "need").count()
+    tf = by_line.select("copy", F.explode(stretches()).alias("s"), "term", "idf", "need", "count").select("copy", "s.*", "term", "idf", "need", "count")
+    tf = materialise(tf.groupBy(*key, "term", "idf", "need").agg(F.sum("count").alias("count")), "terms")
+    square = F.pow(F.col("count") * F.col("idf"), 2)
+    norms = tf.groupBy(*key).agg(F.sum(square).alias("known"), F.coalesce(F.sum(F.when(F.col("term").isNull(), F.col("count"))), F.lit(0)).alias("others"), F.max("need").alias("need"))
+    norms = norms.where(F.col("need") & (F.col("known") >= least * (F.col("known") + other * other * F.col("others")))).drop("need")
+    dots = tf.where("term is not null").join(norms, key).join(weights, "term")
+    dots = dots.groupBy(*key, "template", "known", "others").agg(F.sum(F.col("count") * F.col("idf") * F.col("tw")).alias("dot"))
+    close = materialise(dots.where(F.col("dot") * F.col("dot") >= least * (F.col("known") + other * other * F.col("others"))), "close")
+    # the stretches that are left, each with its lines
+    parts = lines.select("copy", F.col("place").alias("at"), F.explode(stretches()).alias("s")).select("copy", "at", "s.*")
+    parts = parts.join(close.where("others > 0").select(*key).distinct(), key)
+    words = parts.join(lines.select("copy", F.col("place").alias("at"), "line"), ["copy", "at"]).select(*key, F.explode(_split(F.col("line"))).alias("term"))
+    words = words.where("term <> ''").join(scale, "term", "left_anti").groupBy(*key, "term").count()
+    squares = words.groupBy(*key).agg(F.sum(F.col("count") * F.col("count")).alias("squares"))
+    norm = F.sqrt(F.col("known") + other * other * F.coalesce("squares", F.lit(0)))
+    near = close.join(squares, key, "left").withColumn("cosine", F.round(F.col("dot") / norm, 6)).where(F.col("cosine") >= THRESHOLD)
+    best = near.groupBy("copy").agg(F.max(F.struct("cosine", (-F.col("template")).alias("t"))).alias("b"), F.max(F.col("kind") == "whole").alias("whole"))
+    best = best.join(lines.where("place = 0").select("copy", "path"), "copy").groupBy("path").agg(F.max("b").alias("b"), F.max("whole").alias("whole"))
     names = F.array(*[F.lit(n) for n, _ in TEMPLATES])
     return best.select("path", F.get(names, -F.col("b.t")).alias("licence"), F.col("b.cosine").alias("cosine"), "whole")
 
