@@ -8,6 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from ..session import materialise
+
+#: Vectors of one matrix product, so that a task holds few scores at once.
+BATCH = 1024
+
 
 def encode(texts: DataFrame, encoder: Callable[[list[str]], np.ndarray], text: str = "text", out: str = "embedding") -> DataFrame:
     """Unit vectors of texts by an injected encoder (a batch of strings to a matrix)."""
@@ -50,37 +55,53 @@ def dimension_check(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(bad.cast("array<float>")))
 
 
-def cosine_exact(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, max_queries: int = 100_000) -> DataFrame:
+def cosine_exact(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, block: int = 4096) -> DataFrame:
     """The k nearest vectors of each query by cosine: query_id, rank, chunk_id, score.
 
-    ``vectors`` has chunk_id and embedding, ``queries`` query_id and embedding. Queries are stacked as one matrix (their
-    number is checked, as they are sent to all tasks) and each batch of vectors is one matrix product; a partition
-    keeps k of each query, so little is shuffled. Ties go to the smaller chunk_id.
+    ``vectors`` has chunk_id and embedding, ``queries`` query_id and embedding. Queries are dealt by a hash into blocks
+    of about ``block``, and a block is broadcast as one matrix against which all vectors are multiplied; there is no
+    limit on their number, and the driver holds one block at a time. Products are at most ``block`` by BATCH scores.
+    A partition keeps k of each query and batch, so little is shuffled. Ties go to the smaller chunk_id.
     """
-    q = queries.select("query_id", "embedding").limit(max_queries + 1).toPandas()
-    if len(q) > max_queries:
-        raise ValueError("too many queries for one batch")
-    if not len(q):
-        return queries.sparkSession.createDataFrame([], "query_id long, rank int, chunk_id long, score double")
-    qid, m = q["query_id"].to_numpy(), np.vstack(q["embedding"].to_numpy()).astype(float)
+    spark = queries.sparkSession
+    q = queries.select("query_id", "embedding")
+    n = q.count()
+    blocks = -(-n // block)
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, chunk_id long, score double")
+    if blocks > 1:
+        q = materialise(q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).repartition(blocks, "block"), "queries")
+    found = None
+    for b in range(blocks):
+        rows = (q.where(F.col("block") == b) if blocks > 1 else q).toPandas()
+        for at in range(0, len(rows), 2 * block):  # a hash fills some blocks more than others
+            part = _block_products(vectors, rows[at : at + 2 * block], k, exclude_self)
+            found = part if found is None else found.unionByName(part)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+
+
+def _block_products(vectors: DataFrame, rows: pd.DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """The k best of each batch of vectors for each of a block of queries."""
+    m = np.vstack(rows["embedding"].to_numpy()).astype(float)
     m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    sent = vectors.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), m))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            ids, x = pdf["chunk_id"].to_numpy(), np.vstack(pdf["embedding"].to_numpy()).astype(float)
-            s = np.round(m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 6)
-            if exclude_self:
-                s[qid[:, None] == ids[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-            picked = np.take_along_axis(s, order, axis=1)
-            rows = pd.DataFrame({"query_id": np.repeat(qid, order.shape[1]), "chunk_id": ids[order].ravel(), "score": picked.ravel()})
-            yield rows[np.isfinite(rows["score"])]
-
-    found = vectors.select("chunk_id", "embedding").mapInPandas(run, "query_id long, chunk_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+        qid, m = sent.value
+        for whole in batches:
+            for at in range(0, len(whole), BATCH):
+                pdf = whole[at : at + BATCH]
+                ids, x = pdf["chunk_id"].to_numpy(), np.vstack(pdf["embedding"].to_numpy()).astype(float)
+                s = np.round(m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 6)
+                if exclude_self:
+                    s[qid[:, None] == ids[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+                picked = np.take_along_axis(s, order, axis=1)
+                rows = pd.DataFrame({"query_id": np.repeat(qid, order.shape[1]), "chunk_id": ids[order].ravel(), "score": picked.ravel()})
+                yield rows[np.isfinite(rows["score"])]
+
+    return vectors.select("chunk_id", "embedding").mapInPandas(run, "query_id long, chunk_id long, score double")
 
 
 def nearest(vectors: DataFrame, ids: list[int], k: int) -> DataFrame:

@@ -168,9 +168,10 @@ def fold_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").applyInPandasWithState(run, VIEW_SCHEMA, "view string", "update", GroupStateTimeout.NoTimeout)
 
 
-def stream_of(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA, kind: str = "json", files_per_batch: int = 1) -> DataFrame:
-    """New files of a folder as a stream."""
-    return spark.readStream.schema(schema).format(kind).option("maxFilesPerTrigger", files_per_batch).load(folder)
+def stream_of(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA, kind: str = "json", files_per_batch: int | None = 1) -> DataFrame:
+    """New files of a folder as a stream, so many to a batch (None: all that are there)."""
+    reader = spark.readStream.schema(schema).format(kind)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(folder)
 
 
 def drain(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:

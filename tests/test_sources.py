@@ -121,3 +121,5 @@ def test_dense_index(spark):
         D.register_model(spark.createDataFrame([("m", 3)], "model string, dim long"), "m", 4)
     assert D.path_choice(10) == "exact" and D.path_choice(9999) == "ann"
     assert D.cosine_exact(v, q.limit(0), 10).count() == 0
+    in_blocks = D.cosine_exact(v, q, 10, block=3)
+    assert sorted(map(tuple, in_blocks.collect())) == sorted(map(tuple, D.cosine_exact(v, q, 10).collect()))
