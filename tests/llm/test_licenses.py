@@ -24,6 +24,10 @@ FILES = [
     ("z/1.txt", "some words\nReleased under the MIT License.\nmore"),
     ("z/1.txt", "some words\nReleased under the MIT License.\nmore"),
     ("z/1.txt", "Released under nothing at all, and so on"),
+    ("v/1.txt", "\n \nfirst words of it\n \n\t\n\nThis work\nis licensed\nunder the GNU\nGeneral Public\nLicense, version 3.\n\r\n\nlast words of it"),
+    ("v/2.txt", "All\n\nrights reserved."),
+    ("v/3.txt", "Public \u212a domain \u0130 under CC0\n" + "public notice " * 40),
+    ("v/4.txt", "a b c d e\n" * 5 + "\x0b\nAll rights reserved.\n\x0b\n" + "f g h i\n" * 5),
 ]
 
 
