@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import line_suffix
+from . import centroids, divergence, line_suffix
 from .chat_tools import link_tools
 from .licenses import document_files, scan
 from .mtree import top_products
@@ -14,6 +14,7 @@ from .passage_chains import repeated_passages
 from .quality_rules import quality_rules
 from .sentencepiece_bpe import encoding_digests
 from .simhash_trie import simhash_components
+from .token_files import token_files
 from .weak_labels import classify
 
 
@@ -60,6 +61,18 @@ def op10_passage_chains(spark, sf_dir):
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark, sf_dir):
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark, sf_dir):
+    return token_files(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mtree_topk": op2_mtree_topk,
@@ -71,8 +84,13 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_chat_tools": op9_chat_tools,
     "op10_passage_chains": op10_passage_chains,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLES: dict[str, str] = {
     "op7_line_dedup": line_suffix.ORACLE_SQL,
+    "op11_centroid_clusters": centroids.ORACLE_SQL,
+    "op12_source_divergence": divergence.ORACLE_SQL,
 }
