@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -24,37 +25,86 @@ MAGIC = b"MSPFOR1\n"
 #: Block header: least id, ids, width, exceptions. Footer: blocks, documents, ids, place of the index, its crc32, magic.
 _BLOCK = struct.Struct("<IHBxH2x")
 _FOOTER = struct.Struct("<QQQQI8s")
-#: Words whose ids a task remembers, and the longest such word.
-REMEMBERED, LONGEST = 400_000, 64
+#: Words whose ids a worker remembers in each of two generations, and the longest such word.
+REMEMBERED, LONGEST = 250_000, 64
+#: New words that are encoded as one text; characters of texts whose words are looked up together.
+JOINED, TOGETHER = 1000, 1_000_000
+#: ASCII characters that are no letters, digits or apostrophes: none joins the letters before it, in the splitter or under NFC.
+TAIL = ".,;:!?()[]{}\"#%&*+-/\\@^_`|~$"
 
 
 class WordTokenizer:
     """ids of the tokenizers library, one word at a time.
 
     The vocabulary's normaliser and splitter drop white space and look at nothing across it, so a text's ids are those of its
-    stretches between spaces and newlines, one after the other. Stretches are remembered; the library encodes each new one.
+    stretches between spaces and newlines, one after the other. Stretches are remembered, those used lately longest; the library
+    encodes each new one. New stretches of letters alone are encoded as one text and parted at the ids that end a word: each
+    has one such id at least, so if there are as many ends as stretches, each has one; else they are encoded one by one.
+    Between Latin letters and a tail of TAIL the splitter always parts, so such a tail is encoded apart (U+0130 aside, whose
+    lower case ends in a mark; letters of other scripts may be taken apart by NFC).
     """
 
     def __init__(self, path: str | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path or vocabulary_path("word_bpe_49k.json"))
-        self.known: dict[str, bytes] = {"": b""}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        held = {}
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-                new = list(set(words) - {""})
-            for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-                (known if len(w) <= LONGEST else held)[w] = np.asarray(e.ids, "<u4").tobytes()
-        parts = [known[w] for w in words] if not held else [known[w] if w in known else held[w] for w in words]
-        return np.frombuffer(b"".join(parts), "<u4")
+        words = self.library.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, new: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+
+    def _encode_joined(self, new: list[str]) -> list[bytes]:
+        ids = np.asarray(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        last = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(last) != len(new) or last[-1] != 4 * len(ids):
+            return self._encode(new)
+        raw, last = ids.tobytes(), last.tolist()
+        return [raw[a:b] for a, b in zip([0, *last], last)]
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Remember new stretches; what is too long to be remembered is given back."""
+        young = self.young
+        for w in new & self.old.keys():
+            young[w] = self.old[w]
+        new = new - young.keys()
+        plain = {w for w in new if w.isalpha()}
+        tailed = {w: b for w in new - plain if (b := w.rstrip(TAIL)) != w and b.isalpha() and (b.isascii() or max(b) < "\u0250" and "\u0130" not in b)}
+        rest = new - plain - tailed.keys()
+        rest.update({w[len(b) :] for w, b in tailed.items()} - young.keys())
+        plain.update(set(tailed.values()) - young.keys())
+        found = {}
+        for words, encode in ((plain, self._encode_joined), (rest, self._encode)):
+            words = list(words)
+            for lo in range(0, len(words), JOINED):
+                part = words[lo : lo + JOINED]
+                found.update(zip(part, encode(part)))
+        get = lambda w: found[w] if w in found else young[w]
+        found.update({w: get(b) + get(w[len(b) :]) for w, b in tailed.items()})
+        young.update((w, raw) for w, raw in found.items() if len(w) <= LONGEST)
+        return {w: raw for w, raw in found.items() if len(w) > LONGEST}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {"": b""}
+        long = self._learn(set().union(*split).difference(self.young))
+        get = self.young.__getitem__ if not long else lambda w: long[w] if w in long else self.young[w]
+        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+
+
+_LOADED: dict[str | None, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str | None = None) -> WordTokenizer:
+    """The tokenizer of this Python worker, which keeps its words from task to task."""
+    if path not in _LOADED:
+        _LOADED[path] = WordTokenizer(path)
+    return _LOADED[path]
 
 
 def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
@@ -194,6 +244,19 @@ class TokenReader:
         self.file.close()
 
 
+def _together(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) by runs of texts of about TOGETHER characters; null is empty."""
+    texts, size = [], 0
+    for i, x in enumerate(column):
+        texts.append(x.as_py() or "")
+        size += len(texts[-1])
+        if size >= TOGETHER:
+            yield i + 1 - len(texts), texts
+            texts, size = [], 0
+    if texts:
+        yield len(column) - len(texts), texts
+
+
 def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = 2, files: int | None = None) -> DataFrame:
     """Write the ids of all texts, end_id after each, in ascending order of doc_id; one row for each file.
 
@@ -214,11 +277,12 @@ def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None =
         part = task.partitionId()
         writer = encode = None
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                if writer is None:
-                    name = f"{folder}/part-{part:06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.tok"
-                    writer, encode = TokenWriter(name), WordTokenizer(path)
-                writer.add(doc, np.append(encode(text.as_py() or ""), np.uint32(end_id)))
+            if writer is None and b.num_rows:
+                name = f"{folder}/part-{part:06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.tok"
+                writer, encode = TokenWriter(name), word_tokenizer(path)
+            for lo, texts in _together(b.column(1)):
+                for doc, ids in zip(b.column(0)[lo : lo + len(texts)].to_pylist(), encode(texts)):
+                    writer.add(doc, np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"file": pa.array([part], pa.int32()), "path": [name], "n_ids": [writer.count], "n_docs": [len(writer.docs)]})

@@ -36,8 +36,22 @@ def test_ids_equal_the_library(lib):
     texts = ["", " ", "It's  a\tB\x1cc\x85d e　f", "x<|endoftext|>y <|startoftext|>", "́ á \n̸=", "  ", "ΑΣ ΟΔΟΣ, Σ", "İstanbul 10th", "a" * 5000, "don't I'LL we're 's", "﻿a​b"]
     chars = [chr(c) for c in (*range(0x0, 0x250), *range(0x300, 0x370), 0x1100, 0x1161, 0x11A8, 0x3A3, 0x3C2, 0x2000, 0x200D, 0x3000, 0x1F600, 0xAC00, 0xFB01)]
     texts += ["".join(rng.choice(chars + [" ", "\n", "a", "'s"] * 30) for _ in range(rng.randint(1, 60))) for _ in range(1500)]
-    for t in texts:
-        assert own(t).tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    ends = [a + t for a in ("word", "été", "ﬁ", "x1", "'", "İ", "a\u0338") for t in ("...", "'s", "<", "=\u0338", "-*", "_", "\u0301.", "|>", "$5", "”")]
+    texts += ends + ["w" * 70 + ".", "w" * 70, "Ab.", "ab.", "ab"]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for t, w, ids in zip(texts, want, own(texts)):
+        assert ids.tolist() == w, repr(t)
+    for t, w in zip(texts, want):
+        assert own([t])[0].tolist() == w, repr(t)
+
+
+def test_words_are_remembered_in_generations(lib, monkeypatch):
+    monkeypatch.setattr(T, "REMEMBERED", 3)
+    own = T.WordTokenizer()
+    rng = random.Random(7)
+    for _ in range(200):
+        t = " ".join(rng.choice(["alpha", "beta,", "gamma", "d1", "eps!!", "\u03a3x", "zeta."]) for _ in range(4))
+        assert own([t])[0].tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
 def test_file_index_reads_ranges(tmp_path):
