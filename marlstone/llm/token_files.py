@@ -26,7 +26,7 @@ MAGIC = b"MSPFOR1\n"
 _BLOCK = struct.Struct("<IHBxH2x")
 _FOOTER = struct.Struct("<QQQQI8s")
 #: Words whose ids a worker remembers in each of two generations, and the longest such word.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 #: New words that are encoded as one text; characters of texts whose words are looked up together.
 JOINED, TOGETHER = 1000, 1_000_000
 #: ASCII characters that are no letters, digits or apostrophes: none joins the letters before it, in the splitter or under NFC.
@@ -40,7 +40,7 @@ class WordTokenizer:
     stretches between spaces and newlines, one after the other. Stretches are remembered, those used lately longest; the library
     encodes each new one. New stretches of letters alone are encoded as one text and parted at the ids that end a word: each
     has one such id at least, so if there are as many ends as stretches, each has one; else they are encoded one by one.
-    Between Latin letters and a tail of TAIL the splitter always parts, so such a tail is encoded apart (U+0130 aside, whose
+    Between Latin letters and a tail of TAIL the splitter always parts, so such a tail is encoded apart, and ASCII letters are looked up in lower case (U+0130 aside, whose
     lower case ends in a mark; letters of other scripts may be taken apart by NFC).
     """
 
@@ -51,42 +51,55 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path or vocabulary_path("word_bpe_49k.json"))
         words = self.library.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, new: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+        return [np.asarray(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
 
     def _encode_joined(self, new: list[str]) -> list[bytes]:
-        ids = np.asarray(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-        last = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(last) != len(new) or last[-1] != 4 * len(ids):
+        ids = np.asarray(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
+        size = self.kind.itemsize
+        last = (np.flatnonzero(self.ends[ids]) + 1) * size
+        if len(last) != len(new) or last[-1] != size * len(ids):
             return self._encode(new)
         raw, last = ids.tobytes(), last.tolist()
         return [raw[a:b] for a, b in zip([0, *last], last)]
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Remember new stretches; what is too long to be remembered is given back."""
-        young = self.young
-        for w in new & self.old.keys():
-            young[w] = self.old[w]
-        new = new - young.keys()
-        plain = {w for w in new if w.isalpha()}
-        tailed = {w: b for w in new - plain if (b := w.rstrip(TAIL)) != w and b.isalpha() and (b.isascii() or max(b) < "\u0250" and "\u0130" not in b)}
-        rest = new - plain - tailed.keys()
-        rest.update({w[len(b) :] for w, b in tailed.items()} - young.keys())
-        plain.update(set(tailed.values()) - young.keys())
+        young, old = self.young, self.old
+        for w in new & old.keys():
+            young[w] = old[w]
+        plain, rest, made = set(), set(), []
+        for w in new - young.keys():
+            b = w.rstrip(TAIL)
+            if not b.isalpha():
+                rest.add(w)
+            elif b.isascii():
+                made.append((w, b.lower(), w[len(b) :]))
+            elif b == w or max(b) < "\u0250" and "\u0130" not in b:
+                made.append((w, b, w[len(b) :]))
+            else:
+                rest.add(w)
+        plain.update(b for _, b, _ in made)
+        rest.update(t for _, _, t in made)
         found = {}
         for words, encode in ((plain, self._encode_joined), (rest, self._encode)):
-            words = list(words)
+            words = {w for w in words if w not in young}
+            for w in words & old.keys():
+                young[w] = old[w]
+            words = [w for w in words if w not in old]
             for lo in range(0, len(words), JOINED):
                 part = words[lo : lo + JOINED]
                 found.update(zip(part, encode(part)))
         get = lambda w: found[w] if w in found else young[w]
-        found.update({w: get(b) + get(w[len(b) :]) for w, b in tailed.items()})
-        young.update((w, raw) for w, raw in found.items() if len(w) <= LONGEST)
-        return {w: raw for w, raw in found.items() if len(w) > LONGEST}
+        found.update([(w, get(b) + get(t)) for w, b, t in made if w != b])
+        long = {w: found.pop(w) for w in [w for w in found if len(w) > LONGEST]}
+        young.update(found)
+        return long
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -94,7 +107,7 @@ class WordTokenizer:
             self.old, self.young = self.young, {"": b""}
         long = self._learn(set().union(*split).difference(self.young))
         get = self.young.__getitem__ if not long else lambda w: long[w] if w in long else self.young[w]
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+        return [np.frombuffer(b"".join(map(get, words)), self.kind).astype("<u4") for words in split]
 
 
 _LOADED: dict[str | None, WordTokenizer] = {}
