@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ..session import materialise, shared_folder
@@ -25,96 +26,77 @@ MAGIC = b"MSPFOR1\n"
 #: Block header: least id, ids, width, exceptions. Footer: blocks, documents, ids, place of the index, its crc32, magic.
 _BLOCK = struct.Struct("<IHBxH2x")
 _FOOTER = struct.Struct("<QQQQI8s")
-#: Words whose ids a worker remembers in each of two generations, and the longest such word.
-REMEMBERED, LONGEST = 500_000, 64
-#: New words that are encoded as one text; characters of texts whose words are looked up together.
-JOINED, TOGETHER = 1000, 1_000_000
-#: ASCII characters that are no letters, digits or apostrophes: none joins the letters before it, in the splitter or under NFC.
-TAIL = ".,;:!?()[]{}\"#%&*+-/\\@^_`|~$"
+#: Bytes of texts whose words are encoded together; words of one text for the library.
+TOGETHER, JOINED = 4 << 20, 1000
+#: Latin letters below U+0250, without U+0130; then ASCII characters that are no letters, digits or apostrophes.
+_WORD = "^(?P<base>[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)(?P<tail>[.,;:!?()\\[\\]{}\"#%&*+/\\\\@^_`|~$-]*)$"
 
 
 class WordTokenizer:
-    """ids of the tokenizers library, one word at a time.
+    """ids of the tokenizers library, each different word of a batch of texts encoded once.
 
     The vocabulary's normaliser and splitter drop white space and look at nothing across it, so a text's ids are those of its
-    stretches between spaces and newlines, one after the other. Stretches are remembered, those used lately longest; the library
-    encodes each new one. New stretches of letters alone are encoded as one text and parted at the ids that end a word: each
-    has one such id at least, so if there are as many ends as stretches, each has one; else they are encoded one by one.
-    Between Latin letters and a tail of TAIL the splitter always parts, so such a tail is encoded apart, and ASCII letters are looked up in lower case (U+0130 aside, whose
-    lower case ends in a mark; letters of other scripts may be taken apart by NFC).
+    stretches between spaces and newlines, one after the other. Between Latin letters and a tail of ASCII signs the splitter
+    always parts, so such a tail is encoded apart. Latin letters below U+0250 are in normal form, and lower case maps them one by one
+    (U+0130 aside, which gains a mark), so words of them go to the library in lower case, many in one text, with its normaliser
+    and splitter replaced by white space alone. That text is parted at the ids that end a word; each word has just one.
     """
 
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path or vocabulary_path("word_bpe_49k.json"))
+        path = path or vocabulary_path("word_bpe_49k.json")
+        self.library, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         words = self.library.get_vocab()
-        self.ends = np.zeros(max(words.values()) + 1, bool)
-        self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
-        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, new: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-
-    def _encode_joined(self, new: list[str]) -> list[bytes]:
-        ids = np.asarray(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
-        size = self.kind.itemsize
-        last = (np.flatnonzero(self.ends[ids]) + 1) * size
-        if len(last) != len(new) or last[-1] != size * len(ids):
-            return self._encode(new)
-        raw, last = ids.tobytes(), last.tolist()
-        return [raw[a:b] for a, b in zip([0, *last], last)]
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Remember new stretches; what is too long to be remembered is given back."""
-        young, old = self.young, self.old
-        for w in new & old.keys():
-            young[w] = old[w]
-        plain, rest, made = set(), set(), []
-        for w in new - young.keys():
-            b = w.rstrip(TAIL)
-            if not b.isalpha():
-                rest.add(w)
-            elif b.isascii():
-                made.append((w, b.lower(), w[len(b) :]))
-            elif b == w or max(b) < "\u0250" and "\u0130" not in b:
-                made.append((w, b, w[len(b) :]))
-            else:
-                rest.add(w)
-        plain.update(b for _, b, _ in made)
-        rest.update(t for _, _, t in made)
-        found = {}
-        for words, encode in ((plain, self._encode_joined), (rest, self._encode)):
-            words = {w for w in words if w not in young}
-            for w in words & old.keys():
-                young[w] = old[w]
-            words = [w for w in words if w not in old]
-            for lo in range(0, len(words), JOINED):
-                part = words[lo : lo + JOINED]
-                found.update(zip(part, encode(part)))
-        get = lambda w: found[w] if w in found else young[w]
-        found.update([(w, get(b) + get(t)) for w, b, t in made if w != b])
-        long = {w: found.pop(w) for w in [w for w in found if len(w) > LONGEST]}
-        young.update(found)
-        return long
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {"": b""}
-        long = self._learn(set().union(*split).difference(self.young))
-        get = self.young.__getitem__ if not long else lambda w: long[w] if w in long else self.young[w]
-        return [np.frombuffer(b"".join(map(get, words)), self.kind).astype("<u4") for words in split]
+        self.last = np.zeros(max(words.values()) + 1, bool)
+        self.last[[i for w, i in words.items() if w.endswith("</w>")]] = True
+
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all words and how many each has."""
+        found = [e.ids for e in self.library.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _encode_plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cuts = np.append(np.arange(0, len(words), JOINED), len(words)).astype(np.int32)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), words), " ").to_pylist()
+        ids = np.array([i for e in self.plain.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("a word of letters has not one end")
+        return ids, np.diff(ends, prepend=0)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts (none null), and where each text's end."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        parts = pc.extract_regex(words, _WORD)
+        simple = parts.is_valid().to_numpy(zero_copy_only=False)
+        kept = parts.filter(pa.array(simple))
+        bases, tails = pc.utf8_lower(kept.field("base")).dictionary_encode(), kept.field("tail").dictionary_encode()
+        ids, sizes = zip(self._encode_plain(bases.dictionary), self._encode(tails.dictionary), self._encode(words.filter(pa.array(~simple))))
+        table, size = np.concatenate(ids), np.append(np.concatenate(sizes), 0)
+        n, m = len(bases.dictionary), len(tails.dictionary)
+        pieces = np.full((len(words), 2), len(size) - 1)  # a word's one or two pieces; the last piece is empty
+        pieces[simple, 0] = bases.indices.to_numpy()
+        pieces[simple, 1] = tails.indices.to_numpy() + n
+        pieces[~simple, 0] = np.arange(n + m, len(size) - 1)
+        at = pieces[coded.indices.to_numpy()].ravel()
+        each = size[at]
+        ends = np.append(0, np.cumsum(each))
+        first = (np.cumsum(size) - size)[at] - ends[:-1]
+        out = table[np.repeat(first, each) + np.arange(ends[-1])]
+        return out, ends[2 * np.cumsum(pc.list_value_length(lists).to_numpy())]
 
 
 _LOADED: dict[str | None, WordTokenizer] = {}
 
 
 def word_tokenizer(path: str | None = None) -> WordTokenizer:
-    """The tokenizer of this Python worker, which keeps its words from task to task."""
+    """The tokenizer of this Python worker."""
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path)
     return _LOADED[path]
@@ -257,17 +239,17 @@ class TokenReader:
         self.file.close()
 
 
-def _together(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) by runs of texts of about TOGETHER characters; null is empty."""
-    texts, size = [], 0
-    for i, x in enumerate(column):
-        texts.append(x.as_py() or "")
-        size += len(texts[-1])
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches joined to tables of about TOGETHER bytes of texts."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(1).nbytes
         if size >= TOGETHER:
-            yield i + 1 - len(texts), texts
-            texts, size = [], 0
-    if texts:
-        yield len(column) - len(texts), texts
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = 2, files: int | None = None) -> DataFrame:
@@ -289,13 +271,14 @@ def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None =
         task = TaskContext.get()
         part = task.partitionId()
         writer = encode = None
-        for b in batches:
-            if writer is None and b.num_rows:
+        for t in _together(batches):
+            if writer is None and t.num_rows:
                 name = f"{folder}/part-{part:06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.tok"
                 writer, encode = TokenWriter(name), word_tokenizer(path)
-            for lo, texts in _together(b.column(1)):
-                for doc, ids in zip(b.column(0)[lo : lo + len(texts)].to_pylist(), encode(texts)):
-                    writer.add(doc, np.append(ids, np.uint32(end_id)))
+            if t.num_rows:
+                ids, ends = encode(pc.fill_null(t.column(1).combine_chunks(), ""))
+                for doc, a, z in zip(t.column(0).to_pylist(), [0, *ends.tolist()], ends.tolist()):
+                    writer.add(doc, np.append(ids[a:z], np.uint32(end_id)))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"file": pa.array([part], pa.int32()), "path": [name], "n_ids": [writer.count], "n_docs": [len(writer.docs)]})
