@@ -26,6 +26,8 @@ FLOORS = (600.0, 60.0, 700.0, 1300.0, 1000.0)
 MIN_GROUP = 50
 #: Share of a group that the minimum-covariance-determinant subset holds.
 SUBSET = 0.75
+#: Largest condition number of a scatter matrix in units of its own deviations: one beyond it is drawn towards its diagonal.
+CONDITION = 100.0
 #: Chi-square probability beyond which a document is an outlier.
 CONFIDENCE = 0.9999
 P = len(FEATURES)
@@ -108,12 +110,24 @@ def chi2_quantile(p: float, df: int) -> float:
 
 
 def estimate(n: float, s1: np.ndarray, s2: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Centre, inverse scatter and log-determinant from the moments of a subset that holds ``share`` of a group."""
+    """Centre, inverse scatter and log-determinant from the moments of a subset that holds ``share`` of a group.
+
+    Deviations under FLOORS are lifted to them. Then the matrix is drawn towards its diagonal by the least share that brings its
+    condition number (in units of its deviations) to CONDITION, as a regularised determinant estimate does, so collinear features
+    or few different points leave it positive definite; eigenvalues give the inverse and the determinant alike.
+    """
     m = s1 / n
     cov = s2 / n - np.outer(m, m)
     cov *= share / chi2_cdf(chi2_quantile(share, P), P + 2) if share < 1 else 1
     cov += np.diag(np.maximum(np.square(FLOORS) - np.diag(cov), 0))
-    return m, np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
+    scale = np.sqrt(np.diag(cov))
+    values, vectors = np.linalg.eigh(cov / np.outer(scale, scale))
+    values = np.maximum(values, 0)
+    over = values[-1] - CONDITION * values[0]
+    rho = over / (over + CONDITION - 1) if over > 0 else 0.0
+    values = (1 - rho) * values + rho
+    inverse = (vectors / values) @ vectors.T / np.outer(scale, scale)
+    return m, inverse, float(np.log(values).sum() + 2 * np.log(scale).sum())
 
 
 def distance(z: list[Column], m: Column, p: Column) -> Column:
@@ -232,8 +246,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     repeated 3-word windows; null and empty texts have zero words. The others are grouped by language and
     source (null is a value of its own), small groups pooled, and rejected when their transformed statistics lie
     beyond the CONFIDENCE ellipsoid of the group's robust estimate; where the last pool has fewer than MIN_GROUP
-    documents, its estimate is that of all documents. Repeated rows count each; other
-    columns are ignored; an empty table gives an empty result.
+    documents, its estimate is that of all documents. Where even all of them are fewer, none is rejected: so little tells
+    no outlier. Groups of few different points or collinear features are judged like any other, by a regularised scatter.
+    Repeated rows count each; other columns are ignored; an empty table gives an empty result.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = materialise(_features(document_stats(docs)).withColumn("base_failed", failed), "stats")
@@ -247,7 +262,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         .select("fine", F.when(F.col("own"), F.concat(F.lit("s"), "fine")).when(F.col("pooled") >= MIN_GROUP, F.concat(F.lit("l"), "lang")).otherwise("all").alias("grp"), "count")
     )
     levels = materialise(levels, "levels")
-    rest = levels.where("grp = 'all'").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    rest, every = levels.agg(F.coalesce(F.sum(F.when(F.col("grp") == "all", F.col("count"))), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
     hint = F.broadcast if levels.count() <= 20_000 else (lambda d: d)
     keyed = stats.withColumn("fine", F.concat(name("lang"), F.lit("\x1f"), name("source"))).join(hint(levels.select("fine", "grp")), "fine", "left")
     judged = keyed.where("not base_failed").select("grp", *FEATURES)
@@ -259,7 +274,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     out = keyed.join(hint(fit), "grp", "left")
     d2 = F.when(~F.col("base_failed"), distance([F.col(c) for c in FEATURES], F.col("m"), F.col("p")))
     out = out.withColumn("distance2", d2)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= chi2_quantile(CONFIDENCE, P), F.lit(True))
+    kept = ~F.col("base_failed") & (F.lit(every < MIN_GROUP) | F.coalesce(F.col("distance2") <= chi2_quantile(CONFIDENCE, P), F.lit(True)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2")
 
 

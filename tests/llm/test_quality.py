@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -26,25 +27,56 @@ def test_base_stats_equal_slow_form():
         assert got == (want if want[0] else (0,) * 6), t
 
 
+def integral(x, k):
+    """Chi-square distribution function by adding up its density."""
+    t = np.linspace(0, x, 400_001)
+    f = t ** (k / 2 - 1) * np.exp(-t / 2)
+    return float(((f[1:] + f[:-1]) / 2).sum() * t[1] / (2 ** (k / 2) * math.gamma(k / 2)))
+
+
+#: Quantiles of the chi-square distribution with five degrees of freedom, from tables.
+CHI = {0.75: 6.6257, 0.975: 12.8325}
+LEAST = np.array([600.0, 60.0, 700.0, 1300.0, 1000.0])
+
+
+def well_posed(cov):
+    """Lift small deviations, then mix in the diagonal until the condition number is 100, by halving."""
+    cov = cov.copy()
+    for i in range(5):
+        cov[i, i] = max(cov[i, i], LEAST[i] ** 2)
+    s = np.sqrt(np.diag(cov))
+    r = cov / s[:, None] / s[None, :]
+    mixed = lambda rho: (1 - rho) * r + rho * np.eye(5)
+    condition = lambda rho: np.linalg.svd(mixed(rho), compute_uv=False)[[0, -1]]
+    good = lambda rho: condition(rho)[0] <= 100 * condition(rho)[1]
+    lo, hi = 0.0, 1.0
+    if good(0.0):
+        hi = 0.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if good(mid) else (mid, hi)
+    return mixed(hi) * s[:, None] * s[None, :]
+
+
 def slow_mcd(x):
     """The same estimate for one group of integer points, in NumPy alone: (centre, inverse scatter, log-determinant) by start."""
-    n, floors = len(x), np.array(Q.FLOORS)
+    n = len(x)
 
     def fit(sub, share):
         m = sub.mean(0)
         cov = (sub - m).T @ (sub - m) / len(sub)
         if share < 1:
-            cov *= share / Q.chi2_cdf(Q.chi2_quantile(share, 5), 7)
-        for i in range(5):
-            cov[i, i] = max(cov[i, i], floors[i] ** 2)
-        return m, np.linalg.inv(cov), np.log(np.linalg.det(cov))
+            cov *= share / integral(CHI[share], 7)
+        cov = well_posed(cov)
+        root = np.linalg.cholesky(cov)  # fails where it is not positive definite
+        return m, np.linalg.solve(cov, np.eye(5)), 2 * np.log(np.diag(root)).sum()
 
     def d2(m, p):
         d = x - m
         return np.einsum("ij,jk,ik->i", d, p, d)
 
     q = np.percentile(x, [25, 50, 75], axis=0)
-    scale = np.maximum((q[2] - q[0]) / 1.349, floors)
+    scale = np.maximum((q[2] - q[0]) / 1.349, LEAST)
     u = (x - q[1]) / scale
     u = np.floor(10_000 * u / np.maximum(np.linalg.norm(u, axis=1), 1e-9)[:, None] + 0.5)
     signs = u.T @ u / n / 1e8 + 0.05 * np.eye(5)
@@ -60,7 +92,7 @@ def slow_mcd(x):
             m, p, was = new
         found.append((was, m, p))
     _, m, p = min(found, key=lambda f: f[0])
-    m, p, _ = fit(x[d2(m, p) <= Q.chi2_quantile(0.975, 5)].astype(float), 0.975)
+    m, p, _ = fit(x[d2(m, p) <= CHI[0.975]].astype(float), 0.975)
     return m, p, [f[0] for f in found]
 
 
@@ -79,16 +111,35 @@ def test_mcd_equals_slow_form(spark):
         groups[g] = x
         rows += [(g, *map(int, r)) for r in x]
     groups["d"] = groups["a"][100:103]
-    rows += [("d", *map(int, r)) for r in groups["d"]]
+    groups["two points"] = np.repeat(groups["a"][:2], [40, 30], axis=0)
+    groups["one point"] = np.repeat(groups["a"][:1], 60, axis=0)
+    groups["two clusters"] = np.array([[4000, 4000, 0, 0, 0]] * 3 + [[9000, 9000, 5000, 4000, 4000]] * 2)
+    groups["collinear"] = groups["a"].copy()
+    groups["collinear"][:, 4] = groups["collinear"][:, 3] = 2 * groups["collinear"][:, 0]
+    rows += [(g, *map(int, r)) for g in list(groups)[3:] for r in groups[g]]
     got = {r.grp: r for r in Q.mcd(spark.createDataFrame(rows, "grp string, " + ", ".join(f"{c} long" for c in Q.FEATURES)).repartition(5)).collect()}
-    assert len(got) == 4
+    assert len(got) == 8
     for g, x in groups.items():
         m, p, dets = slow_mcd(x)
-        assert np.allclose(got[g].m, m, rtol=1e-9) and np.allclose(np.reshape(got[g].p, (5, 5)), p, rtol=1e-6, atol=1e-14), dets
+        assert np.allclose(got[g].m, m, rtol=1e-9) and np.allclose(np.reshape(got[g].p, (5, 5)), p, rtol=1e-3, atol=1e-12), (g, dets)
+        d = x - np.array(got[g].m)
+        far = np.einsum("ij,jk,ik->i", d, np.reshape(got[g].p, (5, 5)), d)
+        assert (far > 25.74).mean() <= (0.25 if g in "abc" else 0.2)
+        if g in ("two points", "one point", "two clusters"):
+            assert far.max() < 25.74
         if g in "ab":
             assert abs(m[1] - 5000) < 100  # a fifth of outliers doesn't move the centre
 
 
+def test_few_and_repeated_texts_are_kept(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    one, two = (" ".join(word() for _ in range(n)) for n in (80, 400))
+    kept = lambda texts: [r.kept for r in Q.quality_rules(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")).collect()]
+    for texts in ([one], [one, two], [one] * 40 + [two] * 30, [one] * 3 + [two + " | $"] * 2, [one] * 200):
+        assert kept(texts) == [True] * len(texts)
+
+
 def test_quality_rules(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
