@@ -102,20 +102,16 @@ def targeted_search(hits: DataFrame, held: DataFrame, k: int) -> tuple[DataFrame
     return new, hits.join(held.select("chunk_id"), "chunk_id", "left_semi").groupBy("query_id").agg(F.count("*").alias("held"))
 
 
-def hybrid_search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, depth: int = 100) -> DataFrame:
+def hybrid_search(index, vectors: DataFrame, queries: DataFrame, k: int = 10, depth: int = 100) -> DataFrame:
     """Lexical and dense lists of every query fused: query_id, rank, chunk_id, score, best_rank.
 
-    ``queries`` has query_id, query and embedding (null: lexical list alone).
+    ``index`` is an ``inverted_index.StoredIndex``; ``queries`` has query_id, query and embedding (null: lexical list alone).
     """
-    from . import dense, lexical
-    from .aggregates import lexeme_df
+    from . import dense, inverted_index, lexical
 
-    post = lexical.postings(chunks)
-    stats = lexeme_df(post)
-    n = chunks.count()
     terms = lexical.query_terms(queries).where("kind = 'terms'")
-    known = lexical.analyse_terms(terms, stats, n).where("df > 0").withColumnRenamed("term", "lexeme")
-    lex = lexical.search_any(post, known, depth).withColumn("list_name", F.lit("lexical"))
+    known = lexical.analyse_terms(terms, index.lexemes, index.chunks).where("df > 0").withColumnRenamed("term", "lexeme")
+    lex = inverted_index.search_any(index, known, depth).withColumn("list_name", F.lit("lexical"))
     den = dense.cosine_exact(vectors, queries.where("embedding is not null"), depth).withColumn("list_name", F.lit("dense"))
     cols = ["query_id", "list_name", "chunk_id", "rank"]
     return rrf(lex.select(*cols).unionByName(den.select(*cols))).where(F.col("rank") <= k).drop("ranks")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metadata as M, text as X
 from ..functions.udfs import arrow_udf
-from ..operators import aggregates as A, citation_graph as G, deliberation as B, dense as D, evaluate as V, events as E, lexical as L, structure as T
+from ..operators import aggregates as A, citation_graph as G, deliberation as B, dense as D, evaluate as V, events as E, inverted_index as I, lexical as L, structure as T
 from ..session import shared_folder
 from ..sources import readers as R, sinks as S
 from .registry import query
@@ -461,10 +461,10 @@ def b0_resolve(t):
 @query()
 def b1_pipeline(t):
     """Search, numbered evidence, quoted claims, verification, and an answer from what held, for every query at once."""
-    from .retrieval import _chunks, _terms
+    from .retrieval import _chunks, _index, _terms
 
-    post = L.postings(_chunks(t))
-    hits = L.search_any(post, _terms(t, post), 5)
+    index = _index(t)
+    hits = I.search_any(index, _terms(t, index), 5)
     cit = B.evidence_from_hits(hits, _chunks(t), 5, 20)
     label = lambda claim, text: F.when(F.length(text) % 2 == 0, "supports").otherwise("contradicts")
     checked = E.verify(cit.drop("text"), cit.select("run_id", "evidence_id", "text"), label)

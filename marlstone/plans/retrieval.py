@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import dense as D, evaluate as V, fusion as U, graph as G, lexical as L
+from ..operators import dense as D, evaluate as V, fusion as U, graph as G, inverted_index as I, lexical as L
 from ..operators.aggregates import lexeme_df as _lexeme_df
-from ..session import spread
+from ..session import shared_folder
 from .registry import query
 
 c = F.col
@@ -48,14 +50,38 @@ _Q = rf"(SELECT doc_id AS query_id, unnest(list_distinct([w[3], w[5], w[9]])) AS
 _TERMS = f"(SELECT q.query_id, q.lexeme, s.ndoc AS df, ln(1 + (n.n - s.ndoc + 0.5) / (s.ndoc + 0.5)) AS idf FROM {_Q} q JOIN (SELECT lexeme, count(*) AS ndoc FROM {_POST} GROUP BY 1) s ON q.lexeme = s.lexeme, (SELECT count(*) AS n FROM documents) n)"
 
 
-def _terms(t, post):
-    n = t.documents.count()
-    return L.analyse_terms(L.query_terms(_queries(t)).where("kind = 'terms'"), _lexeme_df(post), n).where("df > 0").withColumnRenamed("term", "lexeme")
+#: Indexes that this process has built, by application, folder and the table's time stamp; their files go with the application.
+_INDEXES: dict[tuple, str] = {}
+
+
+def _index(t) -> I.StoredIndex:
+    """The stored index of the documents, built at its first use."""
+    spark = t._spark
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{t._dir}/documents.parquet")
+    stamp = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    key = spark.sparkContext.applicationId, t._dir, stamp
+    if key not in _INDEXES:
+        where = f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}"
+        I.build_index(_chunks(t), where)
+        _INDEXES[key] = where
+    return I.StoredIndex(spark, _INDEXES[key])
+
+
+_EVERY_WORD = r"(SELECT doc_id AS chunk_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS lexeme FROM documents)"
+
+
+@query(f"SELECT lexeme, count(DISTINCT chunk_id) AS ndoc, count(*) AS occurrences FROM {_EVERY_WORD} GROUP BY lexeme")
+def positional_index(t):
+    return _index(t).lexemes
+
+
+def _terms(t, index):
+    return L.analyse_terms(L.query_terms(_queries(t)).where("kind = 'terms'"), index.lexemes, index.chunks).where("df > 0").withColumnRenamed("term", "lexeme")
 
 
 @query(f"SELECT query_id, lexeme AS term, df, round(idf, 6) AS idf FROM {_TERMS}")
 def analyse_terms(t):
-    return _terms(t, L.postings(_chunks(t))).select("query_id", c("lexeme").alias("term"), "df", F.round("idf", 6).alias("idf"))
+    return _terms(t, _index(t)).select("query_id", c("lexeme").alias("term"), "df", F.round("idf", 6).alias("idf"))
 
 
 _ANY = f"""WITH t AS (SELECT *, sum(df) OVER (PARTITION BY query_id ORDER BY df, lexeme ROWS UNBOUNDED PRECEDING) <= 300 AS rare, sum(idf) OVER (PARTITION BY query_id) AS total, count(*) OVER (PARTITION BY query_id) AS n_terms FROM {_TERMS}),
@@ -67,14 +93,14 @@ SELECT query_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTIT
 
 @query(_ANY)
 def search_any(t):
-    post = L.postings(_chunks(t))
-    return L.search_any(post, _terms(t, post), 20, max_candidates=300)
+    index = _index(t)
+    return I.search_any(index, _terms(t, index), 20, max_candidates=300)
 
 
 @query(f"WITH q AS (SELECT DISTINCT query_id, lexeme FROM {_TERMS}), h AS (SELECT q.query_id, p.chunk_id, count(*) AS m, sum(tf) AS tf FROM q JOIN {_POST} p ON q.lexeme = p.lexeme GROUP BY 1, 2) SELECT query_id, rank, chunk_id, score FROM (SELECT h.query_id, h.chunk_id, round(tf * 1.0 / (tf + 1), 6) AS score, row_number() OVER (PARTITION BY h.query_id ORDER BY round(tf * 1.0 / (tf + 1), 6) DESC, h.chunk_id) AS rank FROM h JOIN (SELECT query_id, count(*) AS n FROM q GROUP BY 1) k ON h.query_id = k.query_id WHERE m = n) WHERE rank <= 20")
 def search_all(t):
-    post = L.postings(_chunks(t))
-    return L.search_all(post, _terms(t, post), 20)
+    index = _index(t)
+    return I.search_all(index, _terms(t, index), 20)
 
 
 @query(rf"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents), q AS (SELECT doc_id AS query_id, w[3] AS a, w[4] AS b FROM d WHERE doc_id % 100 = 0 AND len(w) > 3),
@@ -82,9 +108,8 @@ p AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(ran
 SELECT query_id, rank, chunk_id, score FROM (SELECT query_id, chunk_id, round(tf * 1.0 / (tf + 1), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(tf * 1.0 / (tf + 1), 6) DESC, chunk_id) AS rank FROM h) WHERE rank <= 20""")
 def search_phrase(t):
     w = L.words_of(c("text"))
-    words = spread(_chunks(t)).select("chunk_id", F.posexplode(w).alias("pos", "word"))
     q = t.documents.where((c("doc_id") % 100 == 0) & (F.size(w) > 3)).select(c("doc_id").alias("query_id"), F.posexplode(F.slice(w, 3, 2)).alias("nth", "word"))
-    return L.search_phrase(words, q, 20)
+    return I.search_phrase(_index(t), q, 20)
 
 
 @query(f"WITH bad AS (SELECT chunk_id FROM {_POST} WHERE lexeme = 'est'), hit AS (SELECT DISTINCT chunk_id FROM {_POST} WHERE lexeme = 'une') SELECT chunk_id FROM hit WHERE chunk_id NOT IN (SELECT chunk_id FROM bad)")
@@ -256,7 +281,7 @@ _HYB = _ANY.replace("<= 300", "<= 10000").replace("rank <= 20", "rank <= 100")
 )
 def hybrid_search(t):
     q = _queries(t).join(t.embeddings.select(c("vec_id").alias("query_id"), "embedding"), "query_id", "left")
-    return U.hybrid_search(_chunks(t), _vectors(t), q, 10)
+    return U.hybrid_search(_index(t), _vectors(t), q, 10)
 
 
 # ---- evidence graphs ----
