@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import dense as D, evaluate as V, fusion as U, graph as G, inverted_index as I, lexical as L
+from ..operators import dense as D, evaluate as V, fusion as U, graph as G, graph_index as N, inverted_index as I, lexical as L
 from ..operators.aggregates import lexeme_df as _lexeme_df
 from ..session import shared_folder
 from .registry import query
@@ -169,6 +169,36 @@ def recall_at_k(t):
     return D.recall_at_k(D.ann_search(v, q, 10, D.ivf_build(v, 16), 12), D.cosine_exact(v, q, 10))
 
 
+def _proximity(t):
+    """The graph of the embeddings, written at its first use."""
+    spark = t._spark
+    key = spark.sparkContext.applicationId, t._dir, "graph"
+    if key not in _INDEXES:
+        _INDEXES[key] = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+        N.build_graph(_vectors(t), _INDEXES[key])
+    return N.load_graph(spark, _INDEXES[key])
+
+
+@query()
+def graph_search(t):
+    v = _vectors(t)
+    return N.graph_search(_proximity(t), v.where("chunk_id % 100 = 0").select(c("chunk_id").alias("query_id"), "embedding"), 50)
+
+
+@query()
+def graph_recall(t):
+    """Recall at 50 and distances of every query, without a filter and with one that a hundredth of the vectors pass."""
+    v = _vectors(t)
+    q = v.where("chunk_id % 100 = 0").select(c("chunk_id").alias("query_id"), "embedding")
+    few = v.where(F.pmod(F.xxhash64("chunk_id"), F.lit(100)) == 0).select("chunk_id")
+    parts = []
+    for name, allowed in (("all", None), ("filtered", few)):
+        exact = D.cosine_exact(v if allowed is None else v.join(allowed, "chunk_id", "left_semi"), q, 50)
+        recall = D.recall_at_k(N.graph_search(_proximity(t), q, 50, allowed=allowed), exact)
+        parts.append(recall.join(N.graph_search(_proximity(t), q, 50, allowed=allowed, counts=True), "query_id").withColumn("scope", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
 @query()
 def encode(t):
     e = D.encode(_chunks(t), D.hash_encoder(32))
