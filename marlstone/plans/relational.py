@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A, filters as P, joins as J, windows as N
+from ..session import shared_folder
 from ..sources import readers as R, sinks as S
+from ..sources.versioned import VersionedTable
 from .registry import query
 
 # ---- scans and sinks ----
@@ -42,13 +46,19 @@ def upsert(t):
     base = t.orders.select("o_orderkey", "o_orderstatus")
     new = base.where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("X"))
     add = base.where("o_orderkey % 100 = 0").select((F.col("o_orderkey") + 10000000).alias("o_orderkey"), F.lit("X").alias("o_orderstatus"))
-    return S.upsert(base, new.unionByName(add), ["o_orderkey"])
+    table = VersionedTable(t._spark, f"{shared_folder(t._spark)}/orders-{uuid.uuid4().hex}", ["o_orderkey"])
+    table.upsert(base)
+    table.upsert(new.unionByName(add))
+    return table.read()
 
 
 @query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem WHERE l_orderkey % 3 <> 0 OR l_linenumber = 1")
 def delete_stale(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber")
-    return S.delete_stale(rows, rows.where("l_orderkey % 3 = 0").withColumn("l_linenumber", F.lit(1)), "l_orderkey", ["l_orderkey", "l_linenumber"])
+    table = VersionedTable(t._spark, f"{shared_folder(t._spark)}/lines-{uuid.uuid4().hex}", ["l_orderkey", "l_linenumber"], ["l_orderkey"])
+    table.upsert(rows)
+    table.delete_stale(rows.where("l_orderkey % 3 = 0").withColumn("l_linenumber", F.lit(1)), "l_orderkey")
+    return table.read()
 
 
 @query(

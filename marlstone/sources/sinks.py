@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The target with ``rows`` in place of those of the same keys; the columns of the target. Parquet has no MERGE."""
+    """The target with ``rows`` in place of those of the same keys; the columns of the target (``VersionedTable`` applies it to touched buckets)."""
     return target.join(rows.select(*keys), keys, "left_anti").select(target.columns).unionByName(rows.select(target.columns))
 
 
@@ -18,17 +18,12 @@ def delete_stale(target: DataFrame, produced: DataFrame, doc: str, keys: list[st
 
 
 def load_table(spark: SparkSession, path: str, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Upsert into a Parquet table: written beside the old version, then swapped in, so a failed write leaves the old."""
-    import uuid
+    """Upsert into a versioned table, which rewrites only the buckets that ``rows`` touch and swaps the new version in last."""
+    from .versioned import VersionedTable
 
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    new = f"{path}.{uuid.uuid4().hex}"
-    merged = upsert(spark.read.parquet(path), rows, keys) if fs.exists(hadoop(path)) else rows
-    merged.write.parquet(new)
-    fs.delete(hadoop(path), True)
-    fs.rename(hadoop(new), hadoop(path))
-    return spark.read.parquet(path)
+    table = VersionedTable(spark, path, keys)
+    table.upsert(rows)
+    return table.read()
 
 
 def load_all(spark: SparkSession, root: str, tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
