@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import deliberation as B, events as E
 from ..session import shared_folder
-from ..streaming import events as S
+from ..streaming import events as S, typed_fold as T
 from .registry import query
 
 c = F.col
@@ -227,8 +227,9 @@ def _stream(t, name, df):
 @query(_FOLD)
 def incremental_fold(t):
     s, base = _stream(t, "fold", _logs(t).repartition("run_id"))
-    out = S.drain(S.fold_stream(s), "update", f"{base}/checkpoint")
-    return _folded(out.groupBy("run_id").agg(F.max_by(F.struct("status", "last_seq", "events", "view"), "last_seq").alias("v")).select("run_id", "v.*"))
+    with T.typed_state(t._spark):
+        changes = S.drain(T.fold_changes(s), "update", f"{base}/checkpoint")
+    return _folded(T.assemble(changes))
 
 
 @query("SELECT run_id, seq, event_id FROM ev")
