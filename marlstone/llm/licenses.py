@@ -10,6 +10,34 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise, spread
 
+#: Fixed texts: what the GNU licences' headers have in common, and the disclaimers of the MIT and BSD licences.
+_GNU = "This {what} is free software{sep} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version."
+_GNU_ONLY = "This {what} is free software{sep} you can redistribute it and/or modify it under the terms of the {name} version {version} as published by the Free Software Foundation."
+_GNU_REST = " This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+_GNU_COPY = " You should have received a copy of the {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+_MIT_REST = " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_REST = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: SPDX name, title, version, what it is called, and the two signs of its first sentence.
+_GNU_FAMILY = (
+    ("GPL-2.0", "GNU General Public License", "2", "program", ";", ";"),
+    ("GPL-3.0", "GNU General Public License", "3", "program", ":", ","),
+    ("LGPL-2.1", "GNU Lesser General Public License", "2.1", "library", ";", ";"),
+    ("LGPL-3.0", "GNU Lesser General Public License", "3", "program", ":", ","),
+    ("LGPL-3.0", "GNU Lesser General Public License", "3", "library", ";", ";"),
+    ("AGPL-3.0", "GNU Affero General Public License", "3", "program", ":", ","),
+)
+
+
+def _gnu_templates():
+    """First paragraph alone, with the second, and with the third; and the form without later versions."""
+    for spdx, name, version, what, sep, comma in _GNU_FAMILY:
+        fill = lambda text: text.format(name=name, version=version, what=what, sep=sep, comma=comma)
+        for text in (_GNU, _GNU + _GNU_REST, _GNU + _GNU_REST + _GNU_COPY, _GNU_ONLY, _GNU_ONLY + _GNU_REST):
+            yield spdx, fill(text)
+
+
 #: Fixed texts: notices and headers of public licences, by SPDX name.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -24,7 +52,7 @@ TEMPLATES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_REST),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -36,18 +64,30 @@ TEMPLATES = (
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("ISC", "SPDX-License-Identifier: ISC"),
-    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
-    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("BSD-3-Clause", _BSD + _BSD_THIRD),
+    ("BSD-2-Clause", _BSD + _BSD_REST),
+    ("BSD-2-Clause", _BSD),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *_gnu_templates(),
 )
+_MIT_WHOLE = next(text for name, text in TEMPLATES if name == "MIT" and text.startswith("Permission")) + _MIT_REST
+TEMPLATES = (*TEMPLATES, ("MIT", _MIT_WHOLE))
+#: Terms that tell a licence from its kin: where a template has one, so must a stretch that is given its name.
+TELLING = {"AGPL-3.0": ("affero", "agpl"), "LGPL-3.0": ("lesser", "lgpl", "3"), "LGPL-2.1": ("lesser", "lgpl", "2", "1"), "GPL-3.0": ("3",), "GPL-2.0": ("2",), "BSD-3-Clause": ("3", "neither"), "BSD-2-Clause": ("2",)}
 #: Names of licence files, whose licence holds for their directory and all below without a nearer one.
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)[^/]*$"
 THRESHOLD = 0.75
-#: Notices may be wrapped: runs of so many lines are looked at besides lines, paragraphs and whole texts.
+#: Notices may be wrapped: runs of so many lines are looked at besides lines, paragraphs, comments and whole texts.
 RUNS = (2, 3)
+#: Fixed: how a line of a comment begins in common languages.
+COMMENT = r"^\s*(#|//|/?\*|--|;|%|<!--|\.\.|dnl\b|rem\b|')"
 _TERMS = "[^a-z0-9]+"
 
 
@@ -111,28 +151,38 @@ def needed_terms(weights: list[tuple[int, str, float]], idf: dict[str, float]) -
 
 
 def lines_near(files: DataFrame, needed: list[str]) -> DataFrame:
-    """copy (a row, since paths may repeat), path, place, block (its paragraph), line: lines of texts that have one of the needed terms."""
+    """copy (a row, since paths may repeat), path, place, block, part, note, line: lines of texts that have one of the needed terms.
+
+    Blocks are parted by blank lines, parts by lines without letters and digits (as between the paragraphs of a comment), and notes where
+    comment lines begin or end.
+    """
     near = spread(files).where(F.col("path").isNotNull() & F.arrays_overlap(_split(F.col("text")), F.array(*[F.lit(t) for t in needed])))
     near = near.withColumn("copy", F.monotonically_increasing_id())  # before lines are rows
     near = near.select("copy", "path", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     blank = (F.translate("line", " \t\r", "") == "").cast("int")
-    return near.withColumn("block", F.sum(blank).over(Window.partitionBy("copy").orderBy("place")).cast("int"))
+    bare = (~F.col("line").rlike("[A-Za-z0-9]")).cast("int")
+    comment = F.lower("line").rlike(COMMENT)
+    order = Window.partitionBy("copy").orderBy("place")
+    turn = F.coalesce((comment != F.lag(comment).over(order)).cast("int"), F.lit(0))
+    near = near.withColumn("block", F.sum(blank).over(order).cast("int")).withColumn("part", F.sum(bare).over(order).cast("int")).withColumn("turn", turn)
+    return near.withColumn("note", F.sum("turn").over(order).cast("int")).drop("turn")
 
 
 def stretches():
-    """A line's stretches: itself, the runs that it lies in, its paragraph and the whole text.
+    """A line's stretches: itself, the runs that it lies in, its paragraph (by blank or by bare lines), its comment and the whole text.
 
     Runs over either end of a text are shorter runs or lines, so they add nothing.
     """
     at = lambda kind, place: F.struct(F.lit(kind).alias("kind"), place.cast("int").alias("place"))
     runs = [at(f"run{n}", F.col("place") - back) for n in RUNS for back in range(n)]
-    return F.array(at("line", F.col("place")), *runs, at("block", F.col("block")), at("whole", F.lit(0)))
+    return F.array(at("line", F.col("place")), *runs, at("block", F.col("block")), at("part", F.col("part")), at("note", F.col("note")), at("whole", F.lit(0)))
 
 
 def own_licences(files: DataFrame) -> DataFrame:
     """path, licence, cosine, whole: the best template of any notice of a file, if its cosine is THRESHOLD or more.
 
-    Lines, runs of lines, paragraphs and whole texts are looked at. Terms are counted once for each line and summed
+    Lines, runs of lines, paragraphs, comments and whole texts are looked at. A stretch must have the terms of TELLING that a template
+    has, so that kin with nearly the same words are told apart. Terms are counted once for each line and summed
     over its stretches. Terms of no template are all of one weight, so of them only the sum of squared counts is
     wanted. It is at least their number, which bounds a stretch's norm from below; stretches whose cosine could
     still reach THRESHOLD get the sum itself. ``whole`` says that the file's text as a whole is that near to some
@@ -142,20 +192,22 @@ def own_licences(files: DataFrame) -> DataFrame:
     idf, other = inverse_frequencies(files)
     rows = template_weights(idf)
     needed = needed_terms(rows, idf)
-    weights = F.broadcast(spark.createDataFrame(rows, "template int, term string, tw double"))
+    telling = [set(TELLING.get(name, ())) & set(terms_of(text)) for name, text in TEMPLATES]
+    weights = F.broadcast(spark.createDataFrame([(i, t, w, t in telling[i], len(telling[i])) for i, t, w in rows], "template int, term string, tw double, tells boolean, wanted int"))
     scale = F.broadcast(spark.createDataFrame([(t, x, t in set(needed)) for t, x in sorted(idf.items())], "term string, idf double, need boolean"))
     key = ["copy", "kind", "place"]
     least = (THRESHOLD - 1e-5) ** 2
     lines = materialise(lines_near(files, needed), "lines")
-    tokens = lines.select("copy", "place", "block", F.explode(_split(F.col("line"))).alias("term")).where("term <> ''")
-    by_line = tokens.join(scale, "term", "left").groupBy("copy", "place", "block", F.when(F.col("idf").isNotNull(), F.col("term")).alias("term"), "idf", "need").count()
+    tokens = lines.select("copy", "place", "block", "part", "note", F.explode(_split(F.col("line"))).alias("term")).where("term <> ''")
+    by_line = tokens.join(scale, "term", "left").groupBy("copy", "place", "block", "part", "note", F.when(F.col("idf").isNotNull(), F.col("term")).alias("term"), "idf", "need").count()
     tf = by_line.select("copy", F.explode(stretches()).alias("s"), "term", "idf", "need", "count").select("copy", "s.*", "term", "idf", "need", "count")
     tf = materialise(tf.groupBy(*key, "term", "idf", "need").agg(F.sum("count").alias("count")), "terms")
     square = F.pow(F.col("count") * F.col("idf"), 2)
     norms = tf.groupBy(*key).agg(F.sum(square).alias("known"), F.coalesce(F.sum(F.when(F.col("term").isNull(), F.col("count"))), F.lit(0)).alias("others"), F.max("need").alias("need"))
     norms = norms.where(F.col("need") & (F.col("known") >= least * (F.col("known") + other * other * F.col("others")))).drop("need")
     dots = tf.where("term is not null").join(norms, key).join(weights, "term")
-    dots = dots.groupBy(*key, "template", "known", "others").agg(F.sum(F.col("count") * F.col("idf") * F.col("tw")).alias("dot"))
+    dots = dots.groupBy(*key, "template", "known", "others", "wanted").agg(F.sum(F.col("count") * F.col("idf") * F.col("tw")).alias("dot"), F.sum(F.col("tells").cast("int")).alias("told"))
+    dots = dots.where("told = wanted").drop("told", "wanted")
     close = materialise(dots.where(F.col("dot") * F.col("dot") >= least * (F.col("known") + other * other * F.col("others"))), "close")
     # the stretches that are left, each with its lines
     parts = lines.select("copy", F.col("place").alias("at"), F.explode(stretches()).alias("s")).select("copy", "at", "s.*")

@@ -46,12 +46,21 @@ def slow_scan(files, whole_texts):
     for p, t in files:
         lines = (t or "").split("\n")
         runs = ["\n".join(lines[i : i + k]) for k in (2, 3) for i in range(len(lines) - k + 1)]
-        for s in ([t] + lines + runs + re.split(r"\n[ \t\r]*\n", t)) if t and p else []:
+        parts, notes = [[]], [[]]
+        for i, x in enumerate(lines):
+            if not re.search("[A-Za-z0-9]", x):
+                parts.append([])
+            if i and bool(re.search(L.COMMENT, x.lower())) != bool(re.search(L.COMMENT, lines[i - 1].lower())):
+                notes.append([])
+            parts[-1].append(x)
+            notes[-1].append(x)
+        more = ["\n".join(x) for x in parts + notes]
+        for s in ([t] + lines + runs + more + re.split(r"\n[ \t\r]*\n", t)) if t and p else []:
             v = vec(s)
             for i, (name, x) in enumerate(L.TEMPLATES):
                 u = vec(x)
                 c = round(sum(v[k] * u[k] for k in v.keys() & u.keys()), 6)
-                if c >= L.THRESHOLD:
+                if c >= L.THRESHOLD and not (set(L.TELLING.get(name, ())) & u.keys()) - v.keys():
                     a = own.setdefault(p, [(0, 0, ""), False])
                     a[0] = max(a[0], (c, -i, name))
                     a[1] |= s is t
@@ -91,3 +100,89 @@ def test_documents(spark):
         for m, name in marks.items():
             if m in r.text.split("\n"):
                 assert got[f"{r.source}/{r.lang}/{r.doc_id}"] == name
+
+
+HEADERS = {
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along
+with this program; if not, write to the Free Software Foundation, Inc.,
+51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "GPL-3.0": """Foobar is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+Foobar is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with Foobar.  If not, see <https://www.gnu.org/licenses/>.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU Affero General Public License for more details.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.""",
+    "LGPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "MIT": L._MIT_WHOLE,
+    "BSD-2-Clause": L._BSD + "\n\n" + L._BSD_REST.strip(),
+    "BSD-3-Clause": L._BSD.replace(": 1.", ":\n\n1.").replace(" 2. ", "\n2. ") + "\n" + L._BSD_THIRD.strip() + "\n\n" + L._BSD_REST.strip(),
+}
+
+
+def test_every_header_gets_its_own_name(spark):
+    import textwrap
+
+    code = "\ndef main(argv):\n    return run(argv, depth=3)\n\n\nclass Walker:\n    pass\n" * 3
+    files = []
+    for name, text in HEADERS.items():
+        wrapped = "\n\n".join(textwrap.fill(" ".join(p.split()), 50) for p in text.split("\n\n"))
+        for kind, mark in (("plain", ""), ("hash", "# "), ("slash", "// "), ("star", " * ")):
+            for form, body in (("given", text), ("wrapped", wrapped)):
+                lines = "\n".join((mark + x).rstrip() if mark else x for x in body.split("\n"))
+                files.append((f"src/{name}/{kind}-{form}", ("/*\n" + lines + "\n */" if kind == "star" else lines) + (code if mark else "\n" + code)))
+    files += [(f"other/{i}", f"plain words of a file number {i} and the license of the program you may use") for i in range(60)]
+    got = {r.path: r.licence for r in L.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    wrong = {p: v for p, v in got.items() if p.startswith("src/") and v != p.split("/")[1]}
+    assert not wrong
+    assert all(v is None for p, v in got.items() if p.startswith("other/"))
