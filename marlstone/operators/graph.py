@@ -142,36 +142,159 @@ def support_relation(edges: DataFrame) -> DataFrame:
     return forward.unionByName(back)
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+#: Edges of a run up to which one task finds its components.
+LOCAL_EDGES = 1_000_000
+
+
+def strong_components(pairs: list[tuple]) -> dict:
+    """Component number of every node that is on a loop: one depth-first pass with low links, without recursion."""
+    out: dict = {}
+    for s, t in pairs:
+        out.setdefault(s, []).append(t)
+        out.setdefault(t, [])
+    loops = {s for s, t in pairs if s == t}
+    number, low, held, on, found = {}, {}, [], set(), {}
+    for root in out:
+        if root in number:
+            continue
+        work = [(root, iter(out[root]))]
+        number[root] = low[root] = len(number)
+        held.append(root)
+        on.add(root)
+        while work:
+            node, rest = work[-1]
+            for nxt in rest:
+                if nxt not in number:
+                    number[nxt] = low[nxt] = len(number)
+                    held.append(nxt)
+                    on.add(nxt)
+                    work.append((nxt, iter(out[nxt])))
+                    break
+                if nxt in on:
+                    low[node] = min(low[node], number[nxt])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    members = []
+                    while not members or members[-1] != node:
+                        members.append(held.pop())
+                        on.discard(members[-1])
+                    if len(members) > 1 or node in loops:
+                        found.update(dict.fromkeys(members, number[node]))
+    return found
+
+
+def _local_components(edges: DataFrame) -> DataFrame:
+    """run_id, node, label (one node of its component) of runs that each fit one task."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = strong_components(list(zip(pdf["source"].tolist(), pdf["target"].tolist())))
+        first: dict = {}
+        for node, c in found.items():
+            first.setdefault(c, node)
+        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]] * len(found), "node": list(found), "label": [first[c] for c in found.values()]}, dtype=object)
+
+    t = {c: edges.schema[c].dataType.simpleString() for c in edges.columns}
+    return edges.groupBy("run_id").applyInPandas(run, f"run_id {t['run_id']}, node {t['source']}, label {t['source']}")
+
+
+def _trim(edges: DataFrame) -> DataFrame:
+    """Edges without those whose source nothing leads to or whose target leads nowhere."""
+    ins = edges.select("run_id", F.col("target").alias("source")).distinct()
+    outs = edges.select("run_id", F.col("source").alias("target")).distinct()
+    return edges.join(ins, ["run_id", "source"], "left_semi").join(outs, ["run_id", "target"], "left_semi").select("run_id", "source", "target")
+
+
+def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with some nodes of one way in and one way out taken from between their neighbours, and those nodes: run_id, node, before, after.
+
+    Of such nodes side by side the one of least hash goes, so a chain loses about a third of its nodes at once.
+    """
+    one = edges.groupBy("run_id", F.col("target").alias("node")).agg(F.count("*").alias("n_in"), F.min("source").alias("before"))
+    two = edges.groupBy("run_id", F.col("source").alias("node")).agg(F.count("*").alias("n_out"), F.min("target").alias("after"))
+    thin = one.join(two, ["run_id", "node"]).where("n_in = 1 and n_out = 1 and node <> before").select("run_id", "node", "before", "after", F.xxhash64("node").alias("h"))
+    thin = materialise(thin, "thin")
+    side = lambda name: thin.select("run_id", F.col("node").alias(name), F.struct("h", "node").alias(f"h_{name}"))
+    near = thin.join(side("before"), ["run_id", "before"], "left").join(side("after"), ["run_id", "after"], "left")
+    mine = F.struct("h", "node")
+    gone = near.where((F.col("h_before").isNull() | (mine < F.col("h_before"))) & (F.col("h_after").isNull() | (mine < F.col("h_after"))))
+    gone = materialise(gone.select("run_id", "node", "before", "after"), "gone")
+    left = edges.join(gone.select("run_id", F.col("node").alias("source")), ["run_id", "source"], "left_anti").join(gone.select("run_id", F.col("node").alias("target")), ["run_id", "target"], "left_anti")
+    left = left.select("run_id", "source", "target").unionByName(gone.select("run_id", F.col("before").alias("source"), F.col("after").alias("target"))).distinct()
+    out = materialise(left, "core")
+    discard(thin)
+    return out, gone
+
+
+def _spread_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Least label that reaches each node along the edges: rounds of one join and one aggregate, each of a row an edge."""
+    cur = materialise(labels, "labels")
+    while True:
+        sent = edges.join(cur.withColumnRenamed("node", "source"), ["run_id", "source"]).select("run_id", F.col("target").alias("node"), "label")
+        nxt = materialise(cur.unionByName(sent).groupBy("run_id", "node").agg(F.min("label").alias("label")), "labels")
+        same = nxt.join(cur, ["run_id", "node", "label"], "left_anti").limit(1).count() == 0
+        discard(cur)
+        cur = nxt
+        if same:
+            return cur
+
+
+def _colour(edges: DataFrame) -> DataFrame:
+    """run_id, node, label of the components that hold the root of a colour, and of trivial ones.
+
+    Forward, each node takes the least node that reaches it as its colour. Backward, within a colour, the root's component is what
+    reaches the root. Every colour gives one component, so the rest shrinks with each call.
+    """
+    nodes = edges.select("run_id", F.col("source").alias("node")).union(edges.select("run_id", F.col("target").alias("node"))).distinct()
+    colour = _spread_labels(edges, nodes.withColumn("label", F.col("node")))
+    kept = edges.join(colour.select("run_id", F.col("node").alias("source"), F.col("label").alias("from")), ["run_id", "source"]).join(colour.select("run_id", F.col("node").alias("target"), F.col("label").alias("to")), ["run_id", "target"]).where(F.col("from") == F.col("to"))
+    back = materialise(kept.select("run_id", F.col("target").alias("source"), F.col("source").alias("target")), "back")
+    out = materialise(_spread_labels(back, colour.where("node = label")), "component")
+    discard(back)
+    return out
+
+
+def cycles(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Strongly connected components with a loop: run_id, component (its least node), node.
 
-    Nodes without a way in or out are trimmed round by round, which leaves the loops and what lies between them;
-    then each node's reachable set is grown by joining edges to pairs until nothing is new, and two nodes that
-    reach one another are in one component. The sets are those of the trimmed core alone, which is small in a graph
-    that is meant to have no loops.
+    A run of at most ``local_edges`` edges is settled by one task. Larger ones shrink by rounds, each of a row an edge: nodes without a way
+    in or out go, and nodes between just two others are taken from between them (they are in their neighbours' component if
+    both are in one); runs that have become small leave. Where that no longer helps, components are taken out by colours. Pairs
+    of nodes that reach one another are never made.
     """
     core = materialise(edges.select("run_id", "source", "target").distinct(), "core")
-    while True:
-        ins = core.select("run_id", F.col("target").alias("source")).distinct()
-        outs = core.select("run_id", F.col("source").alias("target")).distinct()
-        nxt = materialise(core.join(ins, ["run_id", "source"], "left_semi").join(outs, ["run_id", "target"], "left_semi").select("run_id", "source", "target"), "core")
-        same = nxt.count() == core.count()
+    done, gone, n = [], [], core.count()
+    while n:
+        small = core.groupBy("run_id").count().where(F.col("count") <= local_edges).select("run_id")
+        now = materialise(_local_components(core.join(small, "run_id", "left_semi")), "components")
+        done.append(now)
+        large = materialise(core.join(small, "run_id", "left_anti"), "core")
         discard(core)
-        core = nxt
-        if same:
-            break
-    reach = materialise(core, "reach")
-    while True:
-        step = reach.select("run_id", "source", F.col("target").alias("mid")).join(reach.select("run_id", F.col("source").alias("mid"), "target"), ["run_id", "mid"]).select("run_id", "source", "target")
-        nxt = materialise(reach.unionByName(step).distinct(), "reach")
-        same = nxt.count() == reach.count()
-        discard(reach)
-        reach = nxt
-        if same:
-            break
-    back = reach.select("run_id", F.col("target").alias("source"), F.col("source").alias("target"))
-    mutual = reach.intersect(back)
-    return mutual.groupBy("run_id", F.col("source").alias("node")).agg(F.min("target").alias("m")).select("run_id", F.least("m", "node").alias("component"), "node")
+        core, taken = _contract(materialise(_trim(large), "core"))
+        gone.append(taken)
+        was, n = n, core.count()
+        if n > 0.9 * was:
+            found = _colour(core)
+            looped = core.where("source = target").select("run_id", F.col("source").alias("node"))
+            sizes = found.groupBy("run_id", "label").agg(F.count("*").alias("n"))
+            real = found.join(sizes.where("n > 1").select("run_id", "label"), ["run_id", "label"], "left_semi").unionByName(found.join(looped, ["run_id", "node"], "left_semi").select(found.columns)).distinct()
+            done.append(materialise(real, "components"))
+            ends = lambda name: found.select("run_id", F.col("node").alias(name))
+            rest = materialise(core.join(ends("source"), ["run_id", "source"], "left_anti").join(ends("target"), ["run_id", "target"], "left_anti").select("run_id", "source", "target"), "core")
+            discard(core)
+            core, n = rest, rest.count()
+    known = edges.select("run_id", F.col("source").alias("node"), F.col("source").alias("label")).limit(0)
+    for part in done:
+        known = known.unionByName(part.select("run_id", "node", "label"))
+    for taken in reversed(gone):
+        at = lambda name: known.select("run_id", F.col("node").alias(name), F.col("label").alias(f"l_{name}"))
+        back = taken.join(at("before"), ["run_id", "before"]).join(at("after"), ["run_id", "after"]).where("l_before = l_after")
+        known = materialise(known.unionByName(back.select("run_id", "node", F.col("l_before").alias("label"))), "components")
+    least = known.groupBy("run_id", "label").agg(F.min("node").alias("component"))
+    return known.join(least, ["run_id", "label"]).select("run_id", "component", "node")
 
 
 def hints(positions: DataFrame, claims: DataFrame, cites: DataFrame) -> DataFrame:
