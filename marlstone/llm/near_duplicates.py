@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import bounded, discard, materialise, spread
-from .common import connected_components, text_batches, whole_groups
+from .common import connected_components, release, text_batches, whole_groups
 from .simhash_trie import majority_bits, near_links
 
 #: Words of a shingle, and the least similarity of a pair as a fraction (numerator, denominator).
@@ -224,11 +224,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, heads: DataFrame) -> DataFrame:
     maybe = materialise(text_batches(pairs.join(a, "sa").join(b, "sb")).mapInArrow(lambda x: _similar(x, False), _PAIR), "maybe")
     ends = maybe.select(F.col("sa").alias("sid"), F.col("ha").alias("head")).unionByName(maybe.select(F.col("sb").alias("sid"), F.col("hb").alias("head")))
     wanted = materialise(ends.distinct(), "wanted")
+    release(docs)
     sets = materialise(_sets(docs, wanted), "sets")
     joined = maybe.join(sets.toDF("sa", "xa"), "sa").join(sets.toDF("sb", "xb"), "sb")
     out = materialise(text_batches(joined).mapInArrow(lambda x: _similar(x, True), _PAIR).select(F.col("ha").alias("src"), F.col("hb").alias("dst")), "links")
     for x in (maybe, wanted, sets):
         discard(x)
+    release(docs)
     return out
 
 
@@ -238,6 +240,7 @@ def _marked(tokens: DataFrame, links: DataFrame) -> DataFrame:
     rows = tokens.join(part, tokens["head"] == part["node"], "left").select("tok", "sid", "n", "place", F.coalesce("component", "head").alias("comp"))
     out = materialise(rows, "marked")
     discard(part)
+    release(out)
     return out
 
 
@@ -257,6 +260,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     doc_id have none; rows that share a doc_id are one document, linked by any of their texts; other columns are
     ignored; an empty table gives an empty result.
     """
+    release(docs)  # of the stages before
     sketches = materialise(_sketches(docs, _late(docs)), "near")
     heads = materialise(sketches.groupBy("sid").agg(F.min("doc").alias("head"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bitmap").alias("bitmap")), "heads")
     same = materialise(sketches.select("doc", "sid").distinct().join(heads.select("sid", "head"), "sid").select(F.col("head").alias("src"), F.col("doc").alias("dst")), "same")
@@ -265,6 +269,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     shared = rows.select("tok").groupBy("tok").count().where("count > 1").select("tok")
     tokens = materialise(rows.join(shared, "tok").select("tok", "sid", "head", "n", F.col("place").cast("long").alias("place")), "tokens")
     discard(sketches)
+    release(docs)
     prints = materialise(heads.groupBy("fp").agg(F.min("sid").alias("doc")), "prints")
     equal = heads.join(prints, "fp").where("sid <> doc").select("sid", "doc")
     trie = near_links(prints).toDF("sid", "doc").unionByName(equal)
