@@ -15,7 +15,7 @@ from marlstone.llm.near_duplicates import keep_one_per_near_class
 from marlstone.llm.packing import pack
 from marlstone.llm.passage_chains import cut_passages
 from marlstone.llm.quality_rules import keep_good
-from marlstone.session import materialise
+from marlstone.session import discard, materialise
 
 
 def _after_cut(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -58,5 +58,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,6 +22,8 @@ BITS = 1024
 SAMPLE, COMMON = 20_000, 10
 #: Rows of a block: a token's rows beyond it are compared by pairs of blocks.
 BLOCK_ROWS = 2048
+#: Elements that a portion of pairs to verify may always send.
+PORTION = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -222,16 +224,52 @@ def _verified(docs: DataFrame, pairs: DataFrame, heads: DataFrame) -> DataFrame:
     a = heads.select(F.col("sid").alias("sa"), F.col("head").alias("ha"), F.col("n").alias("na"), F.col("bitmap").alias("xa"))
     b = heads.select(F.col("sid").alias("sb"), F.col("head").alias("hb"), F.col("n").alias("nb"), F.col("bitmap").alias("xb"))
     maybe = materialise(text_batches(pairs.join(a, "sa").join(b, "sb")).mapInArrow(lambda x: _similar(x, False), _PAIR), "maybe")
-    ends = maybe.select(F.col("sa").alias("sid"), F.col("ha").alias("head")).unionByName(maybe.select(F.col("sb").alias("sid"), F.col("hb").alias("head")))
+    ends = maybe.select(F.col("sa").alias("sid"), F.col("ha").alias("head"), F.col("na").alias("n")).unionByName(maybe.select(F.col("sb").alias("sid"), F.col("hb").alias("head"), F.col("nb").alias("n")))
     wanted = materialise(ends.distinct(), "wanted")
     release(docs)
     sets = materialise(_sets(docs, wanted), "sets")
-    joined = maybe.join(sets.toDF("sa", "xa"), "sa").join(sets.toDF("sb", "xb"), "sb")
-    out = materialise(text_batches(joined).mapInArrow(lambda x: _similar(x, True), _PAIR).select(F.col("ha").alias("src"), F.col("hb").alias("dst")), "links")
+    release(docs)
+    links = None
+    for part in _portions(maybe, wanted):
+        joined = part.join(sets.toDF("sa", "xa"), "sa").join(sets.toDF("sb", "xb"), "sb")
+        found = materialise(text_batches(joined).mapInArrow(lambda x: _similar(x, True), _PAIR).select(F.col("ha").alias("src"), F.col("hb").alias("dst")), "links")
+        links = found if links is None else links.unionByName(found)
+        release(docs)
     for x in (maybe, wanted, sets):
         discard(x)
-    release(docs)
-    return out
+    return links
+
+
+def _portions(pairs: DataFrame, wanted: DataFrame) -> list[DataFrame]:
+    """The pairs in so many portions, by a hash of one side, that a set sent with each pair makes no more in one of them than all sets once."""
+    sent, once = pairs.agg(F.sum("na")).first()[0] or 0, wanted.agg(F.sum("n")).first()[0] or 0
+    n = -(-sent // max(once, PORTION))
+    if n <= 1:
+        return [pairs]
+    return [pairs.where(F.pmod(F.xxhash64("sa", "sb"), F.lit(n)) == i) for i in range(n)]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows tok, sid, place sorted by tok and sid, those whose token another set has too, once each; one row is held over."""
+    held, joined = None, False  # the last row so far, and whether the one before it has its token
+
+    def give(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["tok", "sid", "place"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = [b.column(i).to_numpy() for i in range(3)]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        new = np.append(True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
+        rows = [c[new] for c in rows]
+        same = rows[0][1:] == rows[0][:-1]
+        keep = np.append(joined, same) | np.append(same, False)
+        yield give([c[:-1][keep[:-1]] for c in rows])
+        held, joined = [c[-1:] for c in rows], bool(keep[-1])
+    if joined:
+        yield give(held)
 
 
 def _marked(tokens: DataFrame, links: DataFrame) -> DataFrame:
@@ -262,12 +300,16 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """
     release(docs)  # of the stages before
     sketches = materialise(_sketches(docs, _late(docs)), "near")
+    release(docs)
     heads = materialise(sketches.groupBy("sid").agg(F.min("doc").alias("head"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bitmap").alias("bitmap")), "heads")
     same = materialise(sketches.select("doc", "sid").distinct().join(heads.select("sid", "head"), "sid").select(F.col("head").alias("src"), F.col("doc").alias("dst")), "same")
-    one = sketches.join(heads.select("sid", F.col("head").alias("doc")), ["sid", "doc"]).dropDuplicates(["sid"])
-    rows = one.select("sid", F.col("doc").alias("head"), "n", F.posexplode("toks").alias("place", "tok"))
-    shared = rows.select("tok").groupBy("tok").count().where("count > 1").select("tok")
-    tokens = materialise(rows.join(shared, "tok").select("tok", "sid", "head", "n", F.col("place").cast("long").alias("place")), "tokens")
+    # one row a token and set is dealt, once; sizes and heads are joined to the few tokens that sets share
+    firsts = sketches.select("sid", "doc", "toks").join(heads.select("sid", F.col("head").alias("doc")), ["sid", "doc"], "left_semi")
+    rows = firsts.select(F.posexplode("toks").alias("place", "tok"), "sid").select("tok", "sid", "place")
+    shared = materialise(rows.repartition("tok").sortWithinPartitions("tok", "sid").mapInArrow(_shared, "tok long, sid long, place int"), "shared")
+    release(docs)
+    tokens = materialise(shared.join(heads.select("sid", "head", "n"), "sid").select("tok", "sid", "head", "n", F.col("place").cast("long").alias("place")), "tokens")
+    discard(shared)
     discard(sketches)
     release(docs)
     prints = materialise(heads.groupBy("fp").agg(F.min("sid").alias("doc")), "prints")

@@ -53,3 +53,25 @@ def test_stage_equals_brute_force_on_edited_copies(spark, monkeypatch, block):
     kept = corpus_pipeline.near_duplicate_stage(spark, df, "")
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {*want.values(), None}
     assert corpus_pipeline.near_duplicate_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_pairs_are_verified_in_portions(spark, monkeypatch):
+    monkeypatch.setattr(N, "PORTION", 1)
+    portions, cut = [], N._portions
+    monkeypatch.setattr(N, "_portions", lambda *x: portions.append(cut(*x)) or portions[-1])
+    docs = corpus()
+    rows = [(d, t) for d, t in docs.items()] + [(1000 + d, t) for d, t in docs.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(docs)
+    assert dict(N.near_duplicate_classes(df).collect()) == want | {1000 + d: c for d, c in want.items()}
+    assert max(map(len, portions)) > 1
+
+
+def test_only_tokens_of_several_sets_stay():
+    import pyarrow as pa
+
+    rows = [(1, 5, 0), (1, 5, 0), (2, 5, 1), (2, 6, 0), (3, 5, 2), (4, 5, 3), (4, 7, 1), (4, 7, 1), (4, 8, 2), (5, 9, 9)]
+    want = [r for r in dict.fromkeys(rows) if r[0] in (2, 4)]
+    for size in (1, 2, 3, 20):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size])], names=["tok", "sid", "place"]) for i in range(0, len(rows), size)]
+        assert [tuple(r.values()) for b in N._shared(iter(batches)) for r in b.to_pylist()] == want
