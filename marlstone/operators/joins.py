@@ -29,14 +29,37 @@ def lookup_join(edges: DataFrame, documents: DataFrame) -> DataFrame:
     return key.join(documents.withColumnRenamed("doc_id", "key"), "key", "left")
 
 
+#: Widths of the page bins of ``range_join_page``: the powers of this from 1 to BIN_LEVELS.
+BIN_BASE, BIN_LEVELS = 64, 10
+
+
+def _bin(page: Column, level: int) -> Column:
+    """The first page of a page's bin; beyond the last level all pages are one bin."""
+    return page - F.pmod(page, F.lit(BIN_BASE**level)) if level <= BIN_LEVELS else page * 0
+
+
 def range_join_page(citations: DataFrame, reports: DataFrame) -> DataFrame:
     """Citations whose page lies in a report of the same year and volume.
 
-    The equi-key shuffles; the page range is a residual of the hash or merge join.
+    Bins of pages are part of the equi-key, so a citation meets the reports around its page and not all of its volume. A
+    report lies in bins of the least width that is not under its own, hence in two at most; a citation is in one bin of
+    each width that some report has.
     """
-    c, r = citations.alias("c"), reports.alias("r")
-    on = (F.col("c.year") == F.col("r.year")) & (F.col("c.volume") == F.col("r.volume")) & F.col("c.page").between(F.col("r.first_page"), F.col("r.last_page"))
-    return c.join(r, on).select("c.*", "r.doc_id")
+    r = reports.where("first_page <= last_page").select("year", "volume", "first_page", "last_page", "doc_id")
+    level = F.lit(BIN_LEVELS + 1)
+    for i in range(BIN_LEVELS, 0, -1):
+        level = F.when(F.col("last_page") - F.col("first_page") < BIN_BASE**i, i).otherwise(level)
+    r = r.withColumn("level", level)
+    levels = sorted(x[0] for x in r.select("level").distinct().collect())
+    pick = lambda page: F.coalesce(*[F.when(F.col("level") == i, _bin(F.col(page), i)) for i in levels])
+    if not levels:
+        return citations.join(r, ["year", "volume"]).select(*[citations[x] for x in citations.columns], "doc_id")
+    r = r.withColumn("bin", F.explode(F.array_distinct(F.array(pick("first_page"), pick("last_page"))))).alias("r")
+    bins = F.array(*[F.struct(F.lit(i).alias("level"), _bin(F.col("page"), i).alias("bin")) for i in levels])
+    c = citations.select("*", F.explode(bins).alias("at_bin")).alias("c")
+    on = (F.col("c.year") == F.col("r.year")) & (F.col("c.volume") == F.col("r.volume")) & (F.col("c.at_bin.level") == F.col("r.level")) & (F.col("c.at_bin.bin") == F.col("r.bin"))
+    inside = F.col("c.page").between(F.col("r.first_page"), F.col("r.last_page"))
+    return c.join(r, on & inside).select(*[F.col(f"c.`{x}`") for x in citations.columns], "r.doc_id")
 
 
 def equi_join_first_page(citations: DataFrame, reports: DataFrame) -> DataFrame:
