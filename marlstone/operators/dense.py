@@ -61,8 +61,12 @@ def cosine_exact(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: b
     ``vectors`` has chunk_id and embedding, ``queries`` query_id and embedding. Queries are dealt by a hash into blocks
     of about ``block``, and a block is broadcast as one matrix against which all vectors are multiplied; there is no
     limit on their number, and the driver holds one block at a time. Products are at most ``block`` by BATCH scores.
-    A partition keeps k of each query and batch, so little is shuffled. Ties go to the smaller chunk_id.
+    A task keeps k of each query, so little is shuffled. Ties go to the smaller chunk_id.
     """
+    return _by_blocks(vectors, queries, k, block, exclude_self)
+
+
+def _by_blocks(vectors: DataFrame, queries: DataFrame, k: int, block: int, exclude_self: bool = False, centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
     spark = queries.sparkSession
     q = queries.select("query_id", "embedding")
     n = q.count()
@@ -75,35 +79,78 @@ def cosine_exact(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: b
     for b in range(blocks):
         rows = (q.where(F.col("block") == b) if blocks > 1 else q).toPandas()
         for at in range(0, len(rows), 2 * block):  # a hash fills some blocks more than others
-            part = _block_products(vectors, rows[at : at + 2 * block], k, exclude_self)
+            part = _block_products(vectors, rows[at : at + 2 * block], k, exclude_self, centres, probes)
             found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
-def _block_products(vectors: DataFrame, rows: pd.DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """The k best of each batch of vectors for each of a block of queries."""
-    m = np.vstack(rows["embedding"].to_numpy()).astype(float)
-    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    sent = vectors.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), m))
+class _Best:
+    """The k best scores of each of n queries so far, equal ones by the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.score, self.id = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def offer(self, which: np.ndarray, qid: np.ndarray, ids: np.ndarray, s: np.ndarray, exclude_self: bool) -> None:
+        """Scores s of the queries ``which`` (with their ids) by vectors; only what may be among the k best is rounded and sorted."""
+        k = self.k + exclude_self
+        # rounding to six digits moves a score by half a unit of the last at most
+        least = self.score[which, -1] - 1e-6
+        near = s >= least[:, None]
+        if s.shape[1] > k and near.sum() > 4 * k * len(which):
+            near &= s >= np.partition(s, -k, axis=1)[:, -k, None] - 1e-6
+        q, x = np.nonzero(near)
+        score, ids = np.round(s[q, x], 6), ids[x]
+        if exclude_self:
+            other = qid[q] != ids
+            q, ids, score = q[other], ids[other], score[other]
+        if not len(q):
+            return
+        touched, q = np.unique(q, return_inverse=True)
+        at = which[touched]
+        q = np.concatenate([np.repeat(np.arange(len(at)), self.k), q])
+        score, ids = np.concatenate([self.score[at].ravel(), score]), np.concatenate([self.id[at].ravel(), ids])
+        order = np.lexsort((ids, -score, q))
+        q = q[order]
+        first = np.searchsorted(q, np.arange(len(at)))
+        best = order[first[:, None] + np.arange(self.k)]
+        self.score[at], self.id[at] = score[best], ids[best]
+
+
+def _block_products(vectors: DataFrame, rows: pd.DataFrame, k: int, exclude_self: bool, centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """The k best of each task's vectors for each of a block of queries; with ``centres``, of those in the query's lists alone."""
+    raw = np.vstack(rows["embedding"].to_numpy()).astype(float)
+    m = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-300)
+    sent = vectors.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), m, None if centres is None else _nearest_lists(raw, centres, probes)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qid, m = sent.value
+        qid, m, lists = sent.value
+        every = np.arange(len(qid))
+        asking = None if lists is None else [np.flatnonzero((lists == j).any(1)) for j in range(len(centres))]
+        best = _Best(len(qid), k)
         for whole in batches:
             for at in range(0, len(whole), BATCH):
                 pdf = whole[at : at + BATCH]
-                ids, x = pdf["chunk_id"].to_numpy(), np.vstack(pdf["embedding"].to_numpy()).astype(float)
-                s = np.round(m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 6)
-                if exclude_self:
-                    s[qid[:, None] == ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                picked = np.take_along_axis(s, order, axis=1)
-                rows = pd.DataFrame({"query_id": np.repeat(qid, order.shape[1]), "chunk_id": ids[order].ravel(), "score": picked.ravel()})
-                yield rows[np.isfinite(rows["score"])]
+                ids, raw = pdf["chunk_id"].to_numpy(), np.vstack(pdf["embedding"].to_numpy()).astype(float)
+                x = (raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-300)).T
+                if asking is None:
+                    best.offer(every, qid, ids, m @ x, exclude_self)
+                    continue
+                own = _nearest_lists(raw, centres, 1)[:, 0]
+                for j in np.unique(own).tolist():
+                    q, mine = asking[j], own == j
+                    if len(q):
+                        best.offer(q, qid[q], ids[mine], m[q] @ x[:, mine], exclude_self)
+        found = pd.DataFrame({"query_id": np.repeat(qid, k), "chunk_id": best.id.ravel(), "score": best.score.ravel()})
+        yield found[np.isfinite(found["score"])]
 
     return vectors.select("chunk_id", "embedding").mapInPandas(run, "query_id long, chunk_id long, score double")
 
 
+def _nearest_lists(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    return np.argsort(-(x @ centres.T), axis=1)[:, :n]
+
+
 def nearest(vectors: DataFrame, ids: list[int], k: int) -> DataFrame:
     """The k nearest other vectors of given ones."""
     q = vectors.where(F.col("chunk_id").isin(*ids)).select(F.col("chunk_id").alias("query_id"), "embedding")
@@ -125,22 +172,12 @@ def ivf_build(vectors: DataFrame, lists: int, sample: int = 20_000, rounds: int
     return c
 
 
-def ann_search(vectors: DataFrame, queries: DataFrame, k: int, centres: np.ndarray, probes: int) -> DataFrame:
-    """Approximate search: every vector is in the list of its nearest centre, a query looks into ``probes`` lists."""
+def ann_search(vectors: DataFrame, queries: DataFrame, k: int, centres: np.ndarray, probes: int, block: int = 4096) -> DataFrame:
+    """Approximate search: every vector is in the list of its nearest centre, a query looks into ``probes`` lists.
 
-    def lists_of(n):
-        @F.pandas_udf("array<int>")
-        def run(s: pd.Series) -> pd.Series:
-            x = np.vstack(s.to_numpy()).astype(float)
-            return pd.Series(list(np.argsort(-(x @ centres.T), axis=1)[:, :n].astype(np.int32)))
-
-        return run
-
-    v = vectors.select("chunk_id", "embedding", F.explode(lists_of(1)("embedding")).alias("list"))
-    q = queries.select("query_id", F.col("embedding").alias("q"), F.explode(lists_of(probes)("embedding")).alias("list"))
-    hits = q.join(v, "list").withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+    As in ``cosine_exact``, blocks of queries are multiplied with batches of vectors, here list by list and by the queries alone that look there.
+    """
+    return _by_blocks(vectors, queries, k, block, centres=centres, probes=probes)
 
 
 def path_choice(allowed: int, limit: int = 5000) -> str:

@@ -20,3 +20,25 @@ def test_range_join_meets_bins_of_pages(spark, widest):
     assert out.columns == [*c.columns, "doc_id"] and sorted(map(tuple, out.collect())) == want and want
     assert "bin" in out._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
     assert J.range_join_page(c, r.limit(0)).count() == 0
+
+
+def test_lists_are_searched_by_products(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(700, 8)).round(1)
+    x[10:40] = x[5]
+    v = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "chunk_id long, embedding array<double>").repartition(5)
+    q = v.where("chunk_id % 20 = 5").selectExpr("chunk_id AS query_id", "embedding")
+    centres = D.ivf_build(v, 6)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    order = np.argsort(-(x @ centres.T), axis=1)
+    for probes, block in ((2, 4096), (6, 7)):
+        out = D.ann_search(v, q, 10, centres, probes, block)
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = {}
+        for r in out.collect():
+            got.setdefault(r.query_id, {})[r.rank] = (r.chunk_id, r.score)
+        for i in range(5, 700, 20):
+            near = sorted((-round(float(unit[i] @ unit[j]), 6), j) for j in range(700) if order[j, 0] in order[i, :probes])[:10]
+            assert [got[i][n + 1] for n in range(len(near))] == [(j, -s) for s, j in near]
+    exact = D.cosine_exact(v, q, 4, exclude_self=True).collect()
+    assert all(r.query_id != r.chunk_id for r in exact) and len(exact) == 35 * 4
