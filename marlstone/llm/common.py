@@ -9,16 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import discard, materialise
+from ..session import BATCH_BYTES, BATCH_ROWS, discard, materialise, text_batches  # noqa: F401
 
 #: Fixed by the query contracts: what separates words (space and the five ASCII controls 9 to 13).
 SPACES = " \t\n\x0b\x0c\r"
 
 
-#: Rows and bytes of an Arrow batch of whole texts, so that a Python worker holds little at once.
-BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have yet."""
     taken = {c.lower() for c in df.columns}
@@ -27,14 +23,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """Set the session's Arrow batches to a size fit for whole texts, and give the frame back."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
-
-
 def release(df: DataFrame) -> None:
     """Let go of the shuffle files of finished steps.
 
