@@ -16,7 +16,8 @@ def mentions(documents: DataFrame) -> DataFrame:
 
     ``gap`` is the text between a citation and the one before it (null for the first).
     """
-    d = spread(documents.where("text is not null").select("doc_id", "text")).select("doc_id", "text", find_citations("text").alias("spans")).where(F.size("spans") > 0)
+    d = spread(documents.where("text is not null").select("doc_id", "text")).select("doc_id", "text", find_citations("text").alias("spans"))
+    # no filter on spans: it would be pushed below them and parse each text once more; texts without any give no rows
     d = d.withColumn("cues", treatment_cues("text", "spans"))
     zipped = F.transform("spans", lambda s, i: F.struct(i.alias("nth"), s.alias("s"), F.get("cues", i).alias("treatment"), F.when(i > 0, F.substring(F.col("text"), F.get("spans", i - 1)["end"] + 1, s["start"] - F.get("spans", i - 1)["end"])).alias("gap"), context_window(F.col("text"), s["start"], s["end"]).alias("context")))
     return d.select("doc_id", F.inline(zipped)).select("doc_id", "nth", "s.*", "gap", "treatment", "context")

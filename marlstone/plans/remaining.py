@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import metadata as M, text as X
 from ..functions.udfs import arrow_udf
 from ..operators import aggregates as A, citation_graph as G, deliberation as B, dense as D, evaluate as V, events as E, inverted_index as I, lexical as L, structure as T
-from ..session import shared_folder
+from ..session import materialise, shared_folder
 from ..sources import readers as R, sinks as S
 from .registry import query
 from .textual import _index, _judgments
@@ -331,7 +331,7 @@ def repealed(t):
 
 def _grouped(t):
     spans, neutral = G.build_index(_index(t))
-    return G.direct_targets(G.parallel_groups(G.mentions(_judgments(t))), spans, neutral)
+    return materialise(G.direct_targets(G.parallel_groups(G.mentions(_judgments(t))), spans, neutral), "mentions")
 
 
 @query("SELECT resolution, count(*) AS n FROM (SELECT unnest(['direct', 'alias', 'direct', 'alias', 'alias']) AS resolution FROM part) GROUP BY 1")

@@ -42,3 +42,36 @@ def test_lists_are_searched_by_products(spark):
             assert [got[i][n + 1] for n in range(len(near))] == [(j, -s) for s, j in near]
     exact = D.cosine_exact(v, q, 4, exclude_self=True).collect()
     assert all(r.query_id != r.chunk_id for r in exact) and len(exact) == 35 * 4
+
+
+def test_plain_lines_are_cleaned_whole(monkeypatch):
+    from marlstone.operators import structure as T
+
+    pages = ["HEAD 1\nA “quoted” line of words.\nno change here\n\n1", "HEAD 2\nof­fice and off ice\n2"]
+    mended, plain = [], T.mend_line
+    monkeypatch.setattr(T, "mend_line", lambda line, *x: mended.append(line) or plain(line, *x))
+    out = T.clean_pages(pages, "hc")
+    assert "no change here" not in mended and any(" " in x for x in mended)
+    raw = "\f".join(pages)
+    for r in out["runs"]:
+        a, b = out["text"][r["clean_start"] : r["clean_start"] + r["len"]], raw[r["raw_start"] : r["raw_start"] + r["len"]]
+        assert all(x == y or y in "“” \n\f" for x, y in zip(a, b, strict=True))
+
+
+def test_texts_are_parsed_for_citations_once(spark):
+    from marlstone.operators import citation_graph as G
+
+    docs = spark.createDataFrame([("a", "See [1963] 1 SCR 5 : AIR 1963 SC 7."), ("b", "none"), ("c", None)], "doc_id string, text string")
+    found = G.mentions(docs)
+    assert [r.doc_id for r in found.collect()] == ["a", "a"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("find_citations(") == 1
+
+
+def test_index_takes_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    from marlstone.operators import inverted_index as I
+
+    seen, small = [], I.text_batches
+    monkeypatch.setattr(I, "text_batches", lambda df: seen.append(1) or small(df))
+    before = spark.conf.get(I._ROWS)
+    I.build_index(spark.createDataFrame([(1, "a b"), (2, "b")], "chunk_id long, text string"), str(tmp_path / "i"))
+    assert seen and spark.conf.get(I._ROWS) == before
