@@ -65,6 +65,7 @@ def build_graph(issues: DataFrame, positions: DataFrame, evidence: DataFrame, cl
     for i, x in enumerate(nodes[1:], 1):
         ranked = ranked.unionByName(x.withColumn("nth", F.lit(i)))
     first = ranked.withColumn("pick", F.row_number().over(W.partitionBy("run_id", "id").orderBy("nth", F.col("issue_id").asc_nulls_last(), "label"))).where("pick = 1").drop("nth", "pick")
+    first = materialise(first, "nodes")  # both ends of the edges ask for them, and so do those who get them
 
     def edge(df, a, b, kind, weight=None):
         return df.select("run_id", F.col(a).cast("string").alias("source"), F.col(b).cast("string").alias("target"), F.lit(kind).alias("type"), (F.lit(None) if weight is None else weight).cast("double").alias("weight"))
@@ -91,6 +92,7 @@ def build_graph(issues: DataFrame, positions: DataFrame, evidence: DataFrame, cl
 def check_graph(nodes: DataFrame, edges: DataFrame, record: DataFrame) -> DataFrame:
     """Problems of graphs: run_id, problem, item. ``record`` has run_id, type, id of what the runs really hold."""
     spark = nodes.sparkSession
+    edges = materialise(edges, "edges")
     allowed = F.broadcast(spark.createDataFrame(list(ALLOWED), "source_type string, type string, target_type string"))
     twice = nodes.groupBy("run_id", "id").count().where("count > 1").select("run_id", F.lit("node appears twice").alias("problem"), F.col("id").alias("item"))
     foreign = nodes.join(record, ["run_id", "type", "id"], "left_anti").select("run_id", F.lit("node not in the record").alias("problem"), F.col("id").alias("item"))
