@@ -152,6 +152,89 @@ class MTree:
                             heappush(heap, (lo, children[c], dd))
         return [(int(s), int(i)) for s, i in zip(top_s, top_i)], computed
 
+    def _leaves(self, q: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+        """The leaf pages' rows and distances from their pivots; each query's least possible distance to each page, and that to its pivot."""
+        rows, far, low, to = [], [], [], []
+        q2 = np.einsum("ij,ij->i", q, q)
+        waiting = [(self.root, np.zeros(len(q)), np.full(len(q), np.nan))]
+        while waiting:
+            node, lo, dq = waiting.pop()
+            entry = self.nodes[node]
+            if entry[0]:
+                rows.append(entry[1])
+                far.append(entry[2])
+                low.append(lo)
+                to.append(dq)
+                continue
+            _, pivots, radii, _, children = entry
+            d = np.sqrt(np.maximum(q2[:, None] + np.einsum("ij,ij->i", pivots, pivots)[None, :] - 2 * q @ pivots[:, :-1].T, 0))
+            waiting += [(c, np.maximum(lo, d[:, j] - radii[j]), d[:, j]) for j, c in enumerate(children)]
+        return rows, far, np.array(low).T, np.array(to).T
+
+    def search_many(self, exact: np.ndarray, k: int, own: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``search`` for a block of queries: number of the query, score and id of its k largest.
+
+        Every query opens the leaf pages by their least possible distance until that exceeds its bound, as alone; those that are
+        at the same page at the same turn share one product of matrices. ``least`` is -inf where there is none.
+        """
+        if not len(self.ids) or self.wide or np.abs(exact).max(initial=0) > LARGEST:
+            got = [(j, *hit) for j, q in enumerate(exact) for hit in self.search(q, k, int(own[j]), None if least[j] == -np.inf else int(least[j]))[0]]
+            return tuple(np.array(got, np.int64).reshape(-1, 3).T)
+        q = exact.astype(np.float64)
+        total = np.einsum("ij,ij->i", q, q) + self.m2
+        rows, far, low, to = self._leaves(q)
+        pages = [self.x[r] for r in rows]
+        leaf_of, column = np.empty(len(self.ids), np.int64), np.empty(len(self.ids), np.int64)
+        for j, r in enumerate(rows):
+            leaf_of[r], column[r] = j, np.arange(len(r))
+        by_row = np.argsort(self.rows)
+        spot = by_row[np.minimum(np.searchsorted(self.rows[by_row], own), len(by_row) - 1)]
+        mine = np.where(self.rows[spot] == own, leaf_of[spot], -1)
+        # A distance from a sum of squares is off by up to the root of the sum's rounding, so by more than one from differences.
+        slack = SLACK * (1 + np.sqrt(total)) * 10
+        kth, top = np.asarray(least, np.float64).copy(), (np.zeros(0, np.int64),) * 3
+        bound = np.where(np.isinf(kth), np.inf, np.sqrt(np.maximum(total - 2 * kth, 0)))
+        order = np.argsort(low, axis=1, kind="stable")
+        every = np.arange(len(q))
+        for turn in range(len(rows)):
+            page = order[:, turn]
+            live = low[every, page] <= bound + slack
+            if not live.any():
+                break
+            found = []
+            for leaf in np.unique(page[live]).tolist():
+                asks = np.flatnonzero(live & (page == leaf))
+                near = np.abs(far[leaf][None, :] - to[asks, leaf][:, None]) <= (bound + slack)[asks][:, None]
+                may = np.flatnonzero(near.any(axis=0)) if not np.isnan(to[asks, leaf]).any() else np.arange(len(rows[leaf]))
+                if not len(may):
+                    continue
+                s = q[asks] @ pages[leaf][may].T
+                at_home = np.flatnonzero(mine[asks] == leaf)
+                place = np.searchsorted(may, column[spot[asks[at_home]]])
+                at_home, place = at_home[place < len(may)], place[place < len(may)]
+                hit = may[place] == column[spot[asks[at_home]]]
+                s[at_home[hit], place[hit]] = -np.inf
+                floor = kth[asks]
+                if len(may) > k:
+                    empty = np.flatnonzero(floor == -np.inf)
+                    floor[empty] = np.partition(s[empty], -k, axis=1)[:, -k]
+                i, j = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
+                found.append((asks[i], s[i, j].astype(np.int64), rows[leaf][may[j]]))
+            if not found:
+                continue
+            who, score, at = (np.concatenate([x, *y]) for x, y in zip(top, zip(*found)))
+            best = np.lexsort((self.rows[at], self.ids[at], -score, who))
+            who, score, at = who[best], score[best], at[best]
+            starts = np.searchsorted(who, every)
+            kept = np.arange(len(who)) - starts[who] < k
+            top = who, score, at = who[kept], score[kept], at[kept]
+            held = np.bincount(who, minlength=len(q))
+            full = np.flatnonzero(held == k)
+            last = score[np.cumsum(held)[full] - 1]
+            kth[full] = np.maximum(kth[full], last)
+            bound[full] = np.minimum(bound[full], np.sqrt(np.maximum(total[full] - 2.0 * last, 0)))
+        return top[0], top[1], self.ids[top[2]]
+
 
 def score_bounds(q: np.ndarray, pivots: np.ndarray, radii: np.ndarray, m2: np.ndarray) -> np.ndarray:
     """The largest product that each query (row) may have with any vector of each tree (column)."""
@@ -232,16 +315,16 @@ def _routed(home: bool):
 
 def _searched(k: int):
     def run(trees: pa.Table, queries: pa.Table) -> pa.Table:
-        out: tuple[list, ...] = ([], [], [], [])
-        for blob in trees.column("tree") if queries.num_rows else ():
-            tree = pickle.loads(blob.as_py())
-            for row, ident, least, q in zip(queries.column("query_row").to_pylist(), queries.column("query_id").to_pylist(), queries.column("least").to_pylist(), _matrix(queries.column("q"))):
-                got, _ = tree.search(q, k, row, least)
-                out[0].extend([row] * len(got))
-                out[1].extend([ident] * len(got))
-                out[2].extend(i for _, i in got)
-                out[3].extend(s for s, _ in got)
-        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_row", "query_id", "vec_id", "score"), out)})
+        parts = [(np.zeros(0, np.int64),) * 4]
+        if queries.num_rows:
+            row, ident, q = queries.column("query_row").to_numpy(), queries.column("query_id").to_numpy(), _matrix(queries.column("q"))
+            least = np.array([-np.inf if x is None else x for x in queries.column("least").to_pylist()], np.float64)
+            for blob in trees.column("tree"):
+                tree = pickle.loads(blob.as_py())
+                for at in range(0, len(row), BLOCK):
+                    who, score, vec = tree.search_many(q[at : at + BLOCK], k, row[at : at + BLOCK], least[at : at + BLOCK])
+                    parts.append((row[at + who], ident[at + who], vec, score))
+        return pa.table({n: pa.array(np.concatenate(v), pa.int64()) for n, v in zip(("query_row", "query_id", "vec_id", "score"), zip(*parts))})
 
     return run
 

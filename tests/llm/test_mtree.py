@@ -26,6 +26,23 @@ def test_tree_is_exact_and_prunes(kind):
         assert np.mean(work) < 0.5 * len(x)
 
 
+@pytest.mark.parametrize("kind", ["clusters", "uniform", "equal", "wide"])
+def test_blocks_of_queries_equal_single_ones(kind):
+    rng = np.random.default_rng(5)
+    x = {"clusters": rng.integers(-60, 60, (20, 8))[rng.integers(0, 20, 1500)] + rng.integers(-3, 4, (1500, 8)), "uniform": rng.integers(-9, 9, (700, 6)), "equal": np.ones((500, 4), int), "wide": rng.integers(-(1 << 30), 1 << 30, (90, 3))}[kind]
+    ids = rng.permutation(len(x)) * 3
+    tree = M.MTree(ids, x, page=16)
+    asked = np.arange(0, len(x), 7)
+    for k in (1, 20, 2000):
+        single = [tree.search(x[j], k, int(ids[j]))[0] for j in asked]
+        for least in (np.full(len(asked), -np.inf), np.array([s[-1][0] for s in single], float)):
+            who, score, vec = tree.search_many(x[asked], k, ids[asked], least)
+            got = [[] for _ in asked]
+            for w, s, v in zip(who.tolist(), score.tolist(), vec.tolist()):
+                got[w].append((s, v))
+            assert got == single
+
+
 def test_query(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, [float(v) for v in np.round(rng.normal(0, 0.2, 12), 4)], i) for i in range(230)]
