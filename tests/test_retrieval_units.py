@@ -79,3 +79,14 @@ def test_phrase_and_all(spark):
     post = L.postings(ch)
     t = spark.createDataFrame([(1, "time"), (1, "essence")], "query_id int, lexeme string")
     assert sorted(r.chunk_id for r in L.search_all(post, t, 9).collect()) == [1, 2]
+
+
+def test_tsvector_moves_only_chunks_whose_id_comes_again(spark):
+    rows = [(1, "the Cats cat, running", "h One"), (2, "cat", None), (2, "dog cat", "h"), (None, "x x", "y"), (None, "x", None), (3, None, "z"), (4, "the of", "the")]
+    df = spark.createDataFrame(rows, "chunk_id long, text string, header string")
+    got = sorted(((r.chunk_id or 0, r.lexeme, r.weight, r.positions) for r in L.tsvector(df, stemmed=False).collect()))
+    want = [(0, "x", "A", [1, 1, 2]), (0, "y", "B", [1]), (1, "cat", "A", [3]), (1, "cats", "A", [2]), (1, "h", "B", [1]), (1, "one", "B", [2]), (1, "running", "A", [4])]
+    assert got == want + [(2, "cat", "A", [1, 2]), (2, "dog", "A", [1]), (2, "h", "B", [1]), (3, "z", "B", [1])]
+    stems = {(r.lexeme, r.weight): r.positions for r in L.tsvector(df.where("chunk_id = 1")).collect()}
+    assert stems["cat", "A"] == [2, 3] and stems["run", "A"] == [4]
+    assert "hashpartitioning" not in L.tsvector(df.where("chunk_id in (1, 3)"))._jdf.queryExecution().executedPlan().toString()
