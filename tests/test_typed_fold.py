@@ -2,6 +2,7 @@ import json
 import random
 import time
 
+import pandas as pd
 import pytest
 
 from marlstone.streaming import events as S, typed_fold as T
@@ -104,6 +105,29 @@ def test_ended_runs_expire(spark, tmp_path):
     assert max(held) >= 5 and held[-1] <= 2
 
 
+def test_a_new_run_asks_no_state_for_entries():
+    """Each question to the state is a round trip; a run that begins in the batch has nothing there."""
+
+    class State:
+        def __init__(self):
+            self.held = {}
+
+        exists = lambda self: False
+        update = appendList = lambda self, value: None
+
+        def updateValue(self, key, value):
+            self.held[key] = value
+
+        def containsKey(self, key):
+            raise AssertionError("asked")
+
+    p = T.FoldProcessor()
+    p.head, p.entries, p.items = State(), State(), State()
+    rows = random_log("a", 40, random.Random(4))
+    (out,) = p.handleInputRows(("a",), iter([pd.DataFrame(rows, columns=[c.split()[0] for c in S.EVENT_SCHEMA.split(", ")])]), None)
+    assert not (out["section"] == "error").any() and ("seen", "0") in p.entries.held
+
+
 def test_setting_comes_back(spark):
     held = spark.conf.get(T._PROVIDER)
     with pytest.raises(KeyError), T.typed_state(spark):
