@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import bounded, discard, materialise, spread
+from ..session import discard, materialise, spread
 from .common import connected_components, release, text_batches, whole_groups
 from .simhash_trie import majority_bits, near_links
 
@@ -24,6 +24,8 @@ SAMPLE, COMMON = 20_000, 10
 BLOCK_ROWS = 2048
 #: Elements that a portion of pairs to verify may always send.
 PORTION = 1 << 20
+#: Heads up to which they are broadcast.
+SENT = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,7 +116,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [shingle_set(x.as_py()) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "hashes"])
 
-    heads = bounded(wanted.select(F.col("head").alias("doc")).distinct(), label="heads")
+    heads = wanted.select(F.col("head").alias("doc"))
+    heads = F.broadcast(heads) if wanted.count() <= SENT else heads
     texts = _texts(docs).join(heads, "doc", "left_semi").select("text")
     found = text_batches(spread(texts)).mapInArrow(run, "sid long, hashes binary")
     return found.join(wanted.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("hashes").alias("hashes"))
@@ -302,7 +305,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     sketches = materialise(_sketches(docs, _late(docs)), "near")
     release(docs)
     heads = materialise(sketches.groupBy("sid").agg(F.min("doc").alias("head"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bitmap").alias("bitmap")), "heads")
-    same = materialise(sketches.select("doc", "sid").distinct().join(heads.select("sid", "head"), "sid").select(F.col("head").alias("src"), F.col("doc").alias("dst")), "same")
+    same = materialise(sketches.select("doc", "sid").join(heads.select("sid", "head"), "sid").select(F.col("head").alias("src"), F.col("doc").alias("dst")), "same")
     # one row a token and set is dealt, once; sizes and heads are joined to the few tokens that sets share
     firsts = sketches.select("sid", "doc", "toks").join(heads.select("sid", F.col("head").alias("doc")), ["sid", "doc"], "left_semi")
     rows = firsts.select(F.posexplode("toks").alias("place", "tok"), "sid").select("tok", "sid", "place")

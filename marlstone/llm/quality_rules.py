@@ -30,6 +30,9 @@ SUBSET = 0.75
 CONDITION = 100.0
 #: Chi-square probability beyond which a document is an outlier.
 CONFIDENCE = 0.9999
+#: Groups up to which their moments by distance step and their estimates are combined in one task: some hundred rows a group, less than
+#: an ordinary partition holds. With more groups they are shuffled by group.
+GATHERED = 256
 P = len(FEATURES)
 #: Directions are whole numbers of this length, so that their sums are exact.
 SIGN = 10_000
@@ -190,15 +193,15 @@ def _packed(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, "n", s1.alias("s1"), s2.alias("s2"))
 
 
-def _starts(points: DataFrame, sizes: DataFrame, hint) -> DataFrame:
+def _starts(points: DataFrame, sizes: DataFrame, hint, together) -> DataFrame:
     """Three deterministic starts of every group: medians and quartile ranges, all moments, signs about the medians."""
     z = [F.col(c) for c in FEATURES]
     first = sizes.select("grp", F.lit(0).alias("start"), F.col("mid").alias("m"), F.array(*[1 / (F.col("scale")[i] * F.col("scale")[i]) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]).alias("p"), F.lit(1e308).alias("logdet"))
-    whole = _packed(points.groupBy("grp").agg(*_moments(z)).withColumn("start", F.lit(1)), "grp", "start").mapInPandas(_solve(1.0), _PARAM)
+    whole = _packed(together(points.groupBy("grp").agg(*_moments(z))).withColumn("start", F.lit(1)), "grp", "start").mapInPandas(_solve(1.0), _PARAM)
     unit = [(z[i] - F.col("mid")[i]) / F.col("scale")[i] for i in range(P)]
     length = F.greatest(F.sqrt(sum((u * u for u in unit[1:]), unit[0] * unit[0])), F.lit(1e-9))
     signs = points.join(hint(sizes), "grp").select("grp", *[F.round(SIGN * u / length).cast("long").alias(c) for u, c in zip(unit, FEATURES)])
-    signs = signs.groupBy("grp").agg(*_moments(z)).join(hint(sizes.select("grp", "mid", "scale")), "grp")
+    signs = together(signs.groupBy("grp").agg(*_moments(z))).join(hint(sizes.select("grp", "mid", "scale")), "grp")
     signs = _packed(signs, "grp", "mid", "scale").mapInPandas(_solve_signs, _PARAM)
     return first.unionByName(whole.withColumn("logdet", F.lit(1e308))).unionByName(signs)
 
@@ -216,23 +219,25 @@ def mcd(points: DataFrame) -> DataFrame:
     q = points.groupBy("grp").agg(F.count("*").alias("size"), *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in FEATURES])
     scale = [F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(f)) for c, f in zip(FEATURES, FLOORS)]
     sizes = materialise(q.select("grp", F.ceil(F.col("size") * SUBSET).alias("need"), F.array(*[F.col(c)[1] for c in FEATURES]).alias("mid"), F.array(*scale).alias("scale")), "quartiles")
-    hint = F.broadcast if sizes.count() <= 20_000 else (lambda d: d)
-    cur = materialise(_starts(points, sizes, hint).withColumn("fell", F.lit(True)), "mcd")
+    groups = sizes.count()
+    hint = F.broadcast if groups <= 20_000 else (lambda d: d)
+    together = (lambda d: d.coalesce(1)) if groups <= GATHERED else (lambda d: d)
+    cur = materialise(together(_starts(points, sizes, hint, together)).withColumn("fell", F.lit(True)), "mcd")
     while cur.where("fell").limit(1).count():
         near = points.join(hint(cur.where("fell").select("grp", "start", "m", "p")), "grp")
-        near = near.groupBy("grp", "start", bucket_of(distance(z, F.col("m"), F.col("p"))).alias("bucket")).agg(*_moments(z))
+        near = together(near.groupBy("grp", "start", bucket_of(distance(z, F.col("m"), F.col("p"))).alias("bucket")).agg(*_moments(z)))
         order = W.partitionBy("grp", "start").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
         near = near.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).join(hint(sizes.select("grp", "need")), "grp").where("before < need")
         sums = near.groupBy("grp", "start").agg(*[F.sum(c).alias(c) for c in near.columns if c == "n" or c[0] in "ab" and c[1:2].isdigit()])
-        new = _packed(sums, "grp", "start").mapInPandas(_solve(SUBSET), _PARAM).toDF("grp", "start", "m2", "p2", "det2")
+        new = together(_packed(sums, "grp", "start").mapInPandas(_solve(SUBSET), _PARAM)).toDF("grp", "start", "m2", "p2", "det2")
         fell = F.coalesce(F.col("det2") < F.col("logdet") - 1e-9, F.lit(False))
         pick = lambda a, b: F.when(fell, F.col(b)).otherwise(F.col(a)).alias(a)
-        nxt = materialise(cur.drop("fell").join(new, ["grp", "start"], "left").select("grp", "start", pick("m", "m2"), pick("p", "p2"), pick("logdet", "det2"), fell.alias("fell")), "mcd")
+        nxt = materialise(together(cur).drop("fell").join(new, ["grp", "start"], "left").select("grp", "start", pick("m", "m2"), pick("p", "p2"), pick("logdet", "det2"), fell.alias("fell")), "mcd")
         discard(cur)
         cur = nxt
-    best = cur.groupBy("grp").agg(F.min_by(F.struct("m", "p"), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
+    best = together(cur).groupBy("grp").agg(F.min_by(F.struct("m", "p"), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
     inside = points.join(hint(best), "grp").where(distance(z, F.col("m"), F.col("p")) <= chi2_quantile(0.975, P)).groupBy("grp").agg(*_moments(z))
-    out = materialise(_packed(inside.withColumn("start", F.lit(0)), "grp", "start").mapInPandas(_solve(0.975), _PARAM).drop("start"), "mcd")
+    out = materialise(_packed(together(inside).withColumn("start", F.lit(0)), "grp", "start").mapInPandas(_solve(0.975), _PARAM).drop("start"), "mcd")
     for x in (cur, sizes):
         discard(x)
     return out
@@ -255,12 +260,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     fine = stats.select("lang", "source").where("not base_failed").groupBy("lang", "source").count()
     fine = fine.select(F.concat(name("lang"), F.lit("\x1f"), name("source")).alias("fine"), name("lang").alias("lang"), "count")
-    coarse = fine.withColumn("own", F.col("count") >= MIN_GROUP)
-    pool = coarse.where("not own").groupBy("lang").agg(F.sum("count").alias("pooled"))
-    levels = (
-        coarse.join(pool, "lang", "left")
-        .select("fine", F.when(F.col("own"), F.concat(F.lit("s"), "fine")).when(F.col("pooled") >= MIN_GROUP, F.concat(F.lit("l"), "lang")).otherwise("all").alias("grp"), "count")
-    )
+    own = F.col("count") >= MIN_GROUP
+    pooled = F.sum(F.when(~own, F.col("count"))).over(W.partitionBy("lang"))
+    levels = fine.withColumn("pooled", pooled).select("fine", F.when(own, F.concat(F.lit("s"), "fine")).when(F.col("pooled") >= MIN_GROUP, F.concat(F.lit("l"), "lang")).otherwise("all").alias("grp"), "count")
     levels = materialise(levels, "levels")
     rest, every = levels.agg(F.coalesce(F.sum(F.when(F.col("grp") == "all", F.col("count"))), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
     hint = F.broadcast if levels.count() <= 20_000 else (lambda d: d)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise, spread
-from .common import connected_components, text_batches, whole_groups
+from .common import connected_components, forest, text_batches, whole_groups
 
 #: Widths of the three blocks of a 64-bit fingerprint. Two differing bits leave one block untouched.
 BLOCKS = (22, 21, 21)
@@ -90,24 +90,6 @@ def trie_pairs(keys: np.ndarray, roots: list[tuple[int, int, int, int]] | np.nda
     return np.concatenate(found) if found else np.empty((0, 2), np.int64)
 
 
-def _forest(n: int, pairs: np.ndarray) -> np.ndarray:
-    """Lowest index reachable from each of n leaves (pointer jumping)."""
-    label = np.arange(n)
-    if not len(pairs):
-        return label
-    a, b = pairs[:, 0], pairs[:, 1]
-    while True:
-        before = label.copy()
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        np.minimum.at(label, before[a], low)
-        np.minimum.at(label, before[b], low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def _join_tasks(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     """Trie self-joins of tasks that come sorted; a star to its lowest document for every local component."""
     for t in whole_groups(batches, "task"):
@@ -129,7 +111,7 @@ def _join_tasks(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.R
             own = split == e
             roots = np.stack([s, np.where(own, e, split), np.where(own, s, split), e], axis=1) - lo
             roots = roots[(roots[:, 1] > roots[:, 0]) & (roots[:, 3] > roots[:, 2])]
-            label = _forest(hi - lo, trie_pairs(rest[lo:hi], roots, 64, budget))
+            label = forest(hi - lo, trie_pairs(rest[lo:hi], roots, 64, budget))
             linked = np.flatnonzero(label != np.arange(hi - lo))
             yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi][linked]), pa.array(doc[lo:hi][label[linked]])], names=["src", "dst"])
             at = to

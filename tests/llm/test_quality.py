@@ -158,3 +158,15 @@ def test_quality_rules(spark):
     assert Q.quality_rules(df).count() == df.count() and Q.quality_rules(df.limit(0)).count() == 0
     kept = Q.keep_good(df)
     assert kept.columns == df.columns and kept.count() == 150 + 4 + 1
+
+
+def test_few_groups_are_combined_in_one_task(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(f"g{i % 5}", *(rng.randint(0, 9000) for _ in Q.FEATURES)) for i in range(600)]
+    points = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{c} long" for c in Q.FEATURES)).repartition(5)
+    shuffles, write = [], Q.materialise
+    monkeypatch.setattr(Q, "materialise", lambda df, label: shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(")) or write(df, label))
+    few = sorted(map(tuple, Q.mcd(points).collect()))
+    assert max(shuffles[2:]) <= 3  # after quartiles and starts: moments are dealt once, not again for the steps' order; then estimates are joined
+    monkeypatch.setattr(Q, "GATHERED", 0)
+    assert sorted(map(tuple, Q.mcd(points).collect())) == few and len(few) == 5

@@ -76,3 +76,31 @@ def test_components_of_documents(spark):
     assert S.simhash_components(df.limit(0)).count() == 0
     kept = S.keep_one_per_class(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} >= {2, 3, 7, None}
+
+
+@pytest.mark.parametrize("most", [0, 7, 1 << 18])
+def test_components_by_tasks_and_by_rounds(spark, monkeypatch, most):
+    import random
+
+    from marlstone.llm import common as C
+
+    monkeypatch.setattr(C, "LOCAL_EDGES", most)
+    rng = random.Random(most)
+    path = rng.sample(range(1000, 1300), 300)
+    edges = list(zip(path, path[1:])) + [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] * 2 + [(-5, 5), (9, 9), (None, 3)]
+    want = {n: n for e in edges for n in e if e[0] != e[1] and None not in e}
+    for _ in want:
+        before = dict(want)
+        for a, b in edges:
+            if a in want and b in want:
+                want[a] = want[b] = min(want[a], want[b])
+        if want == before:
+            break
+    steps, write = [], C.materialise
+    monkeypatch.setattr(C, "materialise", lambda df, label: steps.append(label) or write(df, label))
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(5)
+    rows = C.connected_components(df).collect()
+    assert len(rows) == len(want) and dict(rows) == want
+    if most > 1000:  # few edges take no rounds of shuffles
+        assert len(steps) == 2
+    assert C.connected_components(df.limit(0)).count() == 0
