@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from ..session import discard, materialise, spread
+from ..session import discard, materialise
 from .common import text_batches
 
 #: Documents of a language that a kept term stands in; the smoothing and the scale of p.
@@ -35,28 +35,31 @@ def terms_of(text: str) -> list[bytes]:
 def term_counts(docs: DataFrame, most: int = HELD) -> DataFrame:
     """lang, source, term, n (occurrences), docs; and one row with an empty term for each (lang, source).
 
-    Counted within tasks first; a task passes its counts on when it holds ``most`` of them, so rows may repeat and are to be summed.
+    Documents are dealt by ranges of (lang, source, number), so a task has few groups, a large group has many tasks, and a term is
+    passed on about once a task. A task passes its counts on when it holds ``most`` of them, so rows may repeat and are to be summed.
     """
 
-    def batch_of(counts, df) -> Iterator[pa.RecordBatch]:
-        rows = list(counts.items())
-        for lo in range(0, len(rows), 20_000):
-            part = rows[lo : lo + 20_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k, _ in part], pa.string()),
-                    pa.array([k[1] for k, _ in part], pa.string()),
-                    pa.array([k[2] for k, _ in part], pa.binary()).cast(pa.string()),
-                    pa.array([n for _, n in part], pa.int64()),
-                    pa.array([df[k] for k, _ in part], pa.int64()),
-                ],
-                names=["lang", "source", "term", "n", "docs"],
-            )
+    def batch_of(columns) -> pa.RecordBatch:
+        lang, source, term, n, df = columns
+        arrays = [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(df, pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "n", "docs"])
+
+    def passed_on(counts) -> Iterator[pa.RecordBatch]:
+        columns = [[] for _ in range(5)]
+        for (lang, source), (n, d) in counts.items():
+            terms = list(n)
+            for lo in range(0, len(terms), 20_000):
+                part = terms[lo : lo + 20_000]
+                for column, more in zip(columns, ([lang] * len(part), [source] * len(part), part, map(n.__getitem__, part), map(d.__getitem__, part))):
+                    column += more
+                if len(columns[0]) >= 20_000:
+                    yield batch_of(columns)
+                    columns = [[] for _ in range(5)]
+        yield batch_of(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         held = 0
-        flat = lambda i: {(*g, w): n for g, c in counts.items() for w, n in c[i].items()}
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 n, d = counts.setdefault((lang, source), (Counter({b"": 0}), Counter({b"": 0})))
@@ -66,13 +69,17 @@ def term_counts(docs: DataFrame, most: int = HELD) -> DataFrame:
                 d.update(set(words))
                 held += len(n) - was
                 if held > most:
-                    yield from batch_of(flat(0), flat(1))
+                    yield from passed_on(counts)
                     counts, held = {}, 0
-        yield from batch_of(flat(0), flat(1))
+        yield from passed_on(counts)
 
+    spark = docs.sparkSession
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    src = docs.select(blank("lang"), blank("source"), blank("text"))
-    return text_batches(spread(src)).mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    src = docs.select(blank("lang"), blank("source"), blank("text"), F.monotonically_increasing_id().alias("number"))
+    # a given count: else AQE would make one task of a small table's texts
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = src.repartitionByRange(tasks, "lang", "source", "number").select("lang", "source", "text")
+    return text_batches(dealt).mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -116,21 +123,24 @@ def _dense_tiles(rows: DataFrame) -> DataFrame:
     """
 
     def tile(g, base, entries, width):
-        at = {x: i for i, x in enumerate(g)}
-        m = np.repeat(np.array(base, np.int64)[:, None], width, 1)
-        for x in entries or ():
-            m[at[x["g"]], x["pos"]] = x["p"]
-        return np.array(g, np.int64), m
+        g = g.values.to_numpy()  # sorted
+        m = np.repeat(base.values.to_numpy()[:, None], width, 1)
+        if entries.is_valid:
+            of, pos, p = (x.to_numpy() for x in entries.values.flatten())
+            m[np.searchsorted(g, of), pos] = p
+        return g, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                g, m = tile(r["g"], r["base"], r["entries"], r["width"])
-                g2, m2 = tile(r["g2"], r["base2"], r["entries2"], r["width"])
+            same = b.column("block").to_numpy() == b.column("block2").to_numpy()
+            of_a, of_b = ([b.column(c + x) for c in ("g", "base", "entries")] for x in ("", "2"))
+            for r, (lang, width) in enumerate(zip(b.column("lang").to_pylist(), b.column("width").to_pylist())):
+                g, m = tile(*(c[r] for c in of_a), width)
+                g2, m2 = (g, m) if same[r] else tile(*(c[r] for c in of_b), width)
                 for i in range(len(g)):
-                    out = g2 > g[i] if r["block"] == r["block2"] else np.ones(len(g2), bool)
+                    out = g2 > g[i] if same[r] else np.ones(len(g2), bool)
                     if out.any():
-                        yield _pairs(r["lang"], np.full(out.sum(), g[i]), g2[out], np.abs(m2[out] - m[i]).sum(1))
+                        yield _pairs(lang, np.full(out.sum(), g[i]), g2[out], np.abs(m2[out] - m[i]).sum(1))
 
     return rows.mapInArrow(run, "lang string, a long, b long, value long")
 

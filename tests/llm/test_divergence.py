@@ -93,3 +93,13 @@ def test_query_equals_duckdb(spark, tmp_path):
     cur = con.execute(D.ORACLE_SQL)
     assert [d[0] for d in cur.description] == ["lang", "source", "part", "item", "value", "rank"]
     assert sorted(cur.fetchall()) == got(D.divergence(df))
+
+
+def test_terms_are_passed_on_about_once(spark):
+    """Documents are dealt by group, so that rows are not groups times tasks."""
+    words = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(200)]
+    df = frame(spark, [("en", f"s{i % 20}", " ".join(words)) for i in range(400)])
+    tasks = max(spark.sparkContext.defaultParallelism, 4)
+    counts = D.term_counts(df)
+    assert counts.count() <= (20 + tasks) * (len(words) + 1)
+    assert counts.where("term = 'aa'").agg(F.sum("n"), F.sum("docs")).first() == (400, 400)
