@@ -26,3 +26,7 @@ def equal(spark, folder, name, **tables):
 @pytest.mark.parametrize("labels", [[1, 50, 50, 100, 9, 2], [1, 50, None]])
 def test_dataset_validate(spark, tmp_path, labels):
     equal(spark, tmp_path, "dataset_validate", documents=(DOCUMENTS, [*ROWS, (None, "x", "en", "a", 1)]), labels=("doc_id long, quality int, toxic int", [(i, 1, 0) for i in labels]))
+
+
+def test_sentence_spans(spark, tmp_path):
+    equal(spark, tmp_path, "sentence_spans", documents=(DOCUMENTS, ROWS))
