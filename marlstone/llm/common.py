@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import BATCH_BYTES, BATCH_ROWS, discard, materialise, text_batches  # noqa: F401
+from ..session import BATCH_BYTES, BATCH_ROWS, discard, materialise, release, text_batches  # noqa: F401
 
 #: Fixed by the query contracts: what separates words (space and the five ASCII controls 9 to 13).
 SPACES = " \t\n\x0b\x0c\r"
@@ -23,15 +23,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def release(df: DataFrame) -> None:
-    """Let go of the shuffle files of finished steps.
-
-    Executors delete a shuffle's files once the driver has collected the plan that made it, which a large heap may put off for long. After a
-    step is written down nothing reads its shuffles any more, so a stage that writes many calls for a collection then.
-    """
-    df.sparkSession._jvm.System.gc()
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
     """Tables of complete groups from batches that are sorted by ``keys``; no more than a batch and one group is held."""
     held: list[pa.RecordBatch] = []

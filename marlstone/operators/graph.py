@@ -90,19 +90,29 @@ def build_graph(issues: DataFrame, positions: DataFrame, evidence: DataFrame, cl
 
 
 def check_graph(nodes: DataFrame, edges: DataFrame, record: DataFrame) -> DataFrame:
-    """Problems of graphs: run_id, problem, item. ``record`` has run_id, type, id of what the runs really hold."""
+    """Problems of graphs: run_id, problem, item. ``record`` has run_id, type, id of what the runs really hold.
+
+    Nodes with the record are shuffled once, nodes once more for their types, edges once for each end. Edges that ``build_graph`` made lie by their targets already.
+    """
     spark = nodes.sparkSession
-    edges = materialise(edges, "edges")
-    allowed = F.broadcast(spark.createDataFrame(list(ALLOWED), "source_type string, type string, target_type string"))
-    twice = nodes.groupBy("run_id", "id").count().where("count > 1").select("run_id", F.lit("node appears twice").alias("problem"), F.col("id").alias("item"))
-    foreign = nodes.join(record, ["run_id", "type", "id"], "left_anti").select("run_id", F.lit("node not in the record").alias("problem"), F.col("id").alias("item"))
+    allowed = F.broadcast(spark.createDataFrame([(*a, True) for a in ALLOWED], "source_type string, type string, target_type string, allowed boolean"))
+    times = lambda df, *columns: df.select("run_id", *columns, F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
+    part = lambda df, n: df.select("run_id", "id", "type", F.lit(n).alias("n"))
+    held = part(nodes, 1).unionByName(part(record, 0)).repartition("run_id", "id")
+    typed = held.groupBy("run_id", "id", "type").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 0")
+    foreign = F.when((F.col("least") == 1) | F.col("run_id").isNull() | F.col("id").isNull() | F.col("type").isNull(), F.col("n")).otherwise(0)
+    told = typed.groupBy("run_id", "id").agg(F.when(F.sum("n") > 1, 1).otherwise(0).cast("long").alias("node appears twice"), F.sum(foreign).alias("node not in the record"))
+    found = told.unpivot(["run_id", "id"], ["node appears twice", "node not in the record"], "problem", "n").where("n > 0")
+    of_nodes = times(found, "problem", F.col("id").alias("item"))
     kinds = nodes.groupBy("run_id", "id").agg(F.max("type").alias("t"))
-    named = edges.withColumn("item", F.concat("source", F.lit(" -> "), "target"))
-    ends = named.join(kinds.select("run_id", F.col("id").alias("source"), F.col("t").alias("source_type")), ["run_id", "source"], "left").join(kinds.select("run_id", F.col("id").alias("target"), F.col("t").alias("target_type")), ["run_id", "target"], "left")
-    dangling = ends.where("source_type is null or target_type is null").select("run_id", F.lit("an end is no node").alias("problem"), "item")
-    illegal = ends.where("source_type is not null and target_type is not null").join(allowed, ["source_type", "type", "target_type"], "left_anti").select("run_id", F.lit("edge not allowed").alias("problem"), "item")
-    again = named.groupBy("run_id", "type", "item").count().where("count > 1").select("run_id", F.lit("edge appears twice").alias("problem"), "item")
-    return twice.unionByName(foreign).unionByName(dangling).unionByName(illegal).unionByName(again)
+    end = lambda name: kinds.select("run_id", F.col("id").alias(name), F.col("t").alias(f"{name}_type"))
+    named = edges.join(end("target"), ["run_id", "target"], "left").groupBy("run_id", "source", "target", "type", "target_type").agg(F.count("*").alias("n"))
+    ends = named.join(end("source"), ["run_id", "source"], "left").join(allowed, ["source_type", "type", "target_type"], "left")
+    wrong = F.when(F.col("source_type").isNull() | F.col("target_type").isNull(), "an end is no node").when(F.col("allowed").isNull(), "edge not allowed")
+    found = F.filter(F.array(wrong, F.when(F.col("n") > 1, "edge appears twice")), lambda x: x.isNotNull())
+    bad = ends.select("run_id", F.concat("source", F.lit(" -> "), "target").alias("item"), "n", F.explode(found).alias("problem"))
+    once = bad.withColumn("n", F.when(F.col("problem") == "edge appears twice", 1).otherwise(F.col("n")))
+    return of_nodes.unionByName(times(once, "problem", "item"))
 
 
 def claim_support(claims: DataFrame, cites: DataFrame) -> DataFrame:
