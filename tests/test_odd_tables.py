@@ -30,3 +30,13 @@ def test_dataset_validate(spark, tmp_path, labels):
 
 def test_sentence_spans(spark, tmp_path):
     equal(spark, tmp_path, "sentence_spans", documents=(DOCUMENTS, ROWS))
+
+
+def test_tsvector(spark, tmp_path):
+    """Words are stemmed after legal shorthand is written out, in the query as in its SQL."""
+    texts = ["u/s 55, s. 74, ss. 73-74 and Art. 14", "Agreed damages; the parties were hopping, sayings 1-2-3-4", "Sec.5 secs 7 us. 9 carts. 3", None, "", "eyyy ayy Generously élysées"]
+    rows = [(i, t, "en", f"Cited {i}-{i}", 1) for i, t in enumerate(texts)]
+    equal(spark, tmp_path, "tsvector", documents=(DOCUMENTS, rows))
+    got = {(r.lexeme, r["first"]) for r in catalog.QUERIES["tsvector"](spark, str(tmp_path)).where("chunk_id < 2 and weight = 'A'").collect()}
+    # Positions count stop words; "section" is first in "under section 55".
+    assert got >= {("section", 2), ("55", 3), ("74", 5), ("73", 7), ("articl", 10), ("14", 11), ("agre", 1), ("damag", 2), ("parti", 4), ("hop", 6), ("say", 7), ("4", 11)}
